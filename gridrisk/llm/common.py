@@ -33,10 +33,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gridrisk/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and return the table read back: lineage ends here, and nothing above is computed twice."""
+def settle(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and return the table read back: lineage ends here, and nothing above is computed twice.
+
+    free: have the driver collect its garbage, on which Spark drops the shuffle files of finished work.
+    """
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

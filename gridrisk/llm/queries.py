@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, near_dups, packing, quality, token_files, url_lists
-from .common import table
+from . import chat, decontam, near_dups, packing, quality, token_files, toxicity, url_lists
+from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -26,6 +26,12 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.judge(captures, entries).select("page_id", "url", F.date_format("fetched_at", "yyyy-MM-dd").alias("fetched_on"), "verdict", "matched_pattern", F.date_format("listed_at", "yyyy-MM-dd").alias("listed_on"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 3) == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents"))
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -61,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_lists": op2_url_lists,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,

@@ -33,7 +33,7 @@ class PartEncoder:
     At most 2 * cached parts of up to `longest` characters are kept: a young and an old generation.
     """
 
-    def __init__(self, path: str, cached: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 300_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -41,9 +41,16 @@ class PartEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part with a space before it: all parts are encoded as one text, and offsets tell them apart."""
+        found = self.tokenizer.encode("".join([f" {p}" for p in parts]), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        at = 4 * np.searchsorted([s for s, _ in found.offsets], starts)
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def _missing(self, parts: list[str]) -> dict[str, bytes]:
         """The parts (each after a space) that aren't in the young generation."""
@@ -54,7 +61,7 @@ class PartEncoder:
             else:
                 new.append(p)
         if new:
-            found.update(zip(new, self._encode([" " + p for p in new])))
+            found.update(zip(new, self._encode_parts(new)))
         if len(self.young) >= self.cached:
             self.young, self.old = {}, self.young
         self.young.update((p, b) for p, b in found.items() if len(p) <= self.longest)
@@ -66,7 +73,7 @@ class PartEncoder:
         if None in out:
             found = self._missing(parts)
             out = [found[p] if b is None else b for p, b in zip(parts, out)]
-        return (self._encode([first])[0] if first else b"") + b"".join(out)
+        return (self._encode(first) if first else b"") + b"".join(out)
 
 
 _encoders: dict[str, PartEncoder] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, near_dups, packing, quality, token_files, toxicity, url_lists
+from . import chat, ctw, decontam, near_dups, packing, quality, token_files, toxicity, url_lists
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -37,6 +37,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_lists": op2_url_lists,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
+    "op5_context_tree": op5_context_tree,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_quality_rules": op7_quality_rules,
     "op8_decontamination": op8_decontamination,

@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, near_dups, packing, quality, token_files, toxicity, url_lists
+from . import chat, ctw, decontam, near_dups, packing, pii, quality, token_files, toxicity, url_lists
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.spans(docs, pii.train(docs)).drop("text")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii_spans")).alias("spans"))
+
+
 def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of all pages, fetched on a day that their URL gives, against entries for two thirds of hosts, domains and paths."""
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 7), 16, 10).cast("int")
@@ -70,6 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_personal_data": op1_personal_data,
     "op2_url_lists": op2_url_lists,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,

@@ -222,7 +222,7 @@ def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if t is None or s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 3) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 2) -> DataFrame:
     """docs without what hits the benchmark, in their own columns; n_chars, where docs has it, follows the new text.
 
     A stretch of words that reaches the length limit (`window`, or a whole shorter item) is removed; a document of which

@@ -59,6 +59,11 @@ def first(n: int) -> int:
     return min(n, n // 5 + max(1, n // 10))
 
 
+def node_of(found: np.ndarray) -> int | None:
+    """The hash of a set of shingles; none for an empty set."""
+    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if len(found) else None
+
+
 def lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]), pa.int64()))
@@ -70,7 +75,7 @@ def sets(docs: DataFrame, keep: str = "none") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(x.as_py()) for x in b.column(1)]
-            nodes = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in found], pa.int64())
+            nodes = pa.array(list(map(node_of, found)), pa.int64())
             n = pa.array([len(s) for s in found], pa.int64())
             kept = {"none": lambda s: s[:0], "first": lambda s: s[: first(len(s))], "all": lambda s: s}[keep]
             yield pa.RecordBatch.from_arrays([b.column(0), nodes, n, lists([kept(s) for s in found])], names=SETS.fieldNames())
@@ -177,15 +182,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(docs: DataFrame, frequent: int = 32, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs.
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (of one or two integers each), else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
 
-    component_id is the smallest doc_id that links reach, itself included. A text without words, or null, has no
-    shingles and is a group of its own; so is one whose doc_id is null if nothing it reaches has an id, and its
-    component_id is then null. Repeated rows with one id count as so many documents. An empty table gives no rows; other
-    columns are not read. A table is broadcast only after its rows were counted, up to broadcast_rows.
-    """
-    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+
+def grouped(docs: DataFrame, frequent: int = 32) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node and n of each row of docs; and node, doc_id (the smallest) and group of each node."""
     rows = common.settle(sets(docs), "sets")
     nodes = common.settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
     maybe = common.settle(sieve(docs, nodes), "sieved", free=True)
@@ -213,12 +216,46 @@ def groups(docs: DataFrame, frequent: int = 32, broadcast_rows: int = 1_000_000)
     edges = edges.union(common.settle(verify(pairs, survivors), "links", free=True))
     labels = components(edges)
 
-    whole = nodes.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    lowest = whole.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    placed = whole.join(lowest, "group").select("node", "component_id")
+    return rows, nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("group", "node").alias("group"))
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs.
+
+    component_id is the smallest doc_id that links reach, itself included. A text without words, or null, has no
+    shingles and is a group of its own; a group in which no row has a doc_id has a null component_id. Repeated rows with
+    one id count as so many documents. An empty table gives no rows; other columns are not read.
+    """
+    rows, nodes = grouped(docs)
+    lowest = nodes.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    placed = nodes.join(lowest, "group").select("node", "component_id")
     return rows.join(placed, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each group the one with the smallest doc_id.
+
+    A row without an id stays only where its group has none with one; of rows with the same id and set one stays, and
+    texts without words all stay.
+    """
+    rows, nodes = grouped(docs)
+    own = rows.where("node is not null").join(nodes.select("node", "group"), "node")
+    first = own.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("node").alias("set"))).alias("k"))
+    first = common.settle(first.select(F.col("k.id").alias("_id"), F.col("k.set").alias("_set")), "kept")
+    name = common.free_name(docs, "node")
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(shingles(x.as_py())) for x in b.column(text_at)], pa.int64())], names=[*b.schema.names, name])
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    stay = marked.where(F.col(name).isNotNull()).join(small(first), marked["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_set")), "left_semi")
+    if rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
+        stay = stay.dropDuplicates(["doc_id", name])
+    return stay.unionByName(marked.where(F.col(name).isNull())).select(*docs.columns)
+
+
 def near_bits(pairs: DataFrame) -> DataFrame:
     """Pairs whose bitmaps don't rule a link out: linked sets differ in at most a ninth of their sizes' sum."""
 

@@ -4,20 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridrisk.llm import decontam, packing
-from gridrisk.llm.common import settle, table
+from gridrisk.llm import decontam, near_dups, packing, pii, toxicity
+from gridrisk.llm.common import crc_mod, settle, table
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that score as toxic, by models of the labelled training documents among those given."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
+    return toxicity.keep_ordinary(docs, toxicity.train(docs, labels))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dups.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out what stands in benchmark items, and drop documents that are mostly such."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the names of their kinds."""
+    return pii.redact(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents into sequences."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", jaccard_join),
     ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -33,7 +33,7 @@ class PartEncoder:
     At most 2 * cached parts of up to `longest` characters are kept: a young and an old generation.
     """
 
-    def __init__(self, path: str, cached: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 600_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-STRETCH = 4_000_000  # bytes whose grams are sorted at a time
+STRETCH = 1_000_000  # bytes whose grams are sorted at a time
 END = b"\xff"
 
 
@@ -53,13 +53,13 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 def stretches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows in groups of about STRETCH bytes, with their lower-cased texts."""
     for b in batches:
-        texts = [(x.as_py() or "").encode().translate(common.LOWER) for x in b.column(column)]
-        first = size = 0
-        for i, t in enumerate(texts):
-            size += len(t) + 1
-            if size >= STRETCH or i + 1 == len(texts):
-                yield b.slice(first, i + 1 - first), texts[first : i + 1]
-                first, size = i + 1, 0
+        first, texts, size = 0, [], 0
+        for i, x in enumerate(b.column(column), 1):
+            texts.append((x.as_py() or "").encode().translate(common.LOWER))
+            size += len(texts[-1]) + 1
+            if size >= STRETCH or i == b.num_rows:
+                yield b.slice(first, i - first), texts
+                first, texts, size = i, [], 0
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, np.bincount(at, weights=n).astype(np.int64)
 
 
-def count_grams(texts: DataFrame, depth: int, most: int = 4_000_000) -> DataFrame:
+def count_grams(texts: DataFrame, depth: int, most: int = 1_500_000) -> DataFrame:
     """gram, n over all texts; a task hands on its counts when it holds `most` different grams, and at its end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def build(counted: DataFrame, depth: int, block_nodes: int) -> list[tuple[str, i
 
     A node is context * 256 + the bits so far after a leading 1; a level's nodes come from those one byte longer by
     grouping, and their mixtures from those one byte shorter by a join. Levels are written as blocks by the node's
-    hash, of about block_nodes nodes each.
+    hash, of about block_nodes nodes each, in order of their nodes.
     """
     j = F.col("j")
     byte = F.col("gram").bitwiseAND(F.lit(255))
@@ -146,7 +146,8 @@ def build(counted: DataFrame, depth: int, block_nodes: int) -> list[tuple[str, i
         mixed = level.select("node", (F.col("so_far") + F.col("left") * F.col("p")).cast("float").alias("mixed"), (F.col("so_far") + own).alias("so_far"), (F.col("left") * (1 - F.col("weight"))).alias("left"))
         blocks = max(1, -(-levels[d].count() // block_nodes))
         folder = common.new_folder(counted.sparkSession, f"tree-{d}")
-        mixed.withColumn("block", F.pmod(F.col("node") % 1_000_003, F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(folder)
+        placed = mixed.withColumn("block", F.pmod(F.col("node") % 1_000_003, F.lit(blocks)).cast("int"))
+        placed.repartition(blocks, "block").sortWithinPartitions("block", "node").write.partitionBy("block").parquet(folder)
         above = counted.sparkSession.read.schema("node long, mixed float, so_far double, left double, block int").parquet(folder).select(F.col("node").alias("up"), "so_far", "left")
         out.append((folder, blocks))
     return out
@@ -163,11 +164,8 @@ class Tree:
         if (d, k) not in self.held:
             fs, path = pafs.FileSystem.from_uri(f"{self.levels[d][0]}/block={k}")
             files = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-            parts = [pq.read_table(f, columns=["node", "mixed"], filesystem=fs, partitioning=None) for f in files]
-            nodes = np.concatenate([np.zeros(0, np.int64), *(t.column("node").to_numpy() for t in parts)])
-            order = np.argsort(nodes)
-            values = np.concatenate([np.zeros(0, np.float32), *(t.column("mixed").to_numpy() for t in parts)])[order]
-            self.held[d, k] = nodes[order], values
+            t = pa.concat_tables([pq.read_table(f, columns=["node", "mixed"], filesystem=fs, partitioning=None) for f in files] or [pa.table({"node": pa.array([], pa.int64()), "mixed": pa.array([], pa.float32())})])
+            self.held[d, k] = t.column("node").to_numpy(), t.column("mixed").to_numpy()
             while len(self.held) > 1 and sum(len(x) for x, _ in self.held.values()) > self.max_nodes:
                 self.held.popitem(last=False)
         self.held.move_to_end((d, k))

@@ -148,12 +148,13 @@ def factors(drawn: DataFrame) -> DataFrame:
 
 
 def fit(panel: DataFrame, targets: DataFrame, axis: DataFrame, config: ModelConfig, dense: bool) -> dict[str, DataFrame]:
-    """All stages: seasons, based, series, parameters, drawn."""
-    seasons = season(axis, targets)
-    based = base(prior(exposure(panel, axis, targets, seasons, dense), seasons, config.radius), config)
-    series = factor_series(panel, axis, targets, seasons, based, dense)
-    parameters = factor_parameters(series, targets, config)
-    return {"seasons": seasons, "based": based, "series": series, "parameters": parameters, "drawn": draws(parameters, config)}
+    """All stages: seasons, based, series, parameters, drawn. Each is read by several later ones, and so is cached."""
+    axis, targets = axis.cache(), targets.cache()
+    seasons = season(axis, targets).cache()
+    based = base(prior(exposure(panel, axis, targets, seasons, dense), seasons, config.radius), config).cache()
+    series = factor_series(panel, axis, targets, seasons, based, dense).cache()
+    parameters = factor_parameters(series, targets, config).cache()
+    return {"seasons": seasons, "based": based, "series": series, "parameters": parameters, "drawn": draws(parameters, config).cache()}
 
 
 def intensity(fitted: dict[str, DataFrame]) -> DataFrame:

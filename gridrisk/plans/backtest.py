@@ -26,7 +26,8 @@ def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool
 
 def scored(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows target, entity, forecaster, p, mu, y for the model, naive and climatology; and the model's totals with y."""
-    axis = model.months(panel)
+    panel = panel.cache()
+    axis = model.months(panel).cache()
     dense = panels.is_dense(panel) if dense is None else dense
     targets = model.backtest_targets(axis, min_history, config.hist_k)
     fitted = model.fit(panel, targets, axis, config, dense)

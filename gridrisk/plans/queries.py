@@ -55,8 +55,8 @@ def measure(spark: SparkSession, d: str, column: str = "accidents", sparse: bool
 def fitted(spark: SparkSession, d: str, config: ModelConfig, column: str = "accidents", sparse: bool = False) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Panel, targets and all stages of the backtest's months."""
     p = measure(spark, d, column, sparse).cache()
-    axis = model.months(p).cache()
-    targets = model.backtest_targets(axis, MIN_HISTORY, config.hist_k).cache()
+    axis = model.months(p)
+    targets = model.backtest_targets(axis, MIN_HISTORY, config.hist_k)
     return p, targets, model.fit(p, targets, axis, config, True)
 
 

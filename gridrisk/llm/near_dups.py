@@ -14,7 +14,8 @@ with equal sets are one node. Two nodes link when their sets' Jaccard similarity
 3. Links. First each node is verified against one partner, the one that most of its keys name as their smallest
    member; this joins large groups with as many comparisons as members. Then only members of a key that are still in
    different groups are paired, filtered by size and by bitmaps of 512 bits, and verified on their whole sets. Pairs
-   within a group can't change it, so no link between groups is lost.
+   within a group can't change it, so no link between groups is lost. Keys with more than `crowded` members aren't
+   joined with themselves: the nodes that they connect are compared by bitmaps, block by block, inside tasks.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -187,7 +189,7 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def grouped(docs: DataFrame, frequent: int = 32) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, frequent: int = 32, crowded: int = 64) -> tuple[DataFrame, DataFrame]:
     """doc_id, node and n of each row of docs; and node, doc_id (the smallest) and group of each node."""
     rows = common.settle(sets(docs), "sets")
     nodes = common.settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
@@ -207,10 +209,14 @@ def grouped(docs: DataFrame, frequent: int = 32) -> tuple[DataFrame, DataFrame]:
     labels = components(edges)
 
     k = k.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    open_keys = k.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    k = common.settle(k.join(open_keys, "key", "left_semi"), "open-keys", free=True)
-    x, y = (k.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "bits", "group")]) for i in (1, 2))
-    fits = F.expr("group1 < group2 and 10 * n1 >= 8 * n2 and 10 * n2 >= 8 * n1")
+    open_keys = k.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("node").alias("centre"), F.count("*").alias("m")).where("low < high").select("key", "centre", "m")
+    k = common.settle(k.drop("group").join(open_keys, "key"), "open-keys", free=True)
+    crowd = common.settle(clusters(k.where(F.col("m") > crowded)), "crowd")
+    for closest in (True, False):
+        edges = edges.union(common.settle(verify(crowd_pairs(crowd, labels, closest), survivors), "links"))
+        labels = components(edges)
+    x, y = (k.where(F.col("m") <= crowded).join(labels, "node", "left").select("key", F.col("node").alias(f"node{i}"), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"), F.coalesce("group", "node").alias(f"group{i}")) for i in (1, 2))
+    fits = F.expr("group1 <> group2 and node1 < node2 and 10 * n1 >= 8 * n2 and 10 * n2 >= 8 * n1")
     apart = near_bits(x.join(y, "key").where(fits).select("node1", "node2", "n1", "n2", "bits1", "bits2"))
     pairs = apart.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
     edges = edges.union(common.settle(verify(pairs, survivors), "links", free=True))
@@ -256,6 +262,56 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return stay.unionByName(marked.where(F.col(name).isNull())).select(*docs.columns)
 
 
+def clusters(k: DataFrame) -> DataFrame:
+    """cluster, node, n, bits and size of the cluster, for nodes with keys (key, node, n, bits, centre): nodes that keys connect."""
+    own = k.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    c = components(k.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()).withColumnRenamed("group", "cluster")
+    c = own.join(c, "node")
+    return c.join(c.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+
+
+def crowd_pairs(crowd: DataFrame, labels: DataFrame, closest: bool, block: int = 2048) -> DataFrame:
+    """Pairs of nodes of a cluster in different groups that sizes and bitmaps allow to be linked.
+
+    A cluster is cut by hash into blocks of about `block` nodes and each two blocks meet in one task, which compares
+    bitmaps and hands on nothing else. closest: only the best pair of each node in each two blocks, to join groups
+    before all that is left is looked at.
+    """
+    m = crowd.join(labels, "node", "left").withColumn("group", F.coalesce("group", "node")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "n", "bits", "group")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for own in (g["low"].iloc[0], g["high"].iloc[0]):
+            x = g[g["own"] == own].sort_values("node")
+            sides.append((x["node"].to_numpy(), x["n"].to_numpy(), x["group"].to_numpy(), np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1)))
+        (node1, n1, group1, bits1), (node2, n2, group2, bits2) = sides
+        found, best = [], np.full(len(node2), 1 << 20)
+        partner = np.zeros(len(node2), np.int64)
+        for at in range(0, len(node1), 128):
+            part = slice(at, at + 128)
+            differ = sum(np.bitwise_count(bits1[part, None, w] ^ bits2[None, :, w]).astype(np.int32) for w in range(bits1.shape[1]))
+            a, b = n1[part, None], n2[None, :]
+            ok = (9 * differ <= a + b) & (group1[part, None] != group2[None, :]) & (10 * a >= 8 * b) & (10 * b >= 8 * a)
+            if not closest:
+                ok &= node1[part, None] != node2[None, :]
+                i, j = np.nonzero(ok)
+                found.append((node1[part][i], node2[j]))
+                continue
+            differ = np.where(ok, differ, 1 << 20)
+            if differ.size:
+                i = np.flatnonzero(differ.min(axis=1) < 1 << 20)
+                found.append((node1[part][i], node2[differ.argmin(axis=1)[i]]))
+                low = differ.min(axis=0)
+                partner, best = np.where(low < best, node1[part][differ.argmin(axis=0)], partner), np.minimum(best, low)
+        found.append((partner[best < 1 << 20], node2[best < 1 << 20]))
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return m.groupBy("cluster", "low", "high").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_bits(pairs: DataFrame) -> DataFrame:
     """Pairs whose bitmaps don't rule a link out: linked sets differ in at most a ninth of their sizes' sum."""
 

@@ -60,3 +60,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def filled(batches):
+    """The batches that have rows."""
+    return (b for b in batches if (b.num_rows if hasattr(b, "num_rows") else len(b)))

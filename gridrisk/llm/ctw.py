@@ -52,7 +52,7 @@ def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows in groups of about STRETCH bytes, with their lower-cased texts."""
-    for b in batches:
+    for b in common.filled(batches):
         first, texts, size = 0, [], 0
         for i, x in enumerate(b.column(column), 1):
             texts.append((x.as_py() or "").encode().translate(common.LOWER))
@@ -90,7 +90,7 @@ def count_words(texts: DataFrame, most: int = 400_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-        for b in batches:
+        for b in common.filled(batches):
             for text in b.column(0):
                 held.update(tokens(text.as_py()))
                 if len(held) > most:

@@ -182,7 +182,7 @@ def _matcher(items, window: int, text_at: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(items.value, window)
-        for b in batches:
+        for b in common.filled(batches):
             rows = []
             for text, before in zip(b.column(text_at), b.column(b.num_columns - 1)):
                 ws = words(text.as_py())

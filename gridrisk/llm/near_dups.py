@@ -75,7 +75,7 @@ def sets(docs: DataFrame, keep: str = "none") -> DataFrame:
     """doc_id, node, n of each row of docs, with its shingles: none, the first ones, or all. Empty sets have no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             found = [shingles(x.as_py()) for x in b.column(1)]
             nodes = pa.array(list(map(node_of, found)), pa.int64())
             n = pa.array([len(s) for s in found], pa.int64())
@@ -137,7 +137,7 @@ def index(survivors: DataFrame, frequent: DataFrame) -> DataFrame:
     """key, node, n, bits for each signature of each survivor; frequent: node and the frequent shingles of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             for node, tokens, often in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 t = np.array(tokens.values.to_numpy(zero_copy_only=False), np.int64)
                 k = keys(t, often.values.to_numpy(zero_copy_only=False) if often.is_valid else t[:0])
@@ -157,7 +157,7 @@ def verify(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
     s = survivors.select("node", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.filled(batches):
             x, y = (batch.column(k) for k in (2, 3))
             ok = [linked(p.values.to_numpy(zero_copy_only=False), q.values.to_numpy(zero_copy_only=False)) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
@@ -252,7 +252,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(shingles(x.as_py())) for x in b.column(text_at)], pa.int64())], names=[*b.schema.names, name])
 
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
@@ -316,7 +316,7 @@ def near_bits(pairs: DataFrame) -> DataFrame:
     """Pairs whose bitmaps don't rule a link out: linked sets differ in at most a ninth of their sizes' sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             x, y = (np.frombuffer(b.column(k).cast(pa.binary(BITS // 8)).buffers()[1], np.uint64)[b.column(k).offset * (BITS // 64) :][: b.num_rows * (BITS // 64)].reshape(b.num_rows, -1) for k in (4, 5))
             differ = np.bitwise_count(x ^ y).sum(axis=1)
             sizes = b.column(2).to_numpy() + b.column(3).to_numpy()

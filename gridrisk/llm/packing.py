@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
-        for b in batches:
+        for b in common.filled(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = encode(text.as_py() or "") + end

@@ -146,7 +146,7 @@ def patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for b in batches:
+        for b in common.filled(batches):
             for text in b.column(0):
                 held.update((k, v, f) for _, _, k, _, v, f in candidates(text.as_py() or ""))
         if held:
@@ -235,7 +235,7 @@ def spans(docs: DataFrame, classifier: Classifier, threshold: float = 0.5, redac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probability: dict[tuple, float] = {}
         types = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("probability", pa.float64())]))
-        for b in batches:
+        for b in common.filled(batches):
             texts, found = b.column(at).to_pylist(), []
             for i, text in enumerate(texts):
                 own = []

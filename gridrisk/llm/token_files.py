@@ -107,7 +107,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder
         encode, shard = tokens.encoder(path).encode, TaskContext.get().partitionId()
 
         def documents():
-            for b in batches:
+            for b in common.filled(batches):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                     yield doc, encode(text.as_py() or "") + end
 
@@ -131,7 +131,7 @@ def read(manifest: DataFrame) -> DataFrame:
     files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(common.partitions(spark), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             for shard, path, start in zip(*(c.to_pylist() for c in b.columns)):
                 fs, name = pafs.FileSystem.from_uri(path)
                 with fs.open_input_file(name) as f:

@@ -191,7 +191,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """toxic, word, n over texts (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.filled(batches):
             own: dict[int, Counter] = defaultdict(Counter)
             for c, text in zip(b.column(0).to_pylist(), b.column(1)):
                 own[c].update(words(text.as_py()))
@@ -205,7 +205,7 @@ def gram_counts(counted: DataFrame) -> DataFrame:
     """toxic, gram, n of counted words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in common.filled(batches):
             own: dict[int, Counter] = defaultdict(Counter)
             for c, word, n in zip(b["toxic"], b["word"], b["n"]):
                 for g in grams(word):
@@ -258,16 +258,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, fold: int =
     return model
 
 
-def score_raw(texts: DataFrame, model: Model, spark) -> DataFrame:
-    """texts with their last column, text, replaced by evidence and n_words."""
+def score_raw(texts: DataFrame, model: Model, spark, names: tuple[str, str] = ("evidence", "n_words")) -> DataFrame:
+    """texts with their last column, text, replaced by evidence and n_words, under these names."""
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), "evidence double, n_words long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), f"`{names[0]}` double, `{names[1]}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
+        for b in common.filled(batches):
             e, n = zip(*scorer.evidence(b.column(b.num_columns - 1).to_pylist())) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(e, pa.float64()), pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "evidence", "n_words"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(e, pa.float64()), pa.array(n, pa.int64())], names=[*b.schema.names[:-1], *names])
 
     return texts.mapInArrow(run, schema)
 
@@ -284,7 +284,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
-    name, text = common.free_name(docs, "evidence"), common.free_name(docs, "scored")
-    s = score_raw(docs.withColumn(text, F.col("text").cast("string")), model, docs.sparkSession)
-    s = s.toDF(*docs.columns, name, common.free_name(docs, "words_scored"))
+    name, words_name, text = (common.free_name(docs, x) for x in ("evidence", "n_words", "scored"))
+    s = score_raw(docs.withColumn(text, F.col("text").cast("string")), model, docs.sparkSession, (name, words_name))
     return s.where(1 / (1 + F.exp(-(F.col(name) * model.slope + model.offset))) < threshold).select(*docs.columns)

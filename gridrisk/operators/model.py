@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions import calendar, chance, geo
+from ..sources.work import staged
 
 
 def months(panel: DataFrame) -> DataFrame:
@@ -148,13 +149,13 @@ def factors(drawn: DataFrame) -> DataFrame:
 
 
 def fit(panel: DataFrame, targets: DataFrame, axis: DataFrame, config: ModelConfig, dense: bool) -> dict[str, DataFrame]:
-    """All stages: seasons, based, series, parameters, drawn. Each is read by several later ones, and so is cached."""
-    axis, targets = axis.cache(), targets.cache()
-    seasons = season(axis, targets).cache()
-    based = base(prior(exposure(panel, axis, targets, seasons, dense), seasons, config.radius), config).cache()
-    series = factor_series(panel, axis, targets, seasons, based, dense).cache()
-    parameters = factor_parameters(series, targets, config).cache()
-    return {"seasons": seasons, "based": based, "series": series, "parameters": parameters, "drawn": draws(parameters, config).cache()}
+    """All stages: seasons, based, series, parameters, drawn. Each is read by several later ones, and so is written first."""
+    axis, targets = staged(axis), staged(targets)
+    seasons = staged(season(axis, targets))
+    based = staged(base(prior(exposure(panel, axis, targets, seasons, dense), seasons, config.radius), config))
+    series = staged(factor_series(panel, axis, targets, seasons, based, dense))
+    parameters = staged(factor_parameters(series, targets, config))
+    return {"seasons": seasons, "based": based, "series": series, "parameters": parameters, "drawn": staged(draws(parameters, config))}
 
 
 def intensity(fitted: dict[str, DataFrame]) -> DataFrame:

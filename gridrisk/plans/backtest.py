@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig
 from ..functions import numbers
 from ..operators import model, panel as panels, scoring
+from ..sources.work import staged
 
 
 def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool) -> DataFrame:
@@ -26,8 +27,8 @@ def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool
 
 def scored(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows target, entity, forecaster, p, mu, y for the model, naive and climatology; and the model's totals with y."""
-    panel = panel.cache()
-    axis = model.months(panel).cache()
+    panel = staged(panel)
+    axis = model.months(panel)
     dense = panels.is_dense(panel) if dense is None else dense
     targets = model.backtest_targets(axis, min_history, config.hist_k)
     fitted = model.fit(panel, targets, axis, config, dense)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import TIERS, ModelConfig, NotForward
 from ..functions import calendar, numbers
 from ..operators import model, panel as panels
+from ..sources.work import staged
 
 
 def as_at(panel: DataFrame, through: int) -> DataFrame:
@@ -22,12 +23,12 @@ def as_at(panel: DataFrame, through: int) -> DataFrame:
 
 def tier(panel: DataFrame, config: ModelConfig, first: int, last: int, through: int, dense: bool | None = None) -> DataFrame:
     """target and the tier's struct: model, totals and cells in order of their names. panel: entity, k, y."""
-    panel = panel.cache()
+    panel = staged(panel)
     axis = model.months(panel.where(F.col("k") <= through))
     targets = model.forward_targets(axis, first, last, through, config.hist_k)
     dense = panels.is_dense(panel) if dense is None else dense
     fitted = model.fit(panel, targets, axis, config, dense)
-    counts = model.ensembles(fitted, config).cache()
+    counts = staged(model.ensembles(fitted, config))
     cells = model.predict(fitted, config).join(counts.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95")), ["target", "entity"])
     cell = F.struct(F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
     docs = cells.groupBy("target").agg(F.array_sort(F.collect_list(cell)).alias("cells"), numbers.round_half_up(F.sum("expected"), 1).alias("expected_total"))

@@ -16,6 +16,7 @@ from ..config import ModelConfig
 from ..functions import calendar, chance, geo, numbers
 from ..operators import model, panel as panels, scoring
 from ..sources import documents, incidents
+from ..sources.work import staged
 from . import backtest, forecast, resolve, sweep
 
 MIN_HISTORY = 24
@@ -54,7 +55,7 @@ def measure(spark: SparkSession, d: str, column: str = "accidents", sparse: bool
 
 def fitted(spark: SparkSession, d: str, config: ModelConfig, column: str = "accidents", sparse: bool = False) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """Panel, targets and all stages of the backtest's months."""
-    p = measure(spark, d, column, sparse).cache()
+    p = staged(measure(spark, d, column, sparse))
     axis = model.months(p)
     targets = model.backtest_targets(axis, MIN_HISTORY, config.hist_k)
     return p, targets, model.fit(p, targets, axis, config, True)

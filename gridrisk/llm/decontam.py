@@ -219,7 +219,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 @F.pandas_udf(T.StringType())
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or s is None else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
+    return pd.Series([t if t is None or s is None or not len(s) else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 2) -> DataFrame:

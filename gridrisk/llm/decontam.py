@@ -11,7 +11,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -217,22 +216,58 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[last:]]).decode()
 
 
-@F.pandas_udf(T.StringType())
-def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if t is None or s is None or not len(s) else cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 3, max_bytes: int = 4_000_000) -> DataFrame:
     """docs without what hits the benchmark, in their own columns; n_chars, where docs has it, follows the new text.
 
     A stretch of words that reaches the length limit (`window`, or a whole shorter item) is removed; a document of which
     more than max_coverage of the words hit is removed as a whole. What moves together when a stretch goes may hit
-    again, so this is repeated up to `passes` times, and a document that still hits after the last goes as well.
+    again, so this is repeated up to `passes` times, and a document that still hits after the last goes as well. All
+    passes over a text are made in one task. A benchmark of several blocks is gone through `passes` times, the
+    documents being written after each block, and coverage is then that of a block's items.
     """
-    for last in [*[False] * passes, True]:
-        m = match(docs, benchmark, window)
-        m = m.where(F.col("n_hit") == 0) if last else m.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
-        cut = F.when(F.col("n_hit") > 0, _cut(F.col("text"), F.col("hit_spans"))).otherwise(F.col("text"))
-        fixed = docs.columns if last else [(cut.alias("text") if c == "text" else F.when(F.col("n_hit") > 0, F.char_length(cut)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
-        docs = m.select(*fixed)
-    return docs
+    spark, columns = docs.sparkSession, docs.columns
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    blocks = item_blocks(benchmark, window, max_bytes)
+    first, second = next(blocks), next(blocks, None)
+    limits = window, max_coverage, passes, columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    if second is None:
+        return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(first), *limits), docs.schema)
+    for _ in range(passes):
+        for items in item_blocks(benchmark, window, max_bytes):
+            docs = common.settle(docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(items), *limits), docs.schema), "cleaned")
+    return match(docs, benchmark, window, max_bytes).where("n_hit = 0").select(*columns)
+
+
+def _cleaner(items, window: int, max_coverage: float, passes: int, text_at: int, chars_at: int | None):
+    """For mapInArrow: cuts hits out of texts and leaves out the rows whose documents go."""
+
+    def clean(automaton: Automaton, text: str | None) -> tuple[bool, str | None]:
+        for k in range(passes + 1):
+            ws = words(text)
+            spans, _, _ = automaton.match(ws)
+            hit = sum(e - s for s, e in spans)
+            if not hit:
+                return True, text
+            if hit > max_coverage * len(ws) or k == passes:
+                return False, text
+            text = cut_spans(text, spans)
+        return False, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(items.value, window)
+        for b in common.filled(batches):
+            kept, texts, sizes = [], [], b.column(chars_at).to_pylist() if chars_at is not None else None
+            for i, old in enumerate(b.column(text_at)):
+                before = old.as_py()
+                stays, text = clean(automaton, before)
+                kept.append(stays)
+                texts.append(text)
+                if sizes is not None and text is not before and text != before:
+                    sizes[i] = len(text)
+            out = list(b.columns)
+            out[text_at] = pa.array(texts, b.schema.types[text_at])
+            if sizes is not None:
+                out[chars_at] = pa.array(sizes, b.schema.types[chars_at])
+            yield pa.RecordBatch.from_arrays(out, names=b.schema.names).filter(pa.array(kept, pa.bool_()))
+
+    return run

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,15 +166,22 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: in
     hit_spans are stretches of words that hit, merged. A null text has no words and no hits; repeated rows are matched
     each for itself; an item with a null id goes by the id "null"; without items, or for an empty table, nothing hits.
     Columns of docs with these names are replaced. Items are broadcast in blocks of at most about 2 * max_bytes; each
-    further block takes another pass over docs.
+    further block takes another pass over docs, which are written before it.
     """
     base = docs.drop(*FOUND.fieldNames())
-    kept = base.columns
-    column = common.free_name(base, "match")
-    base = base.withColumn(column, F.lit(None).cast(FOUND))
-    for items in item_blocks(benchmark, window, max_bytes):
-        base = base.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(items), window, kept.index("text")), base.schema)
-    return base.select(*kept, *[F.col(column)[c].alias(c) for c in FOUND.fieldNames()])
+    found, column = _found(base, benchmark, window, max_bytes)
+    return found.select(*base.columns, *[F.col(column)[c].alias(c) for c in FOUND.fieldNames()])
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_bytes: int) -> tuple[DataFrame, str]:
+    """docs with one more column, FOUND over all blocks, and its name. Written before each further block, so that no task holds two."""
+    column = common.free_name(docs, "match")
+    found = docs.withColumn(column, F.lit(None).cast(FOUND))
+    for k, items in enumerate(item_blocks(benchmark, window, max_bytes)):
+        if k:
+            found = common.settle(found, "matched")
+        found = found.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(items), window, docs.columns.index("text")), found.schema)
+    return found, column
 
 
 def _matcher(items, window: int, text_at: int):
@@ -221,9 +229,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 
     A stretch of words that reaches the length limit (`window`, or a whole shorter item) is removed; a document of which
     more than max_coverage of the words hit is removed as a whole. What moves together when a stretch goes may hit
-    again, so this is repeated up to `passes` times, and a document that still hits after the last goes as well. All
-    passes over a text are made in one task. A benchmark of several blocks is gone through `passes` times, the
-    documents being written after each block, and coverage is then that of a block's items.
+    again, so this is repeated up to `passes` times, and a document that still hits after the last goes as well. With
+    one block of items all passes over a text are made in one task. With several, each pass first collects the hits of
+    all blocks and then judges and cuts once, so the rows are the same; only what was cut goes through another pass.
     """
     spark, columns = docs.sparkSession, docs.columns
     docs = docs.withColumn("text", F.col("text").cast("string"))
@@ -232,10 +240,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     limits = window, max_coverage, passes, columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     if second is None:
         return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(first), *limits), docs.schema)
-    for _ in range(passes):
-        for items in item_blocks(benchmark, window, max_bytes):
-            docs = common.settle(docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(items), *limits), docs.schema), "cleaned")
-    return match(docs, benchmark, window, max_bytes).where("n_hit = 0").select(*columns)
+    done = []
+    for k in range(passes + 1):
+        found, column = _found(docs, benchmark, window, max_bytes)
+        found = common.settle(found, "found")
+        done.append(found.where(F.col(column)["n_hit"] == 0).select(*columns))
+        if k == passes:
+            break
+        docs = common.settle(found.where(F.col(column)["n_hit"] > 0).mapInArrow(_cutter(max_coverage, *limits[3:]), found.schema).select(*columns), "cut")
+        if docs.isEmpty():
+            break
+    return reduce(DataFrame.union, done)
 
 
 def _cleaner(items, window: int, max_coverage: float, passes: int, text_at: int, chars_at: int | None):
@@ -256,18 +271,34 @@ def _cleaner(items, window: int, max_coverage: float, passes: int, text_at: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(items.value, window)
         for b in common.filled(batches):
-            kept, texts, sizes = [], [], b.column(chars_at).to_pylist() if chars_at is not None else None
-            for i, old in enumerate(b.column(text_at)):
-                before = old.as_py()
-                stays, text = clean(automaton, before)
-                kept.append(stays)
-                texts.append(text)
-                if sizes is not None and text is not before and text != before:
-                    sizes[i] = len(text)
-            out = list(b.columns)
-            out[text_at] = pa.array(texts, b.schema.types[text_at])
-            if sizes is not None:
-                out[chars_at] = pa.array(sizes, b.schema.types[chars_at])
-            yield pa.RecordBatch.from_arrays(out, names=b.schema.names).filter(pa.array(kept, pa.bool_()))
+            yield _rewritten(b, [clean(automaton, text.as_py()) for text in b.column(text_at)], text_at, chars_at)
+
+    return run
+
+
+def _cutter(max_coverage: float, text_at: int, chars_at: int | None):
+    """For mapInArrow: one pass by the hits in the last column."""
+
+    def cut(text: str, found: dict) -> tuple[bool, str]:
+        if found["n_hit"] > max_coverage * found["n_words"]:
+            return False, text
+        return True, cut_spans(text, [(x["start"], x["end"]) for x in found["hit_spans"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.filled(batches):
+            yield _rewritten(b, [cut(text.as_py(), found.as_py()) for text, found in zip(b.column(text_at), b.column(b.num_columns - 1))], text_at, chars_at)
 
     return run
+
+
+def _rewritten(b: pa.RecordBatch, cleaned: list[tuple[bool, str | None]], text_at: int, chars_at: int | None) -> pa.RecordBatch:
+    """The batch with each row's (stays, text) applied; n_chars follows a text that changed."""
+    out = list(b.columns)
+    out[text_at] = pa.array([text for _, text in cleaned], b.schema.types[text_at])
+    if chars_at is not None:
+        sizes = b.column(chars_at).to_pylist()
+        for i, (old, (_, text)) in enumerate(zip(b.column(text_at), cleaned)):
+            if old.as_py() != text:
+                sizes[i] = len(text)
+        out[chars_at] = pa.array(sizes, b.schema.types[chars_at])
+    return pa.RecordBatch.from_arrays(out, names=b.schema.names).filter(pa.array([stays for stays, _ in cleaned], pa.bool_()))

@@ -136,6 +136,21 @@ def test_decontamination(spark, max_bytes):
     assert all(kept[k] == t for k, t in enumerate(texts) if not brute_hits(t, items, 4)[1])
 
 
+def test_decontamination_by_blocks_gives_the_same_rows(spark):
+    rnd = random.Random(5)
+    run = lambda k: " ".join(f"i{k}x{j}" for j in range(6))
+    plain = lambda n: " ".join(f"p{rnd.randint(0, 999)}" for _ in range(n))
+    b = spark.createDataFrame([(k, run(k)) for k in range(40)], "item_id long, text string")
+    # two items of six words among 20 (60 % hit), among 30 (40 %), and an item that closes up when another is cut out
+    texts = [f"{plain(4)} {run(k)} {plain(4)} {run(k + 1)}" for k in range(39)] + [f"{plain(9)} {run(k)} {plain(9)} {run(k + 1)}" for k in range(39)]
+    texts += [f"{plain(20)} i{k}x0 i{k}x1 {run(k + 1)} i{k}x2 i{k}x3 {plain(20)}" for k in range(39)] + [None, "", plain(20)]
+    rows = lambda **more: sorted(map(tuple, decontam.decontaminate(docs(spark, texts), b, window=4, **more).collect()))
+    whole = rows()
+    assert [r[0] for r in whole] == list(range(39, len(texts))) and all(r[4] == len(r[1] or "") for r in whole)
+    assert rows(max_bytes=500) == whole
+    assert rows(passes=1) == rows(passes=1, max_bytes=500)
+
+
 # 9
 
 

@@ -192,15 +192,20 @@ def p95(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
     return ensembles(fitted, config).select("target", "entity", order_statistic("counts", 0.95).alias("p95"))
 
 
-def p95_analytic(fitted: dict[str, DataFrame], config: ModelConfig, most: int = 60) -> DataFrame:
-    """target, entity, p95: the least c at which the mean over members of the Poisson distribution function reaches 0.95."""
-    p = intensity(fitted).join(F.broadcast(fitted["drawn"]), "target").select("target", "entity", (F.col("mu") * F.exp("f")).alias("rate"))
-    terms = p.select("target", "entity", "rate", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("c"))
-    log_factorial = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("c"))), F.lit(0.0), lambda a, i: a + F.log(i))
-    mass = F.when(F.col("rate") > 0, F.exp(-F.col("rate") + F.col("c") * F.log("rate") - log_factorial)).when(F.col("c") == 0, 1.0).otherwise(0.0)
-    mean = terms.groupBy("target", "entity", "c").agg((F.sum(mass) / config.draws).alias("mass"))
-    upto = mean.withColumn("cdf", F.sum("mass").over(Window.partitionBy("target", "entity").orderBy("c")))
-    return upto.groupBy("target", "entity").agg(F.coalesce(F.min(F.when(F.col("cdf") >= 0.95, F.col("c"))), F.lit(most)).cast("long").alias("p95"))
+def p95_analytic(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
+    """target, entity, p95: the least c at which the mean over members of the Poisson distribution function reaches 0.95.
+
+    The sum runs to max + 10 sqrt(max) + 15 of the members' largest rate, whose own distribution function is past 0.95 there.
+    """
+    rates = F.transform("xs", lambda x: F.col("mu") * x)
+    p = intensity(fitted).join(F.broadcast(factors(fitted["drawn"])), "target").select("target", "entity", rates.alias("rates"), F.coalesce(F.array_max(rates), F.lit(0.0)).alias("top"))
+    logs = F.transform("rates", lambda r: F.struct(r.alias("r"), F.when(r > 0, F.log(r)).otherwise(float("-inf")).alias("log")))
+    p = p.select("target", "entity", logs.alias("rates"), (F.col("top") + 10 * F.sqrt("top") + 15).cast("int").alias("most"))
+    mass = lambda c, log_factorial: F.aggregate("rates", F.lit(0.0), lambda a, r: a + F.exp(c * r["log"] - r["r"] - log_factorial)) / config.draws
+    none = F.aggregate("rates", F.lit(0.0), lambda a, r: a + F.exp(-r["r"])) / config.draws
+    start = F.struct(F.lit(0.0).alias("log_factorial"), none.alias("cdf"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, c: F.struct((s["log_factorial"] + F.log(c)).alias("log_factorial"), (s["cdf"] + mass(c, s["log_factorial"] + F.log(c))).alias("cdf"), (s["n"] + (s["cdf"] < 0.95).cast("long")).alias("n"))
+    return p.select("target", "entity", F.aggregate(F.sequence(F.lit(1), F.col("most")), start, step, lambda s: s["n"]).alias("p95"))
 
 
 def totals(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:

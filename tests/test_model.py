@@ -64,6 +64,24 @@ def test_shared_factor_correlates_cells(spark):
     assert r > 0.2
 
 
+def test_analytic_p95_follows_the_rate(spark):
+    config, bases = ModelConfig(n=3), {"none": 0.0, "few": 0.7, "some": 45.0, "many": 400.0, "most": 3000.0}
+    fitted = {
+        "seasons": spark.createDataFrame([(START, m, 1.0) for m in range(1, 13)], "target int, moy int, s double"),
+        "based": spark.createDataFrame([(START, e, b) for e, b in bases.items()], "target int, entity string, base double"),
+        "drawn": spark.createDataFrame([(START, m, f) for m, f in enumerate((-0.2, 0.0, 0.3), 1)], "target int, member int, f double"),
+    }
+
+    def plain(b):
+        cdf = 0.0
+        for c in range(100_000):
+            cdf += sum(math.exp(c * math.log(r) - r - math.lgamma(c + 1)) if r else float(c == 0) for r in (b * math.exp(f) for f in (-0.2, 0.0, 0.3))) / 3
+            if cdf >= 0.95:
+                return c
+
+    assert {r["entity"]: r["p95"] for r in model.p95_analytic(fitted, config).collect()} == {e: plain(b) for e, b in bases.items()}
+
+
 def test_all_zero_panel(spark):
     got, fitted = next_month(panel(spark, {"0_0": lambda t, m: 0}, 30), ModelConfig(n=50, ar=True))
     assert got["0_0"]["rating"] == 1 and got["0_0"]["expected"] == 0

@@ -300,10 +300,14 @@ SMALL = ModelConfig(n=50)
 cdfs AS (SELECT target, entity, c, sum(mass) OVER (PARTITION BY target, entity ORDER BY c) AS cdf FROM terms)
 SELECT target, entity, coalesce(min(c) FILTER (cdf >= 0.95), 60) AS p95 FROM cdfs GROUP BY ALL""")
 def p95_analytic(spark: SparkSession, d: str) -> DataFrame:
+    return _p95_analytic(spark, d, SMALL)
+
+
+def _p95_analytic(spark: SparkSession, d: str, config: ModelConfig) -> DataFrame:
     p = panels.build(accepted(spark, d), panels.by_district()).select("entity", "k", F.col("ksi").alias("y"))
     axis = model.months(p)
     targets = model.backtest_targets(axis, MIN_HISTORY)
-    return model.p95_analytic(model.fit(p, targets, axis, SMALL, True), SMALL)
+    return model.p95_analytic(model.fit(p, targets, axis, config, True), config)
 
 
 @query(f"""WITH {model_sql(IID)}, ranked AS (SELECT target, total, row_number() OVER (PARTITION BY target ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM totals)
@@ -448,19 +452,32 @@ def resolution_sweep_skill(spark: SparkSession, d: str) -> DataFrame:
     return s.select("tier", "unit", "n_units", *[six(c) for c in ("model_deviance", "naive_deviance", "deviance_skill", "log_loss_skill", "calibration_error")])
 
 
+@query()
+def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comparison: all units of sweep.UNITS with the draws of the published model. The query above holds two of them against SQL."""
+    s = sweep.skill(accepted(spark, d), sweep.UNITS, IID, MIN_HISTORY)
+    return s.select("tier", "unit", "n_units", *[six(c) for c in ("model_deviance", "naive_deviance", "deviance_skill", "log_loss_skill", "calibration_error")])
+
+
+@query()
+def p95_analytic_whole(spark: SparkSession, d: str) -> DataFrame:
+    """p95_analytic with the draws of the published model."""
+    return _p95_analytic(spark, d, IID)
+
+
 @query()
 def cell_ensembles(spark: SparkSession, d: str) -> DataFrame:
     """Drawn counts of each cell: p95 and mean. The draws come from xxhash64, which DuckDB lacks."""
-    f = fitted(spark, d, SMALL)[2]
-    e = model.ensembles(f, SMALL)
-    return e.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"), six(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / SMALL.draws, "mean"))
+    f = fitted(spark, d, IID)[2]
+    e = model.ensembles(f, IID)
+    return e.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"), six(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / IID.draws, "mean"))
 
 
 @query()
 def forecast_documents(spark: SparkSession, d: str) -> DataFrame:
     p = panel_dense(spark, d)
     last = p.agg(F.max("k")).first()[0]
-    docs = forecast.documents(p, calendar.month_text_py(last - 1), n=100, made_at="")
+    docs = forecast.documents(p, calendar.month_text_py(last - 1), made_at="")
     return documents.forecast_cells(docs)
 
 

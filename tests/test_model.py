@@ -1,12 +1,15 @@
+import hashlib
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridrisk.config import MissingColumns, ModelConfig, NotForward, NotPublished
 from gridrisk.functions import calendar
 from gridrisk.operators import model, panel as panels, scoring
-from gridrisk.plans import backtest, forecast, resolve
+from gridrisk.plans import backtest, forecast, queries, resolve
 from gridrisk.sources import documents, incidents, panels as panel_files
 
 START = 2018 * 12
@@ -176,3 +179,50 @@ def test_draws_do_not_depend_on_partitions(spark):
         seen.add(tuple(tuple(r["counts"]) for r in model.ensembles(fitted, ModelConfig(n=20)).orderBy("entity").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(seen) == 1
+
+
+def plain_deviances(rows, draws=400):
+    """Units, and the mean deviance of the model and of the pooled rate, from (entity, month) of each incident."""
+    entities, axis = sorted({e for e, _ in rows}), sorted({k for _, k in rows})
+    seen = Counter(rows)
+    y = np.array([[seen[e, k] for k in axis] for e in entities], float)
+    moy, model_sum, naive_sum = np.array([k % 12 for k in axis]), 0.0, 0.0
+
+    def deviance(y, mu):
+        mu = np.maximum(mu, 1e-12)
+        return 2 * (np.where(y > 0, y * np.log(np.maximum(y, 1) / mu), 0) - (y - mu)).sum()
+
+    def uniform(target, member, stream):
+        return (int(hashlib.md5(f"1|{target}|{member}|{stream}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    for t in range(24, len(axis)):
+        h, m, overall = y[:, :t], moy[:t], y[:, :t].mean()
+        s = np.array([h[:, m == x].mean() / overall if (m == x).any() else 1.0 for x in range(12)])
+        base = (h.sum(1) + overall) / (s[m].sum() + 1)
+        f = np.log((h.sum(0) + 0.5) / (base.sum() * s[m] + 0.5))
+        z = [math.sqrt(-2 * math.log(uniform(axis[t], d, "u"))) * math.cos(2 * math.pi * uniform(axis[t], d, "v")) for d in range(1, draws + 1)]
+        model_sum += deviance(y[:, t], base * s[moy[t]] * np.exp(f.std() * np.array(z)).mean())
+        naive_sum += deviance(y[:, t], np.full(len(entities), overall))
+    n = len(entities) * (len(axis) - 24)
+    return len(entities), model_sum / n, naive_sum / n
+
+
+def test_resolution_sweep_covers_all_units(spark):
+    d = "/root/testdata/sf0.001"
+    got = {(r["tier"], r["unit"]): r for r in queries.QUERIES["resolution_sweep"](spark, d).collect()}
+    rows = queries.accepted(spark, d).collect()
+    for unit, side in {"0.5 km": 500, "1 km": 1000, "2 km": 2000, "3 km": 3000, "4 km": 4000, "district": 0}.items():
+        for tier in ("accidents", "ksi"):
+            n, a, b = plain_deviances([((r["easting"] // side, r["northing"] // side) if side else r["district"], r["k"]) for r in rows if tier == "accidents" or r["ksi"]])
+            r = got.pop((tier, unit))
+            assert (r["n_units"], r["model_deviance"], r["naive_deviance"], r["deviance_skill"]) == (n, pytest.approx(a, abs=2e-6), pytest.approx(b, abs=2e-6), pytest.approx(100 * (b - a) / b, abs=1e-3)), (tier, unit)
+    assert not got
+
+
+def test_queries_take_the_published_draws(spark, monkeypatch):
+    d, seen = "/root/testdata/sf0.001", []
+    for name in ("ensembles", "p95_analytic"):
+        monkeypatch.setattr(model, name, (lambda real: lambda f, c: seen.append(c.draws) or real(f, c))(getattr(model, name)))
+    for q in ("cell_ensembles", "p95_analytic_whole", "forecast_documents"):
+        queries.QUERIES[q](spark, d)
+    assert seen == [400] * 4

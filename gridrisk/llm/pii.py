@@ -36,6 +36,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WRITTEN = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
+#: What every address that WRITTEN may find for loose() has in it.
+MARKED = re.compile(r"dot|at[\])]", re.IGNORECASE)
 SPLIT_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])")
 GROUPED = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
 
@@ -98,8 +100,8 @@ def base(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
 def loose(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates of the looser rules that overlap nothing taken."""
     found = []
-    if "dot" in text or "DOT" in text or "[at]" in text or "(at)" in text:
-        found += [(m.start(), m.end(), "email") for m in WRITTEN.finditer(text) if "dot" in m.group().lower() or "at]" in m.group().lower() or "at)" in m.group().lower()]
+    if MARKED.search(text):
+        found += [(m.start(), m.end(), "email") for m in WRITTEN.finditer(text) if MARKED.search(m.group())]
     if re.search("[0-9] ?[\\[(]", text):
         found += [(m.start(), m.end(), "ip") for m in SPLIT_IP.finditer(text)]
     if re.search("[0-9]{2}", text):
@@ -137,7 +139,7 @@ def describe(text: str, s: int, e: int, kind: str, rule: int) -> tuple[str, str]
 def candidates(text: str) -> list[tuple[int, int, str, int, str, str]]:
     """(start, end, kind, is base, votes, features) of all candidates of a text."""
     kept, failed = base(text)
-    more = loose(text, kept) if DIGIT.search(text) or any(x in text for x in ("dot", "DOT", "at]", "at)")) else []
+    more = loose(text, kept) if DIGIT.search(text) or MARKED.search(text) else []
     return [(s, e, k, b, *describe(text, s, e, k, r)) for group, b, r in ((kept, 1, 1), (failed, 0, -1), (more, 0, 0)) for s, e, k in group]
 
 

@@ -151,6 +151,14 @@ def test_decontamination_by_blocks_gives_the_same_rows(spark):
     assert rows(passes=1) == rows(passes=1, max_bytes=500)
 
 
+# 1, spellings of written addresses
+
+
+@pytest.mark.parametrize("text", ["john [AT] example.com", "john [At] example [Dot] com", "john (aT) example.com", "john [at) example.com", "john At example Dot com", "john [at] example [dot] com"])
+def test_written_addresses_in_any_case(text):
+    assert [(s, e, k) for s, e, k, *_ in pii.candidates(f"<{text}>")] == [(1, 1 + len(text), "email")]
+
+
 # 9
 
 

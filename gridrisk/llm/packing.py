@@ -36,11 +36,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).encode
-        for b in common.filled(batches):
+        for own, found in tokens.encoder(tokenizer).stretches(common.filled(batches)):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py() or "") + end
+            for doc, x in zip(own, found):
+                ids = x + end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
             if rows:

@@ -104,14 +104,8 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder
     dealt = dealt.repartitionByRange(common.partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = tokens.encoder(path).encode, TaskContext.get().partitionId()
-
-        def documents():
-            for b in common.filled(batches):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    yield doc, encode(text.as_py() or "") + end
-
-        rest = documents()
+        shard = TaskContext.get().partitionId()
+        rest = ((doc, x + end) for docs, found in tokens.encoder(path).stretches(common.filled(batches)) for doc, x in zip(docs, found))
         if (first := next(rest, None)) is None:
             return
         fs, base = pafs.FileSystem.from_uri(folder)

@@ -2,17 +2,24 @@
 
 A byte-level BPE splits a text into pre-tokens before it merges anything, and a single space between two characters
 that aren't white space always begins a pre-token. So a text may be cut before each such space and the ids of its
-parts joined, which gives the ids of the whole text; frequent parts come from a bounded cache.
+parts joined, which gives the ids of the whole text. Texts are encoded in stretches: the distinct parts of a stretch are
+looked up in a bounded cache, and all that it lacks are encoded in one call.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: How byte-level BPE writes a space at the start of a token.
+_LEAD = "Ġ"
 
 
 def default_path() -> str:
@@ -33,47 +40,89 @@ class PartEncoder:
     At most 2 * cached parts of up to `longest` characters are kept: a young and an old generation.
     """
 
-    def __init__(self, path: str, cached: int = 600_000, longest: int = 64):
+    def __init__(self, path: str, cached: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cached, self.longest = cached, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        known = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(known.values()) + 1, bool)
+        self.leads[[i for token, i in known.items() if token.startswith(_LEAD)]] = True
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part with a space before it: all parts are encoded as one text, and offsets tell them apart."""
-        found = self.tokenizer.encode("".join([f" {p}" for p in parts]), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
-        at = 4 * np.searchsorted([s for s, _ in found.offsets], starts)
-        ids = np.array(found.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-
-    def _missing(self, parts: list[str]) -> dict[str, bytes]:
-        """The parts (each after a space) that aren't in the young generation."""
-        found, new = {}, []
-        for p in dict.fromkeys(p for p in parts if p not in self.young):
-            if p in self.old:
-                found[p] = self.old[p]
+    def _encode_new(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part with a space before it; parts without spaces are encoded as one text, and leading spaces tell them apart."""
+        plain = [p for p in parts if " " not in p]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([f" {p}" for p in plain])], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != len(plain):
+            return [self._encode(f" {p}") for p in parts]
+        joined, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        found = (joined[a:b] for a, b in zip(ends[:-1], ends[1:]))
+        return [self._encode(f" {p}") if " " in p else next(found) for p in parts]
+
+    def _looked_up(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of the distinct parts, each after a space."""
+        out = [self.young.get(p) for p in parts]
+        lost = [i for i, b in enumerate(out) if b is None]
+        new = []
+        for i in lost:
+            if (b := self.old.get(parts[i])) is None:
+                new.append(i)
             else:
-                new.append(p)
+                out[i] = b
         if new:
-            found.update(zip(new, self._encode_parts(new)))
+            for i, b in zip(new, self._encode_new([parts[i] for i in new])):
+                out[i] = b
         if len(self.young) >= self.cached:
             self.young, self.old = {}, self.young
-        self.young.update((p, b) for p, b in found.items() if len(p) <= self.longest)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        first, *parts = text.split(" ") if _spaces_stand_alone(text) else _CUT.split(text)
-        out = list(map(self.young.get, parts))
-        if None in out:
-            found = self._missing(parts)
-            out = [found[p] if b is None else b for p, b in zip(parts, out)]
-        return (self._encode(first) if first else b"") + b"".join(out)
+        self.young.update((parts[i], out[i]) for i in lost if len(parts[i]) <= self.longest)
+        return out
+
+    def _encode_lists(self, lists: pa.ListArray) -> list[bytes]:
+        """The ids of texts that were cut into these parts."""
+        starts, parts = lists.offsets.to_numpy().astype(np.int64), lists.values
+        later = np.ones(len(parts), bool)
+        later[starts[:-1]] = False
+        rest = parts.filter(pa.array(later)).dictionary_encode()
+        firsts = self.tokenizer.encode_batch_fast(parts.filter(pa.array(~later)).to_pylist(), add_special_tokens=False)
+        known = [*self._looked_up(rest.dictionary.to_pylist()), *(np.array(e.ids, "<u4").tobytes() for e in firsts)]
+        number = np.empty(len(parts), np.int64)
+        number[later] = rest.indices.to_numpy()
+        number[~later] = np.arange(len(known) - len(firsts), len(known))
+        found = [known[k] for k in number.tolist()]
+        at = starts.tolist()
+        return [b"".join(found[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [_spaces_stand_alone(t) for t in texts]
+        for kind in (True, False):
+            own = [i for i, (t, p) in enumerate(zip(texts, plain)) if t and p == kind]
+            if own:
+                lists = pc.split_pattern(pa.array([texts[i] for i in own], pa.string()), " ") if kind else pa.array([_CUT.split(texts[i]) for i in own], pa.list_(pa.string()))
+                for i, ids in zip(own, self._encode_lists(lists)):
+                    out[i] = ids
+        return out
+
+    def stretches(self, batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[tuple[list[int | None], list[bytes]]]:
+        """The doc_ids (first column) and ids of the texts (second column) of batches, some `size` characters at a time; null texts are empty."""
+        docs, texts, held = [], [], 0
+        for b in batches:
+            for doc, text in zip(b.column(0), b.column(1)):
+                docs.append(doc.as_py())
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held >= size:
+                    yield docs, self.encode_all(texts)
+                    docs, texts, held = [], [], 0
+        if docs:
+            yield docs, self.encode_all(texts)
 
 
 _encoders: dict[str, PartEncoder] = {}
@@ -81,8 +130,6 @@ _encoders: dict[str, PartEncoder] = {}
 
 def encoder(path: str) -> PartEncoder:
     """One encoder for each Python worker and file; its cache outlives a task."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = PartEncoder(path)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of words are A-Z lowered; every byte below 0x80 that is neither a digit nor a letter separates alphanumeric words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -45,6 +47,18 @@ def settle(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType, rows: int = 1000, size: str = "16m") -> DataFrame:
+    """df.mapInArrow(run, schema) by batches of at most `rows` rows and about `size` bytes, so that whole texts fit a worker.
+
+    Spark reads these limits from the session when the plan runs, so they are set there, unless the session has smaller ones.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df.mapInArrow(run, schema)
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))), F.lit(n))

@@ -180,7 +180,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_bytes: int) -
     for k, items in enumerate(item_blocks(benchmark, window, max_bytes)):
         if k:
             found = common.settle(found, "matched")
-        found = found.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(items), window, docs.columns.index("text")), found.schema)
+        found = common.in_arrow(found, _matcher(docs.sparkSession.sparkContext.broadcast(items), window, docs.columns.index("text")), found.schema)
     return found, column
 
 
@@ -239,7 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     first, second = next(blocks), next(blocks, None)
     limits = window, max_coverage, passes, columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     if second is None:
-        return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(first), *limits), docs.schema)
+        return common.in_arrow(docs, _cleaner(spark.sparkContext.broadcast(first), *limits), docs.schema)
     done = []
     for k in range(passes + 1):
         found, column = _found(docs, benchmark, window, max_bytes)
@@ -247,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
         done.append(found.where(F.col(column)["n_hit"] == 0).select(*columns))
         if k == passes:
             break
-        docs = common.settle(found.where(F.col(column)["n_hit"] > 0).mapInArrow(_cutter(max_coverage, *limits[3:]), found.schema).select(*columns), "cut")
+        docs = common.settle(common.in_arrow(found.where(F.col(column)["n_hit"] > 0), _cutter(max_coverage, *limits[3:]), found.schema).select(*columns), "cut")
         if docs.isEmpty():
             break
     return reduce(DataFrame.union, done)

@@ -34,7 +34,7 @@ from . import common
 
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BITS = 512
-SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 KEYS = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", T.BinaryType())])
 
 
@@ -71,24 +71,24 @@ def lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]), pa.int64()))
 
 
-def sets(docs: DataFrame, keep: str = "none") -> DataFrame:
-    """doc_id, node, n of each row of docs, with its shingles: none, the first ones, or all. Empty sets have no node."""
+def sets(docs: DataFrame, keep: str) -> DataFrame:
+    """doc_id, hash of the text, node and n of each row of docs, with its shingles: the first ones, or all. Empty sets have no node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.filled(batches):
-            found = [shingles(x.as_py()) for x in b.column(1)]
+            found = [shingles(x.as_py()) for x in b.column(2)]
             nodes = pa.array(list(map(node_of, found)), pa.int64())
             n = pa.array([len(s) for s in found], pa.int64())
-            kept = {"none": lambda s: s[:0], "first": lambda s: s[: first(len(s))], "all": lambda s: s}[keep]
-            yield pa.RecordBatch.from_arrays([b.column(0), nodes, n, lists([kept(s) for s in found])], names=SETS.fieldNames())
+            kept = [s if keep == "all" else s[: first(len(s))] for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, n, lists(kept)], names=SETS.fieldNames())
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SETS)
-    return got.drop("shingles") if keep == "none" else got
+    text = F.col("text").cast("string")
+    return common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")), run, SETS)
 
 
-def sieve(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nodes that may have a link."""
-    t = sets(docs, "first").select("node", F.explode("shingles").alias("s"))
+def sieve(firsts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that may have a link; firsts: node and the first shingles of its set, once or more often."""
+    t = firsts.select("node", F.explode("shingles").alias("s"))
     alone = t.groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
     alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
     taken = F.expr("least(n, n div 5 + greatest(1, n div 10))")
@@ -144,7 +144,7 @@ def index(survivors: DataFrame, frequent: DataFrame) -> DataFrame:
                 bits = bitmap(t).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), node)), pa.array(np.full(len(k), len(t))), pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(k), np.int32)), pa.array([bits], pa.binary())).cast(pa.binary())], names=KEYS.fieldNames())
 
-    return survivors.join(frequent, "node", "left").select("node", "shingles", "often").mapInArrow(run, KEYS)
+    return common.in_arrow(survivors.join(frequent, "node", "left").select("node", "shingles", "often"), run, KEYS)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -163,7 +163,7 @@ def verify(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
     p = pairs.select("a", "b").join(s.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(s.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return common.in_arrow(p.select("a", "b", "x", "y"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,12 +190,13 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 def grouped(docs: DataFrame, frequent: int = 32, crowded: int = 64) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node and n of each row of docs; and node, doc_id (the smallest) and group of each node."""
-    rows = common.settle(sets(docs), "sets")
+    """doc_id, hash, node and n of each row of docs; and node, doc_id (the smallest) and group of each node."""
+    firsts = common.settle(sets(docs, "first"), "sets")
+    rows = firsts.drop("shingles")
     nodes = common.settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
-    maybe = common.settle(sieve(docs, nodes), "sieved", free=True)
+    maybe = common.settle(sieve(firsts, nodes), "sieved", free=True)
     wanted = small(maybe.select(F.col("doc_id").alias("_id")).distinct())
-    again = sets(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi"), "all")
+    again = sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi"), "all")
     survivors = common.settle(again.join(small(maybe.select("node")), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "survivors")
     t = survivors.select("node", F.explode("shingles").alias("s"))
     often = common.settle(t.groupBy("s").count().where(F.col("count") > frequent).select("s"), "frequent")
@@ -246,20 +247,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows, nodes = grouped(docs)
     own = rows.where("node is not null").join(nodes.select("node", "group"), "node")
-    first = own.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("node").alias("set"))).alias("k"))
-    first = common.settle(first.select(F.col("k.id").alias("_id"), F.col("k.set").alias("_set")), "kept")
-    name = common.free_name(docs, "node")
-    text_at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.filled(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_of(shingles(x.as_py())) for x in b.column(text_at)], pa.int64())], names=[*b.schema.names, name])
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
-    stay = marked.where(F.col(name).isNotNull()).join(small(first), marked["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_set")), "left_semi")
-    if rows.where("node is not null").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates(["doc_id", name])
-    return stay.unionByName(marked.where(F.col(name).isNull())).select(*docs.columns)
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("node").alias("set"), F.col("hash").alias("hash"))).alias("k")
+    kept = own.groupBy("group").agg(kept).select("k.id", "k.hash", F.lit(False).alias("blank"))
+    kept = common.settle(kept.union(rows.where("node is null").select("doc_id", "hash", F.lit(True)).distinct()), "kept")
+    name, kept_id, kept_hash, blank = (common.free_name(docs, x) for x in ("hash", "kept_id", "kept_hash", "blank"))
+    marked = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    stay = marked.join(small(kept.toDF(kept_id, kept_hash, blank)), F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(name) == F.col(kept_hash)))
+    if rows.where("node is not null").groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
+        stay = stay.where(~F.col(blank)).dropDuplicates(["doc_id", name]).unionByName(stay.where(blank))
+    return stay.select(*docs.columns)
 
 
 def clusters(k: DataFrame) -> DataFrame:
@@ -322,4 +318,4 @@ def near_bits(pairs: DataFrame) -> DataFrame:
             sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
             yield b.filter(pa.array(9 * differ.astype(np.int64) <= sizes)).select([0, 1])
 
-    return pairs.mapInArrow(run, "node1 long, node2 long")
+    return common.in_arrow(pairs, run, "node1 long, node2 long")

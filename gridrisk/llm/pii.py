@@ -155,7 +155,7 @@ def patterns(docs: DataFrame) -> DataFrame:
             k, v, f = zip(*held)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(f), pa.array(list(held.values()), pa.int64())], names=["kind", "votes", "features", "n"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
+    return common.in_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "kind string, votes string, features string, n long").groupBy("kind", "votes", "features").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -255,7 +255,7 @@ def spans(docs: DataFrame, classifier: Classifier, threshold: float = 0.5, redac
                 columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "pii_spans"])
 
-    return docs.mapInArrow(run, schema)
+    return common.in_arrow(docs, run, schema)
 
 
 def replaced(text: str, found: list[dict]) -> str:

@@ -3,21 +3,25 @@
 Two models, of toxic and of ordinary texts, give each character of a word its probability after up to five characters
 before it in the word. Each discounts its own counts and backs off to one shared model of shorter contexts, whose
 continuation counts come from both classes; so an expression that a class has seen too rarely costs the same in both.
-A text's evidence is the difference of its log-likelihoods divided by its number of words, and a logistic curve, fitted
-on labelled texts that the models did not see, turns that into a score.
+A text's evidence is the difference of its log-likelihoods divided by its number of words, as far as each word's exceeds
+a margin, and a logistic curve turns it into a score. Margin and curve are fitted on the training texts alone: each is
+scored by models of the other folds. Counts and models of all folds are estimated together by grouping and joins.
 """
 
 from __future__ import annotations
 
+import math
+import string
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -26,10 +30,19 @@ ORDER = 6
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: What may stand around a word.
+EDGES = string.punctuation + "…«»¿¡“”‘’„–—"
+
+
 def words(text: str | None) -> list[str]:
+    """Lower-case words with what stands around them."""
     return (text or "").lower().split()
 
 
+def core(word: str) -> str:
+    return word.strip(EDGES)
+
+
 def grams(word: str) -> list[str]:
     """For each character of the word and its end, the character after up to ORDER - 1 characters from the word's start on."""
     w = START + word + END
@@ -55,6 +68,11 @@ def positions(of: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), np.arange(len(joined)) - np.repeat(starts, sizes), starts
 
 
+#: What a word's evidence must exceed to count; the first is no margin at all. Units of the curve's argument.
+MARGINS = (0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)
+SCALES = (1e-4, 1e-3, 1e-2, 1e-1)
+
+
 @dataclass
 class Model:
     """Log-likelihood ratios by hash: of seen grams, and of contexts for the characters not seen after them in either class."""
@@ -66,115 +84,147 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
     margin: float = 3.0
+    scale: float = 1.0
 
     def ratios(self, of: list[str]) -> np.ndarray:
-        """For each word the log of its probability as toxic over that as ordinary, as far as it exceeds the margin.
-
-        By chance the models differ on most words a little, which summed over a long text would outweigh a few toxic ones.
-        """
+        """For each word the log of its probability as toxic over that as ordinary."""
         if not of:
             return np.zeros(0)
         codes, place, starts = positions(of)
         h, g = hashes(codes, place)
         out = np.zeros(len(codes), np.float32)
         for keys, values, want in ((self.context_keys, self.context_ratios, h), (self.gram_keys, self.gram_ratios, g)):
-            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            out = np.where(keys[at] == want, values[at], out)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                out = np.where(keys[at] == want, values[at], out)
         out[starts] = 0
-        of_word = np.add.reduceat(out.astype(np.float64), starts)
-        return np.sign(of_word) * np.maximum(np.abs(of_word) - self.margin, 0)
+        return np.add.reduceat(out.astype(np.float64), starts)
+
+    def probability(self, evidence: Column) -> Column:
+        return 1 / (1 + F.exp(-(F.asinh(evidence / self.scale) * self.slope + self.offset)))
+
+
+def beyond(ratio: float, margin: float) -> float:
+    """What of a word's ratio counts. By chance the models differ on most words a little, which summed over a long text would outweigh a few toxic ones."""
+    return 0.0 if -margin <= ratio <= margin else ratio - margin if ratio > 0 else ratio + margin
 
 
 class Scorer:
-    """Evidence of texts under a model; the ratios of up to 2 * cached words are kept."""
+    """Evidence of texts under a model at each of some margins; the ratios of up to 2 * cached words are kept."""
 
-    def __init__(self, model: Model, cached: int = 250_000):
-        self.model, self.cached = model, cached
-        self.young: dict[str, float] = {}
-        self.old: dict[str, float] = {}
+    def __init__(self, model: Model, margins: tuple[float, ...], cached: int = 150_000):
+        self.model, self.margins, self.cached = model, margins, cached
+        self.young: dict[str, tuple[float, ...]] = {}
+        self.old: dict[str, tuple[float, ...]] = {}
 
-    def evidence(self, texts: list[str | None]) -> list[tuple[float, int]]:
-        """(difference of log-likelihoods divided by the number of words, number of words) of each text; 0 without words."""
-        out = []
+    def evidence(self, texts: Iterable[str | None]) -> Iterator[tuple[list[float], int]]:
+        """For each text the sums by margin of what its words' ratios exceed it by, divided by the number of words, and that number."""
         for text in texts:
             ws = words(text)
             found = list(map(self.young.get, ws))
-            if None in found:
-                lost = [w for w in dict.fromkeys(ws) if w not in self.young]
+            lost = list(dict.fromkeys(w for w, x in zip(ws, found) if x is None))
+            if lost:
                 got = {w: self.old[w] for w in lost if w in self.old}
                 new = [w for w in lost if w not in got]
-                got.update(zip(new, self.model.ratios(new).tolist()))
+                got.update((w, tuple(beyond(x, m) for m in self.margins)) for w, x in zip(new, self.model.ratios(list(map(core, new))).tolist()))
                 found = [got[w] if x is None else x for w, x in zip(ws, found)]
                 if len(self.young) >= self.cached:
                     self.young, self.old = {}, self.young
                 self.young.update((w, x) for w, x in got.items() if len(w) <= 64)
-            out.append((sum(found) / len(ws) if ws else 0.0, len(ws)))
-        return out
+            yield [math.fsum(x[k] for x in found) / max(1, len(ws)) for k in range(len(self.margins))], len(ws)
 
 
-def estimate(counts: dict[int, dict[str, int]], discount: float = 2.0) -> Model:
-    """Kneser-Ney models from the counts of grams in ordinary (0) and toxic (1) words.
+def text_counts(texts: DataFrame) -> DataFrame:
+    """fold, toxic, gram, n over texts (fold, toxic, text); a word counts once in a text, so that no text's repetitions make a rule."""
 
-    The shared model interpolates the pooled counts of full grams with continuation counts of shorter ones, with
-    discounts estimated from the numbers of grams seen once and twice. A class's model takes `discount` from each of its
-    counts and gives what that frees to the shared model, so a gram that a class has no more often than that tells
-    the classes apart by its context only.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.filled(batches):
+            own: dict[tuple[int, int], Counter] = defaultdict(Counter)
+            for fold, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                own[fold, c].update(set(map(core, words(text.as_py()))) - {""})
+            for (fold, c), counted in own.items():
+                of_gram: Counter = Counter()
+                for w, n in counted.items():
+                    for g in grams(w):
+                        of_gram[g] += n
+                k = len(of_gram)
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * k, pa.int32()), pa.array([c] * k, pa.int32()), pa.array(list(of_gram)), pa.array(list(of_gram.values()), pa.int64())], names=["fold", "toxic", "gram", "n"])
+
+    return common.in_arrow(texts.select("fold", "toxic", "text"), run, "fold int, toxic int, gram string, n long").groupBy("fold", "toxic", "gram").agg(F.sum("n").alias("n"))
+
+
+def estimate(counts: DataFrame, folds: int, discount: float) -> DataFrame:
+    """model, key, as_context and ratio of Kneser-Ney models from counts by fold, class and gram.
+
+    Model k below `folds` leaves fold k out; model `folds` has all. The shared model interpolates the pooled counts of full
+    grams with continuation counts of shorter ones, with discounts estimated from the numbers of grams seen once and
+    twice. A class's model takes `discount` from each of its counts and gives what that frees to the shared model, so a gram
+    that a class has no more often than that tells the classes apart by its context only.
     """
-    pooled = Counter(counts[0])
-    pooled.update(counts[1])
-    by_length: dict[int, dict[str, int]] = defaultdict(dict)
-    for g, n in pooled.items():
-        by_length[len(g)][g] = n
-    shared = {ORDER: by_length[ORDER]}
-    for n in range(ORDER - 1, 0, -1):
-        shared[n] = Counter(g[1:] for g in shared[n + 1])
-        shared[n].update(by_length[n])  # grams from a word's start on end no longer one
-
-    def totals(of: dict[str, int]) -> tuple[Counter, Counter]:
-        total, kinds = Counter(), Counter()
-        for g, n in of.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        return total, kinds
-
-    base = sum(shared[1].values()) + 0.5 * (len(shared[1]) + 1)
-    probability = {g: (n + 0.5) / base for g, n in shared[1].items()}
+    by_class = lambda c: F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0))
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("fold"))).alias("model")
+    pooled = common.settle(counts.select(models, "toxic", "gram", "n").groupBy("model", "gram").agg(by_class(0).alias("n0"), by_class(1).alias("n1")), "gram-counts")
+
+    #: From full grams down: grams from a word's start on are counted as they are, all others by the grams one longer.
+    size, levels = F.length("gram"), []
+    for n in range(ORDER, 0, -1):
+        own = pooled.where(size == n).select("model", "gram", (F.col("n0") + F.col("n1")).alias("k"))
+        if levels:
+            longer = levels[0].select("model", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("k"))
+            own = own.unionByName(longer).groupBy("model", "gram").agg(F.sum("k").alias("k"))
+        levels.insert(0, own)
+    shared = common.settle(reduce(DataFrame.unionByName, levels).withColumn("size", size), "shared-counts")
+    seen = shared.groupBy("model", "size").agg(F.sum("k").alias("sum"), F.count("*").alias("kinds"), F.count_if(F.col("k") == 1).alias("once"), F.count_if(F.col("k") == 2).alias("twice"))
+    seen = F.broadcast(seen.select("model", "size", (F.col("sum") + 0.5 * (F.col("kinds") + 1)).alias("base"), F.when(F.col("once") > 0, F.col("once") / (F.col("once") + 2 * F.col("twice"))).otherwise(0.5).alias("d")))
+
+    context = F.expr("substring(gram, 1, length(gram) - 1)")
+    own = lambda n: shared.where(F.col("size") == n).join(seen, ["model", "size"])
+    p = own(1).select("model", "gram", ((F.col("k") + 0.5) / F.col("base")).alias("p"))
+    of_size = [p]
     for n in range(2, ORDER + 1):
-        total, kinds = totals(shared[n])
-        once, twice = (sum(1 for k in shared[n].values() if k == j) for j in (1, 2))
-        d = once / (once + 2 * twice) if once else 0.5
-        probability = {g: (k - d + d * kinds[g[:-1]] * probability[g[1:]]) / total[g[:-1]] for g, k in shared[n].items()} | {g: p for g, p in probability.items() if g[0] == START}
-    known = sorted(pooled)
-    of_class = []
-    for c in (0, 1):
-        total, kinds = Counter(), Counter()
-        for g, n in counts[c].items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += min(n, discount)
-        freed = {h: kinds[h] / n for h, n in total.items()}
-        of_class.append((total, freed))
-
-    def p(c: int, g: str) -> float:
-        total, freed = of_class[c]
-        h = g[:-1]
-        return (max(counts[c].get(g, 0) - discount, 0) / total[h] if h in total else 0.0) + freed.get(h, 1.0) * probability[g]
-
-    contexts = sorted({g[:-1] for g in known})
-    gram_ratios = np.array([np.log(p(1, g) / p(0, g)) for g in known], np.float32)
-    context_ratios = np.array([np.log(of_class[1][1].get(h, 1.0) / of_class[0][1].get(h, 1.0)) for h in contexts], np.float32)
-    return Model(*_sorted(known, gram_ratios, False), *_sorted(contexts, context_ratios, True))
-
-
-def _sorted(of: list[str], values: np.ndarray, as_context: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of grams or contexts as hashes() gives them, in order, with their values."""
+        after = Window.partitionBy("model", "context")
+        level = own(n).withColumn("context", context).withColumn("total", F.sum("k").over(after)).withColumn("kinds", F.count("*").over(after)).withColumn("shorter", F.expr("substring(gram, 2)"))
+        level = level.join(of_size[-1].withColumnsRenamed({"gram": "shorter", "p": "backoff"}), ["model", "shorter"])
+        of_size.append(level.select("model", "gram", ((F.col("k") - F.col("d") + F.col("d") * F.col("kinds") * F.col("backoff")) / F.col("total")).alias("p")))
+    p = reduce(DataFrame.unionByName, of_size)
+
+    found = pooled.join(p, ["model", "gram"]).withColumn("context", context)
+    by_context = pooled.withColumn("context", context).groupBy("model", "context").agg(*[f for c in "01" for f in (F.sum(f"n{c}").alias(f"total{c}"), F.sum(F.least(F.col(f"n{c}"), F.lit(discount))).alias(f"freed{c}"))])
+    freed = lambda c: F.when(F.col(f"total{c}") > 0, F.col(f"freed{c}") / F.col(f"total{c}")).otherwise(1.0)
+    by_context = by_context.select("model", "context", "total0", "total1", freed(0).alias("freed0"), freed(1).alias("freed1"))
+    chance = lambda c: F.when(F.col(f"total{c}") > 0, F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) / F.col(f"total{c}")).otherwise(0.0) + F.col(f"freed{c}") * F.col("p")
+    of_grams = found.join(by_context, ["model", "context"]).select("model", "gram", F.lit(False).alias("as_context"), F.log(chance(1) / chance(0)).cast("float").alias("ratio"))
+    of_contexts = by_context.select("model", F.col("context").alias("gram"), F.lit(True), F.log(F.col("freed1") / F.col("freed0")).cast("float"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.filled(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys(b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)).view(np.int64)), b.column(2), b.column(3)], names=["model", "key", "as_context", "ratio"])
+
+    return common.in_arrow(of_grams.union(of_contexts), run, "model int, key long, as_context boolean, ratio float")
+
+
+def keys(of: list[str], as_context: np.ndarray) -> np.ndarray:
+    """The hashes of grams or contexts, as hashes() gives them."""
     sizes = np.fromiter(map(len, of), np.int64, len(of)) + 1
     codes = np.frombuffer("".join([f"{g}\x00" for g in of]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     ends = np.cumsum(sizes) - 1
-    place = np.arange(len(codes)) - np.repeat(ends + 1 - sizes, sizes)
-    h, g = hashes(codes, place)
-    keys = h[ends] if as_context else g[ends - 1]
-    order = np.argsort(keys)
-    return keys[order], values[order]
+    h, g = hashes(codes, np.arange(len(codes)) - np.repeat(ends + 1 - sizes, sizes))
+    return np.where(as_context, h[ends], g[np.maximum(ends - 1, 0)])
+
+
+def read_models(estimated: DataFrame, folds: int) -> list[Model]:
+    """The models as arrays in order of their keys; what they hold is bounded by the sample that they come from."""
+    t = estimated.toArrow()
+    of, key, as_context, ratio = (t.column(k).to_numpy() for k in range(4))
+    out = []
+    for m in range(folds + 1):
+        arrays = []
+        for kind in (False, True):
+            own = np.flatnonzero((of == m) & (as_context == kind))
+            own = own[np.argsort(key[own].view(np.uint64))]
+            arrays += [key[own].view(np.uint64), ratio[own]]
+        out.append(Model(*arrays))
+    return out
 
 
 def sample(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -187,35 +237,6 @@ def sample(labels: DataFrame, max_rows: int) -> DataFrame:
     return pick(0).unionByName(pick(1))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """toxic, word, n over texts (toxic, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.filled(batches):
-            own: dict[int, Counter] = defaultdict(Counter)
-            for c, text in zip(b.column(0).to_pylist(), b.column(1)):
-                own[c].update(words(text.as_py()))
-            for c, count in own.items():
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(count), pa.int32()), pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["toxic", "word", "n"])
-
-    return texts.select("toxic", "text").mapInArrow(run, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(counted: DataFrame) -> DataFrame:
-    """toxic, gram, n of counted words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in common.filled(batches):
-            own: dict[int, Counter] = defaultdict(Counter)
-            for c, word, n in zip(b["toxic"], b["word"], b["n"]):
-                for g in grams(word):
-                    own[c][g] += n
-            for c, count in own.items():
-                yield pd.DataFrame({"toxic": c, "gram": list(count), "n": list(count.values())})
-
-    return counted.mapInPandas(run, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of the weighted logistic regression of y on x."""
     a = np.stack([x, np.ones_like(x)], axis=1)
@@ -230,46 +251,73 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, fold: int = 4) -> Model:
-    """Models from a bounded sample of labelled documents: max_rows of each class at most; what they hold is all that is collected.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, folds: int = 4, discount: float = 2.0, false_positives: float = 0.01, threshold: float = 0.7) -> Model:
+    """A model from a bounded sample of labelled documents: max_rows of each class at most; what they hold is all that is collected.
 
-    One part in `fold` of the sample fits the logistic curve, the others the models. In the curve's fit the classes weigh
-    as in all labels given. If labels or texts of a class are missing, all scores are the share of toxic labels.
+    Each sampled text is scored by the models of the other folds. Of MARGINS and SCALES those are taken whose logistic curve
+    has the least log loss over these scores, both classes weighing the same; its offset is then lowered until the
+    share of ordinary texts at or above the threshold is within false_positives. Labels or texts that are null, and labels of
+    documents that docs lacks, don't count. If a class has no texts, all scores are the share of toxic labels.
     """
     chosen = sample(labels, max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = common.settle(texts.withColumn("fits", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(fold)) == 0), "labelled")
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    for b in gram_counts(word_counts(texts.where("not fits"))).toArrow().to_batches():
-        for c, g, n in zip(*(x.to_pylist() for x in b.columns)):
-            counts[c][g] = n
+    texts = common.settle(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(folds)).cast("int")), "labelled")
     shares = {r["toxic"]: r["n"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic = shares.get(1, 0) / max(1, sum(shares.values()))
-    none = Model(np.zeros(1, np.uint64), np.zeros(1, np.float32), np.zeros(1, np.uint64), np.zeros(1, np.float32), 0.0, float(np.log((toxic + 1e-6) / (1 - toxic + 1e-6))))
-    if not counts[0] or not counts[1]:
-        return none
-    model = estimate(counts)
-    seen = score_raw(texts.where("fits").select("toxic", "text"), model, docs.sparkSession).toPandas()
-    if seen["toxic"].nunique() < 2:
-        return none
-    y = seen["toxic"].to_numpy(float)
-    weight = np.where(y == 1, toxic / y.mean(), (1 - toxic) / (1 - y.mean()))
-    model.slope, model.offset = logistic(seen["evidence"].to_numpy(float), y, weight)
+    share = shares.get(1, 0) / max(1, sum(shares.values()))
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    if texts.select("toxic").distinct().count() < 2:
+        return Model(*empty, *empty, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    models = read_models(estimate(text_counts(texts), folds, discount), folds)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [Scorer(m, MARGINS, 50_000) for m in shared.value[:folds]]
+        for b in common.filled(batches):
+            found = [next(scorers[f].evidence([x.as_py()])) for f, x in zip(b.column(0).to_pylist(), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([e for e, _ in found], pa.list_(pa.float64()))], names=["toxic", "evidence"])
+
+    seen = common.in_arrow(texts.select("fold", "toxic", "text"), run, "toxic int, evidence array<double>").toPandas()
+    shared.unpersist()
+    model = models[-1]
+    x, y = np.stack(seen["evidence"]), seen["toxic"].to_numpy(float)
+    model.margin, model.scale, model.slope, model.offset = curve(x, y, false_positives, threshold)
     return model
 
 
-def score_raw(texts: DataFrame, model: Model, spark, names: tuple[str, str] = ("evidence", "n_words")) -> DataFrame:
-    """texts with their last column, text, replaced by evidence and n_words, under these names."""
-    shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), f"`{names[0]}` double, `{names[1]}` long"])
+def curve(evidence: np.ndarray, toxic: np.ndarray, false_positives: float, threshold: float) -> tuple[float, float, float, float]:
+    """Margin, scale, slope and offset from evidence by margin of texts that their models did not see."""
+    weight = np.where(toxic == 1, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
+    best = None
+    for k, margin in enumerate(MARGINS):
+        for scale in SCALES:
+            x = np.arcsinh(evidence[:, k] / scale)
+            slope, offset = logistic(x, toxic, weight)
+            z = np.where(toxic == 1, 1, -1) * (slope * x + offset)
+            loss = float((weight * np.logaddexp(0, -z)).sum())
+            if slope > 0 and (best is None or loss < best[0]):
+                best = loss, margin, scale, slope, offset, x
+    if best is None:
+        return 0.0, 1.0, 0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))
+    _, margin, scale, slope, offset, x = best
+    ordinary = np.sort(slope * x[toxic == 0])
+    highest = ordinary[min(len(ordinary) - 1, int(np.ceil((1 - false_positives) * len(ordinary))))]
+    return margin, scale, slope, min(offset, float(np.log(threshold / (1 - threshold)) - highest - 1e-3))
+
+
+def score_raw(texts: DataFrame, model: Model, names: tuple[str, str] = ("evidence", "n_words"), keep_text: bool = False) -> DataFrame:
+    """texts with evidence and n_words of the column text, under these names; without the text itself unless keep_text."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    at = texts.columns.index("text")
+    kept = [i for i in range(len(texts.columns)) if keep_text or i != at]
+    schema = T.StructType([*(texts.schema.fields[i] for i in kept), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared.value, (shared.value.margin,))
         for b in common.filled(batches):
-            e, n = zip(*scorer.evidence(b.column(b.num_columns - 1).to_pylist())) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(e, pa.float64()), pa.array(n, pa.int64())], names=[*b.schema.names[:-1], *names])
+            e, n = zip(*scorer.evidence(x.as_py() for x in b.column(at)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array([x for x, in e], pa.float64()), pa.array(n, pa.int64())], names=schema.fieldNames())
 
-    return texts.mapInArrow(run, schema)
+    return common.in_arrow(texts, run, schema)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -277,13 +325,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     Repeated rows are scored each for itself; an empty table gives no rows. Only the text is read for a score.
     """
-    s = score_raw(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, docs.sparkSession)
-    p = 1 / (1 + F.exp(-(F.col("evidence") * model.slope + model.offset)))
-    return s.withColumn("score", p).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted", "evidence", "n_words")
+    s = score_raw(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    return s.withColumn("score", model.probability(F.col("evidence"))).withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted", "evidence", "n_words")
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold."""
-    name, words_name, text = (common.free_name(docs, x) for x in ("evidence", "n_words", "scored"))
-    s = score_raw(docs.withColumn(text, F.col("text").cast("string")), model, docs.sparkSession, (name, words_name))
-    return s.where(1 / (1 + F.exp(-(F.col(name) * model.slope + model.offset))) < threshold).select(*docs.columns)
+    """The rows of docs, with all their columns, that score below the threshold.
+
+    A null or empty text has no evidence and so goes only where the model holds most texts toxic. Repeated rows stay or
+    go together; an empty table stays empty; columns of docs may have any names.
+    """
+    names = tuple(common.free_name(docs, x) for x in ("evidence", "n_words"))
+    s = score_raw(docs.withColumn("text", F.col("text").cast("string")), model, names, keep_text=True)
+    return s.where(model.probability(F.col(names[0])) < threshold).select(*docs.columns)

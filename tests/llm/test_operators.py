@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +37,11 @@ def plain_ids(text):
 def test_parts_give_the_ids_of_whole_texts():
     rnd, e = random.Random(0), tokens.PartEncoder(tokens.default_path(), cached=20)
     alphabet = [" ", " ", " ", "\n", "\t", "a", "the", "Ab", "1", "'s", ",", "é", " ", " ", "😀", "<|endoftext|>"]
-    for _ in range(300):
-        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))
-        assert np.frombuffer(e.encode(t), "<u4").tolist() == plain_ids(t), repr(t)
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    for n in (1, 7, 300):
+        for k in range(0, 300, n):
+            for t, ids in zip(texts[k : k + n], e.encode_all(texts[k : k + n])):
+                assert np.frombuffer(ids, "<u4").tolist() == plain_ids(t), repr(t)
 
 
 def test_token_files(spark):
@@ -268,8 +271,55 @@ def test_toxicity(spark):
 def test_grams_match_hashes():
     codes, place, starts = toxicity.positions(["ab", "é"])
     h, g = toxicity.hashes(codes, place)
-    keys, _ = toxicity._sorted(toxicity.grams("ab") + toxicity.grams("é"), np.zeros(5), False)
-    assert set(np.delete(g, starts).tolist()) == set(keys.tolist())
+    of = toxicity.grams("ab") + toxicity.grams("é")
+    assert set(np.delete(g, starts).tolist()) == set(toxicity.keys(of, np.zeros(5, bool)).tolist())
+
+
+def plain_kneser_ney(ordinary, toxic, discount):
+    """log P(word | toxic) - log P(word | ordinary), by plain dictionaries."""
+    count = [defaultdict(int), defaultdict(int)]
+    for c, texts in enumerate((ordinary, toxic)):
+        for w in (w for t in texts for w in set(t.split())):
+            for g in toxicity.grams(w):
+                count[c][g] += 1
+    pooled = {g: count[0][g] + count[1][g] for g in {*count[0], *count[1]}}
+    shared = {toxicity.ORDER: {g: n for g, n in pooled.items() if len(g) == toxicity.ORDER}}
+    for n in range(toxicity.ORDER - 1, 0, -1):
+        shared[n] = defaultdict(int, {g: k for g, k in pooled.items() if len(g) == n})
+        for g in shared[n + 1]:
+            shared[n][g[1:]] += 1
+
+    def backoff(g):
+        level = shared[len(g)]
+        if len(g) == 1:
+            return (level[g] + 0.5) / (sum(level.values()) + 0.5 * (len(level) + 1))
+        once, twice = (sum(k == j for k in level.values()) for j in (1, 2))
+        d = once / (once + 2 * twice) if once else 0.5
+        same = [k for x, k in level.items() if x[:-1] == g[:-1]]
+        return (level[g] - d + d * len(same) * backoff(g[1:])) / sum(same)
+
+    def ratio(g):
+        out = []
+        for c in (0, 1):
+            same = [k for x, k in count[c].items() if x[:-1] == g[:-1] and k]
+            total = sum(same)
+            freed = sum(min(k, discount) for k in same) / total if total else 1.0
+            own = max(count[c].get(g, 0) - discount, 0) / total if total else 0.0
+            out.append(own + freed * backoff(g) if g in pooled else freed)
+        return np.log(out[1] / out[0])
+
+    return lambda word: sum(ratio(g) for g in toxicity.grams(word) if g in pooled or any(x[:-1] == g[:-1] for x in pooled))
+
+
+def test_kneser_ney_against_a_plain_version(spark):
+    ordinary, toxic = ["la mi tonre susu la la", "mi tonre lami a"], ["vile la vilegrub", "vilegrub vilegrox mi"]
+    rows = [(k % 2, c, t) for c, texts in enumerate((ordinary, toxic)) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "fold int, toxic int, text string")
+    models = toxicity.read_models(toxicity.estimate(toxicity.text_counts(d), 2, 1.0), 2)
+    for m, keep in enumerate(([1], [0], [0, 1])):
+        want = plain_kneser_ney([ordinary[k] for k in keep], [toxic[k] for k in keep], 1.0)
+        of = ["la", "vile", "vilegrub", "tonre", "laz", "zzz", "v"]
+        assert models[m].ratios(of).tolist() == pytest.approx([want(w) for w in of], rel=1e-4, abs=1e-5)
 
 
 # 5
@@ -322,13 +372,13 @@ def plain_ctw(train, texts, depth):
     return out
 
 
-@pytest.mark.parametrize("max_nodes", [12_000_000, 100])
-def test_context_tree(spark, max_nodes):
+@pytest.mark.parametrize("depth, frequent_grams", [(2, 3_000_000), (2, 0), (3, 40), (4, 3_000_000)])
+def test_context_tree(spark, depth, frequent_grams):
     texts = ["the cat sat", "The cat ran", "a dog, the dog", None, "", "éé é", "the cat sat", "zebra \n the"]
-    got = ctw.scores(docs(spark, texts), F.col("doc_id") % 5 != 1, depth=2, frequent=2, max_nodes=max_nodes).orderBy("doc_id").collect()
+    got = ctw.scores(docs(spark, texts), F.col("doc_id") % 5 != 1, depth=depth, frequent=2, frequent_grams=frequent_grams).orderBy("doc_id").collect()
     low = [(t or "").encode().lower() for t in texts]
-    want = plain_ctw([t for k, t in enumerate(low) if k % 5 != 1], low, 2)
-    assert [r["score"] for r in got] == pytest.approx(want, rel=1e-4)
+    want = plain_ctw([t for k, t in enumerate(low) if k % 5 != 1], low, depth)
+    assert [r["score"] for r in got] == pytest.approx(want, rel=1e-9)
     count = defaultdict(int)
     for k, t in enumerate(low):
         if k % 5 != 1:
@@ -339,7 +389,21 @@ def test_context_tree(spark, max_nodes):
         ws = [*t.split(), b""]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(w in count for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((count.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-    assert ctw.scores(docs(spark, []), F.lit(True), depth=2).count() == 0
+    assert ctw.scores(docs(spark, []), F.lit(True), depth=depth).count() == 0
+    untrained = ctw.scores(docs(spark, ["ab", None]), F.lit(False), depth=depth).orderBy("doc_id").collect()
+    assert [r["score"] for r in untrained] == pytest.approx([24 * np.log10(0.5), 8 * np.log10(0.5)])
+
+
+def test_subtrees_stay_whole(spark):
+    """Rows of one key reach one call, however batches and limits fall."""
+    rows = spark.range(5000).select((F.col("id") % 37).alias("key"), "id")
+
+    def work(t):
+        keys = t.column("key").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(set(keys))), pa.array([keys.count(k) for k in sorted(set(keys))])], names=["key", "n"])
+
+    got = ctw.by_subtree(rows, work, "key long, n long", least=100).collect()
+    assert sorted((r["key"], r["n"]) for r in got) == [(k, len(range(k, 5000, 37))) for k in range(37)]
 
 
 # 6

@@ -59,6 +59,11 @@ def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType, rows: int
     return df.mapInArrow(run, schema)
 
 
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most `most` rows (each of a few numbers or short texts), else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; a null counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))), F.lit(n))

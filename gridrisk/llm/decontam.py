@@ -224,49 +224,45 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, passes: int = 3, max_bytes: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_bytes: int = 4_000_000) -> DataFrame:
     """docs without what hits the benchmark, in their own columns; n_chars, where docs has it, follows the new text.
 
     A stretch of words that reaches the length limit (`window`, or a whole shorter item) is removed; a document of which
     more than max_coverage of the words hit is removed as a whole. What moves together when a stretch goes may hit
-    again, so this is repeated up to `passes` times, and a document that still hits after the last goes as well. With
-    one block of items all passes over a text are made in one task. With several, each pass first collects the hits of
-    all blocks and then judges and cuts once, so the rows are the same; only what was cut goes through another pass.
+    again, so this is repeated until nothing hits; each time the text gets shorter. With one block of items a text is
+    cleaned in one task. With several, each pass first collects the hits of all blocks and then judges and cuts once, so
+    the rows are the same; only what was cut goes through another pass.
+    A null or empty text hits nothing and stays; repeated rows are cleaned each for itself; an empty table stays empty, and
+    without items nothing changes. Other columns of docs may have any names.
     """
     spark, columns = docs.sparkSession, docs.columns
     docs = docs.withColumn("text", F.col("text").cast("string"))
     blocks = item_blocks(benchmark, window, max_bytes)
     first, second = next(blocks), next(blocks, None)
-    limits = window, max_coverage, passes, columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
+    places = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     if second is None:
-        return common.in_arrow(docs, _cleaner(spark.sparkContext.broadcast(first), *limits), docs.schema)
+        return common.in_arrow(docs, _cleaner(spark.sparkContext.broadcast(first), window, max_coverage, *places), docs.schema)
     done = []
-    for k in range(passes + 1):
+    while True:
         found, column = _found(docs, benchmark, window, max_bytes)
         found = common.settle(found, "found")
         done.append(found.where(F.col(column)["n_hit"] == 0).select(*columns))
-        if k == passes:
-            break
-        docs = common.settle(common.in_arrow(found.where(F.col(column)["n_hit"] > 0), _cutter(max_coverage, *limits[3:]), found.schema).select(*columns), "cut")
+        docs = common.settle(common.in_arrow(found.where(F.col(column)["n_hit"] > 0), _cutter(max_coverage, *places), found.schema).select(*columns), "cut")
         if docs.isEmpty():
-            break
-    return reduce(DataFrame.union, done)
+            return reduce(DataFrame.union, done)
 
 
-def _cleaner(items, window: int, max_coverage: float, passes: int, text_at: int, chars_at: int | None):
+def _cleaner(items, window: int, max_coverage: float, text_at: int, chars_at: int | None):
     """For mapInArrow: cuts hits out of texts and leaves out the rows whose documents go."""
 
     def clean(automaton: Automaton, text: str | None) -> tuple[bool, str | None]:
-        for k in range(passes + 1):
+        while True:
             ws = words(text)
             spans, _, _ = automaton.match(ws)
             hit = sum(e - s for s, e in spans)
-            if not hit:
-                return True, text
-            if hit > max_coverage * len(ws) or k == passes:
-                return False, text
+            if not hit or hit > max_coverage * len(ws):
+                return not hit, text
             text = cut_spans(text, spans)
-        return False, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(items.value, window)

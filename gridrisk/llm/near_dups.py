@@ -184,23 +184,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it has at most `most` rows (of one or two integers each), else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def grouped(docs: DataFrame, frequent: int = 32, crowded: int = 64) -> tuple[DataFrame, DataFrame]:
     """doc_id, hash, node and n of each row of docs; and node, doc_id (the smallest) and group of each node."""
     firsts = common.settle(sets(docs, "first"), "sets")
     rows = firsts.drop("shingles")
     nodes = common.settle(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "nodes")
     maybe = common.settle(sieve(firsts, nodes), "sieved", free=True)
-    wanted = small(maybe.select(F.col("doc_id").alias("_id")).distinct())
+    wanted = common.small(maybe.select(F.col("doc_id").alias("_id")).distinct())
     again = sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi"), "all")
-    survivors = common.settle(again.join(small(maybe.select("node")), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "survivors")
+    survivors = common.settle(again.join(common.small(maybe.select("node")), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "survivors")
     t = survivors.select("node", F.explode("shingles").alias("s"))
     often = common.settle(t.groupBy("s").count().where(F.col("count") > frequent).select("s"), "frequent")
-    often = t.join(small(often), "s").groupBy("node").agg(F.collect_list("s").alias("often"))
+    often = t.join(common.small(often), "s").groupBy("node").agg(F.collect_list("s").alias("often"))
     k = common.settle(index(survivors, often), "keys", free=True)
 
     centre = k.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
@@ -252,7 +247,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = common.settle(kept.union(rows.where("node is null").select("doc_id", "hash", F.lit(True)).distinct()), "kept")
     name, kept_id, kept_hash, blank = (common.free_name(docs, x) for x in ("hash", "kept_id", "kept_hash", "blank"))
     marked = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
-    stay = marked.join(small(kept.toDF(kept_id, kept_hash, blank)), F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(name) == F.col(kept_hash)))
+    stay = marked.join(common.small(kept.toDF(kept_id, kept_hash, blank)), F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(name) == F.col(kept_hash)))
     if rows.where("node is not null").groupBy("doc_id", "hash").count().where("count > 1").limit(1).count():
         stay = stay.where(~F.col(blank)).dropDuplicates(["doc_id", name]).unionByName(stay.where(blank))
     return stay.select(*docs.columns)

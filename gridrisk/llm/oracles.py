@@ -5,19 +5,20 @@ from __future__ import annotations
 OP2 = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(url), 1, 7))::BIGINT % 360 AS INT) AS fetched,
-         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS h,
+         regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1) AS h,
          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 asked AS (
   SELECT DISTINCT url, fetched, unnest(list_distinct(list_concat(
-    list_transform(range(1, greatest(1, len(string_split(h, '.')) - 1) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')),
+    CASE WHEN regexp_matches(h, '^(\[|[0-9.]+$)') THEN [h]
+         ELSE list_transform(range(1, greatest(1, len(string_split(h, '.')) - 1) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')) END,
     [h || path]))) AS pattern
   FROM captures WHERE h <> ''),
 listed AS (SELECT DISTINCT pattern, CAST(('0x' || substr(md5(pattern), 1, 7))::BIGINT AS INT) AS k FROM asked),
 raw AS (
-  SELECT lower(pattern) AS pattern, CASE WHEN k % 2 = 0 THEN 'block' ELSE 'allow' END AS action, DATE '2024-01-01' + k % 120 AS listed FROM listed WHERE k % 3 > 0
-  UNION ALL SELECT lower(pattern), CASE WHEN k % 5 < 3 THEN 'remove' ELSE 'block' END, DATE '2024-01-01' + (120 + k % 110) FROM listed WHERE k % 3 > 0
-  UNION ALL SELECT lower(pattern), 'allow', DATE '2024-01-01' + (230 + k % 200) FROM listed WHERE k % 3 > 0),
+  SELECT pattern, CASE WHEN k % 2 = 0 THEN 'block' ELSE 'allow' END AS action, DATE '2024-01-01' + k % 120 AS listed FROM listed WHERE k % 3 > 0
+  UNION ALL SELECT pattern, CASE WHEN k % 5 < 3 THEN 'remove' ELSE 'block' END, DATE '2024-01-01' + (120 + k % 110) FROM listed WHERE k % 3 > 0
+  UNION ALL SELECT pattern, 'allow', DATE '2024-01-01' + (230 + k % 200) FROM listed WHERE k % 3 > 0),
 entries AS (SELECT pattern, listed, arg_max(action, CASE action WHEN 'remove' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) AS action FROM raw GROUP BY ALL),
 spans AS (SELECT *, lead(listed) OVER (PARTITION BY pattern ORDER BY listed) AS until FROM entries),
 found AS (
@@ -72,12 +73,16 @@ f AS (
   SELECT level, lang, source, metric, max(total) AS n_texts, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3,
          greatest(q3 - q1, max(least_spread)) * 4 AS spread
   FROM c GROUP BY level, lang, source, metric),
+k AS (
+  SELECT a.lang, a.source, a.metric, a.n_texts AS n, l.n_texts AS m, a.q1 - a.spread AS low, a.q3 + a.spread AS high,
+         (l.n_texts * (l.q1 - l.spread) + 100.0::DOUBLE * (z.q1 - z.spread)) / (l.n_texts + 100.0::DOUBLE) AS lang_low,
+         (l.n_texts * (l.q3 + l.spread) + 100.0::DOUBLE * (z.q3 + z.spread)) / (l.n_texts + 100.0::DOUBLE) AS lang_high
+  FROM f a JOIN f l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM a.lang AND l.metric = a.metric JOIN f z ON z.level = 0 AND z.metric = a.metric
+  WHERE a.level = 2),
 u AS (
-  SELECT v.r, bool_and(coalesce(v.x <= CASE WHEN a.n_texts >= 100 THEN a.q3 + a.spread WHEN l.n_texts >= 100 THEN l.q3 + l.spread ELSE z.q3 + z.spread END, true)
-    AND (v.metric <> 'word_length' OR coalesce(v.x >= CASE WHEN a.n_texts >= 100 THEN a.q1 - a.spread WHEN l.n_texts >= 100 THEN l.q1 - l.spread ELSE z.q1 - z.spread END, true))) AS within
-  FROM v LEFT JOIN f a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM v.lang AND a.source IS NOT DISTINCT FROM v.source AND a.metric = v.metric
-  LEFT JOIN f l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM v.lang AND l.metric = v.metric AND a.metric IS NOT NULL
-  LEFT JOIN f z ON z.level = 0 AND z.metric = v.metric AND a.metric IS NOT NULL
+  SELECT v.r, bool_and(coalesce(v.x <= (k.n * k.high + 100.0::DOUBLE * k.lang_high) / (k.n + 100.0::DOUBLE), true)
+    AND (v.metric <> 'word_length' OR coalesce(v.x >= (k.n * k.low + 100.0::DOUBLE * k.lang_low) / (k.n + 100.0::DOUBLE), true))) AS within
+  FROM v LEFT JOIN k ON k.lang IS NOT DISTINCT FROM v.lang AND k.source IS NOT DISTINCT FROM v.source AND k.metric = v.metric
   GROUP BY v.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND within AS kept

@@ -23,6 +23,8 @@ METRICS = {
     "repeats": ("n_repeat_words", "n_words", 1000, 50, ("high",)),
 }
 
+FENCES = [f"{kind}_{metric}" for metric, (*_, kinds) in METRICS.items() for kind in kinds]
+
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and counts of each text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
@@ -31,9 +33,23 @@ def measure(docs: DataFrame) -> DataFrame:
     three words are compared by their 64-bit hashes, which differ for different windows of one text but for a chance
     of about (words / 6e9) squared.
     """
-    t = docs.select("doc_id", "lang", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.select("doc_id", "lang", "source", F.expr(f"filter(split(text, '{SPACE}+'), w -> w != '')").alias("words"), F.expr(f"regexp_count(text, '{SYMBOLS}')").alias("n_symbols"), F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^ \\\\x09-\\\\x0D]')").alias("lines"))
-    t = t.select("doc_id", "lang", "source", "n_symbols", F.size("words").alias("n_words"), F.expr("char_length(array_join(words, ''))").alias("word_chars"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.expr("if(size(words) > 2, transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])), cast(array() as array<bigint>))").alias("windows"))
+    of = ["doc_id", "lang", "source"]
+    t = docs.select(*of, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    t = t.select(
+        *of,
+        F.expr(f"filter(split(text, '{SPACE}+'), w -> w != '')").alias("words"),
+        F.expr(f"regexp_count(text, '{SYMBOLS}')").alias("n_symbols"),
+        F.expr(f"filter(split(text, '\\n'), l -> l rlike '[^ \\\\x09-\\\\x0D]')").alias("lines"),
+    )
+    t = t.select(
+        *of,
+        "n_symbols",
+        F.size("words").alias("n_words"),
+        F.expr("char_length(array_join(words, ''))").alias("word_chars"),
+        F.size("lines").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        F.expr("if(size(words) > 2, transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])), cast(array() as array<bigint>))").alias("windows"),
+    )
     t = t.withColumn("again", F.expr("if(size(array_distinct(windows)) = size(windows), cast(array() as array<struct<w:bigint,i:int>>), array_sort(transform(windows, (w, i) -> struct(w, i))))"))
     t = t.withColumn("again", F.expr("sort_array(transform(filter(again, (x, k) -> coalesce(get(again, k - 1).w = x.w, false) or coalesce(get(again, k + 1).w = x.w, false)), x -> x.i))"))
     t = t.withColumn("n_repeat_words", F.expr("aggregate(transform(again, (i, k) -> least(3, coalesce(get(again, k + 1) - i, 3))), 0, (a, x) -> a + x)"))
@@ -79,26 +95,36 @@ def fences(sketch: DataFrame, group: list[str], reach: int = 4) -> DataFrame:
     return q.groupBy(*group).agg(F.max("n_texts").alias("n_texts"), *columns)
 
 
-def judge(docs: DataFrame, least_texts: int = 100, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def shrunk(n: str, own: str, wider: str, prior_texts: int) -> Column:
+    """The mean of a group's fence, weighing as its texts, and of the wider group's, weighing as prior_texts; the wider one without the own."""
+    return F.coalesce((F.col(n) * F.col(own) + F.lit(float(prior_texts)) * F.col(wider)) / (F.col(n) + float(prior_texts)), F.col(wider))
+
+
+def rules(sketch: DataFrame, prior_texts: int) -> DataFrame:
+    """lang, source and the fences that hold for them, from the sketches by lang and source."""
+    groups = fences(sketch, ["lang", "source"])
+    langs = fences(merge(sketch, ["lang"]), ["lang"])
+    everything = fences(merge(sketch, []), []).select(*[F.col(c).alias(f"all_{c}") for c in FENCES])
+    langs = langs.crossJoin(F.broadcast(everything)).select(F.col("lang").alias("of_lang"), *[shrunk("n_texts", c, f"all_{c}", prior_texts).alias(f"lang_{c}") for c in FENCES])
+    joined = groups.join(langs, F.col("lang").eqNullSafe(F.col("of_lang")))
+    return joined.select(F.col("lang").alias("rule_lang"), F.col("source").alias("rule_source"), *[shrunk("n_texts", c, f"lang_{c}", prior_texts).alias(c) for c in FENCES])
+
+
+def judge(docs: DataFrame, prior_texts: int = 100, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """What measure() gives, with base_failed and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in repeated windows. kept: not
-    base_failed, and each metric is within the fences of the text's (lang, source); a group of fewer than least_texts
-    texts takes the fences of its lang, and a lang of fewer those of all texts. A null lang or source is a group like any other.
+    base_failed, and each metric is within the fences of the text's (lang, source). A group's fences are drawn towards
+    those of its lang as by prior_texts more texts, and a lang's likewise towards those of all texts, so that small
+    groups lean on larger ones without a step. A null lang or source is a group like any other.
     """
     m = common.settle(measure(docs), "measured")
-    s = common.settle(sketches(m, ["lang", "source"]), "sketches")
-    names = [f"{k}_{x}" for x, (*_, kinds) in METRICS.items() for k in kinds]
-    groups = fences(s, ["lang", "source"])
-    langs = fences(merge(s, ["lang"]), ["lang"]).select(F.col("lang").alias("_lang"), F.col("n_texts").alias("_n"), *[F.col(c).alias(f"_{c}") for c in names])
-    all_texts = fences(merge(s, []), []).select(*[F.col(c).alias(f"__{c}") for c in names])
-    own = lambda c: F.when(F.col("n_texts") >= least_texts, F.col(c)).when(F.col("_n") >= least_texts, F.col(f"_{c}")).otherwise(F.col(f"__{c}"))
-    rules = groups.join(langs, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(all_texts))
-    rules = rules.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[own(c).alias(c) for c in names])
-    j = m.join(rules, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+    fenced = common.settle(rules(common.settle(sketches(m, ["lang", "source"]), "sketches"), prior_texts), "rules")
+    same = F.col("lang").eqNullSafe(F.col("rule_lang")) & F.col("source").eqNullSafe(F.col("rule_source"))
+    j = m.join(common.small(fenced, 200_000), same, "left").drop("rule_lang", "rule_source")
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     within = F.lit(True)
-    for c in names:
+    for c in FENCES:
         kind, metric = c.split("_", 1)
         within = within & F.coalesce(scaled(metric) >= F.col(c) if kind == "low" else scaled(metric) <= F.col(c), F.lit(True))
     return j.withColumn("base_failed", base).withColumn("kept", ~base & within)

@@ -151,7 +151,16 @@ def test_decontamination_by_blocks_gives_the_same_rows(spark):
     whole = rows()
     assert [r[0] for r in whole] == list(range(39, len(texts))) and all(r[4] == len(r[1] or "") for r in whole)
     assert rows(max_bytes=500) == whole
-    assert rows(passes=1) == rows(passes=1, max_bytes=500)
+
+
+@pytest.mark.parametrize("max_bytes", [4_000_000, 20])
+def test_decontamination_goes_on_until_nothing_hits(spark, max_bytes):
+    b = spark.createDataFrame([(1, "xa yb"), (2, "lone item of more words")], "item_id long, text string")
+    pads = [" ".join(f"{side}{k}" for k in range(30)) for side in "pq"]
+    texts = [f"{pads[0]} {'xa ' * 7}{'yb ' * 7}{pads[1]}", "xa xa yb yb", "xa yb pad pad pad", None, ""]
+    got = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs(spark, texts), b, max_bytes=max_bytes).collect()}
+    assert sorted(got) == [0, 2, 3, 4] and got[0].split() == " ".join(pads).split() and got[2].split() == ["pad"] * 3
+    assert decontam.decontaminate(docs(spark, []), b, max_bytes=max_bytes).count() == 0
 
 
 # 1, spellings of written addresses
@@ -450,9 +459,27 @@ def test_url_lists(spark):
     e = spark.createDataFrame(entries, "pattern string, action string, listed_at string")
     got = sorted((r["page_id"], r["verdict"], r["matched_pattern"]) for r in url_lists.judge(c, e).fillna("", ["matched_pattern"]).collect())
     assert got == [(1, "none", ""), (2, "block", "example.com"), (3, "allow", "a.example.com"), (4, "none", ""), (5, "block", "b.org/x"), (6, "none", ""), (7, "none", ""), (8, "none", ""), (9, "block", "example.com"), (9, "block", "example.com")]
+    assert url_lists.judge(c, e, split=1).exceptAll(url_lists.judge(c, e)).count() == 0
     assert url_lists.judge(c, e.limit(0)).where("verdict <> 'none'").count() == 0 and url_lists.judge(c.limit(0), e).count() == 0
 
 
+@pytest.mark.parametrize(
+    "pattern, url, verdict",
+    [
+        ("B.org/Report", "http://b.ORG/Report", "block"),
+        ("b.org/Report", "http://b.org/report", "none"),
+        ("[2001:DB8::1]", "http://[2001:db8::1]:80/x", "block"),
+        ("[2001:db8::2]/x", "http://u@[2001:db8::2]/x?q", "block"),
+        ("2.3.4", "http://1.2.3.4/", "none"),
+        ("1.2.3.4", "http://1.2.3.4:8080/", "block"),
+    ],
+)
+def test_hosts_and_paths(spark, pattern, url, verdict):
+    c = spark.createDataFrame([(url, "2024-02-01")], "url string, fetched_at string")
+    e = spark.createDataFrame([(pattern, "block", "2024-01-01")], "pattern string, action string, listed_at string")
+    assert url_lists.judge(c, e).first()["verdict"] == verdict
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

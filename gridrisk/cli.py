@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .config import ModelConfig
@@ -70,12 +71,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             d, p = documents.read_forecasts(spark, a.forecasts), panel_files.read(spark, a.panel)
             resolve.check(d, p)
-            out = resolve.resolutions(d, p, a.panel)
+            out = resolve.resolutions(documents.forecast_cells(d), documents.forecast_totals(d), p, a.panel)
             out.show(100)
             if a.out:
                 documents.write(out, a.out, indent=True)
-    except ValueError as e:
-        print(e, file=sys.stderr)
+    except (ValueError, AnalysisException) as e:  # a missing path is Spark's to notice
+        print(str(e).partition("\n")[0], file=sys.stderr)
         return 1
     return 0
 

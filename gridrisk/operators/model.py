@@ -6,12 +6,15 @@ is by month or by target is small and broadcast; what is by entity is shuffled b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions import calendar, chance, geo
 from ..sources.work import staged
+from . import panel as panels
 
 
 def months(panel: DataFrame) -> DataFrame:
@@ -148,14 +151,52 @@ def factors(drawn: DataFrame) -> DataFrame:
     return drawn.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", F.exp("f").alias("x")))), lambda s: s["x"]).alias("xs"))
 
 
-def fit(panel: DataFrame, targets: DataFrame, axis: DataFrame, config: ModelConfig, dense: bool) -> dict[str, DataFrame]:
-    """All stages: seasons, based, series, parameters, drawn. Each is read by several later ones, and so is written first."""
-    axis, targets = staged(axis), staged(targets)
-    seasons = staged(season(axis, targets))
-    based = staged(base(prior(exposure(panel, axis, targets, seasons, dense), seasons, config.radius), config))
-    series = staged(factor_series(panel, axis, targets, seasons, based, dense))
-    parameters = staged(factor_parameters(series, targets, config))
-    return {"seasons": seasons, "based": based, "series": series, "parameters": parameters, "drawn": staged(draws(parameters, config))}
+class Fitted(dict):
+    """The stages of a fit by name: panel, axis, targets, seasons, based, series, parameters, drawn.
+
+    Each is built when it is first asked for. What several later stages read is written then; the others are plans.
+    """
+
+    def __init__(self, panel: DataFrame, targets: Callable[[DataFrame], DataFrame], config: ModelConfig, dense: bool | None = None, through: int | None = None):
+        """targets: from the month table to the targets. dense: None looks whether the panel is. through: months after it aren't known."""
+        super().__init__()
+        self._panel, self._targets, self._config, self._dense, self._through = panel, targets, config, dense, through
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = getattr(self, f"_build_{name}")()
+        return self[name]
+
+    @property
+    def dense(self) -> bool:
+        if self._dense is None:
+            self._dense = panels.is_dense(self["panel"])
+        return self._dense
+
+    def _build_panel(self) -> DataFrame:
+        return staged(self._panel, "panel")
+
+    def _build_axis(self) -> DataFrame:
+        known = self["panel"] if self._through is None else self["panel"].where(F.col("k") <= self._through)
+        return staged(months(known), "axis")
+
+    def _build_targets(self) -> DataFrame:
+        return self._targets(self["axis"])
+
+    def _build_seasons(self) -> DataFrame:
+        return staged(season(self["axis"], self["targets"]), "seasons")
+
+    def _build_based(self) -> DataFrame:
+        exposed = exposure(self["panel"], self["axis"], self["targets"], self["seasons"], self.dense)
+        return staged(base(prior(exposed, self["seasons"], self._config.radius), self._config), "based")
+
+    def _build_series(self) -> DataFrame:
+        return factor_series(self["panel"], self["axis"], self["targets"], self["seasons"], self["based"], self.dense)
+
+    def _build_parameters(self) -> DataFrame:
+        return staged(factor_parameters(self["series"], self["targets"], self._config), "parameters")
+
+    def _build_drawn(self) -> DataFrame:
+        return draws(self["parameters"], self._config)
 
 
 def intensity(fitted: dict[str, DataFrame]) -> DataFrame:
@@ -176,9 +217,12 @@ def predict(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
 def ensembles(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
     """target, entity and counts: a Poisson draw for each member, by the member's shared factor and the cell's own uniforms."""
     p = intensity(fitted).join(F.broadcast(factors(fitted["drawn"])), "target")
+    uniform = chance.uniform if config.portable else chance.fast_uniform
+
     def count(x, m):
         key = (F.lit(config.seed), F.col("target"), F.col("entity"), m)
-        return chance.poisson(F.col("mu") * x, chance.fast_uniform(*key, F.lit("c")), chance.normal(chance.fast_uniform(*key, F.lit("u")), chance.fast_uniform(*key, F.lit("v"))))
+        return chance.poisson(F.col("mu") * x, uniform(*key, F.lit("c")), chance.normal(uniform(*key, F.lit("u")), uniform(*key, F.lit("v"))))
+
     return p.select("target", "entity", F.transform("xs", count).alias("counts"))
 
 

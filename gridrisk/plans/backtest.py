@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions import numbers
-from ..operators import model, panel as panels, scoring
-from ..sources.work import staged
+from ..operators import model, scoring
 
 
 def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool) -> DataFrame:
@@ -25,30 +24,35 @@ def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool
     return rows.join(F.broadcast(pool), "target").select("target", "entity", numbers.half_up_count(F.col("y").cast("double")).alias("y"), "naive", F.coalesce(F.try_divide(F.col("own").cast("double"), "n"), F.col("naive")).alias("climatology"))
 
 
-def scored(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows target, entity, forecaster, p, mu, y for the model, naive and climatology; and the model's totals with y."""
-    panel = staged(panel)
-    axis = model.months(panel)
-    dense = panels.is_dense(panel) if dense is None else dense
-    targets = model.backtest_targets(axis, min_history, config.hist_k)
-    fitted = model.fit(panel, targets, axis, config, dense)
-    rows = baselines(panel, targets, axis, dense).join(model.predict(fitted, config), ["target", "entity"])
-    each = F.explode(F.array(
-        F.struct(F.lit("poisson-factor").alias("forecaster"), (1 - F.col("rating")).alias("p"), F.col("expected").alias("mu")),
-        F.struct(F.lit("naive").alias("forecaster"), numbers.occurrence(F.col("naive")).alias("p"), F.col("naive").alias("mu")),
-        F.struct(F.lit("climatology").alias("forecaster"), numbers.occurrence(F.col("climatology")).alias("p"), F.col("climatology").alias("mu")),
-    ))
-    realised = axis.select(F.col("k").alias("target"), F.col("total").alias("y"))
-    return rows.select("target", "entity", "y", each.alias("x")).select("target", "entity", "x.*", "y"), model.totals(fitted, config).join(F.broadcast(realised), "target")
+FORECASTERS = ("poisson-factor", "naive", "climatology")
+
+
+def fit(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: bool | None = None) -> model.Fitted:
+    """The stages for all months with enough history."""
+    return model.Fitted(panel, lambda axis: model.backtest_targets(axis, min_history, config.hist_k), config, dense)
+
+
+def scored(fitted: model.Fitted, config: ModelConfig, forecasters: tuple[str, ...] = FORECASTERS) -> DataFrame:
+    """Rows target, entity, forecaster, p, mu, y. The model is fitted only if it is among the forecasters."""
+    rows = baselines(fitted["panel"], fitted["targets"], fitted["axis"], fitted.dense)
+    parts = {name: F.struct(F.lit(name).alias("forecaster"), numbers.occurrence(F.col(name)).alias("p"), F.col(name).alias("mu")) for name in FORECASTERS[1:]}
+    if FORECASTERS[0] in forecasters:
+        rows = rows.join(model.predict(fitted, config), ["target", "entity"])
+        parts[FORECASTERS[0]] = F.struct(F.lit(FORECASTERS[0]).alias("forecaster"), (1 - F.col("rating")).alias("p"), F.col("expected").alias("mu"))
+    return rows.select("target", "entity", "y", F.explode(F.array(*[parts[f] for f in forecasters])).alias("x")).select("target", "entity", "x.*", "y")
+
+
+def realised(fitted: model.Fitted) -> DataFrame:
+    """target and y, the total of each month."""
+    return fitted["axis"].select(F.col("k").alias("target"), F.col("total").alias("y"))
 
 
 def report(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: bool | None = None) -> dict[str, DataFrame]:
     """scores: a row for each forecaster, with crps and coverage of totals for the model alone; reliability: the model's curve; totals: by month."""
-    rows, drawn = scored(panel, config, min_history, dense)
-    realised = drawn.select("target", "y").distinct()
+    fitted = fit(panel, config, min_history, dense)
+    rows, drawn = scored(fitted, config), model.totals(fitted, config)
     curve = scoring.reliability(rows, ["forecaster"])
-    drawn = drawn.drop("y")
-    by_month = scoring.crps(drawn, realised).join(scoring.coverage(drawn, realised), "target")
+    by_month = scoring.crps(drawn, realised(fitted)).join(scoring.coverage(drawn, realised(fitted)), "target")
     whole = by_month.agg(F.avg("crps").alias("total_crps"), F.avg(F.col("covered").cast("double")).alias("total_coverage"))
     own = F.col("forecaster") == "poisson-factor"
     scores = scoring.means(rows, ["forecaster"]).join(scoring.calibration_error(curve, ["forecaster"]), "forecaster").crossJoin(F.broadcast(whole))

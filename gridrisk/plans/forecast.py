@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import datetime
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TIERS, ModelConfig, NotForward
 from ..functions import calendar, numbers
-from ..operators import model, panel as panels
+from ..operators import model
+from ..sources import documents as document_files
 from ..sources.work import staged
 
 
@@ -21,26 +23,23 @@ def as_at(panel: DataFrame, through: int) -> DataFrame:
     return known.unionByName(rest, allowMissingColumns=True)
 
 
-def tier(panel: DataFrame, config: ModelConfig, first: int, last: int, through: int, dense: bool | None = None) -> DataFrame:
-    """target and the tier's struct: model, totals and cells in order of their names. panel: entity, k, y."""
-    panel = staged(panel)
-    axis = model.months(panel.where(F.col("k") <= through))
-    targets = model.forward_targets(axis, first, last, through, config.hist_k)
-    dense = panels.is_dense(panel) if dense is None else dense
-    fitted = model.fit(panel, targets, axis, config, dense)
-    counts = staged(model.ensembles(fitted, config))
-    cells = model.predict(fitted, config).join(counts.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95")), ["target", "entity"])
-    cell = F.struct(F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
-    docs = cells.groupBy("target").agg(F.array_sort(F.collect_list(cell)).alias("cells"), numbers.round_half_up(F.sum("expected"), 1).alias("expected_total"))
+def tier(panel: DataFrame, config: ModelConfig, first: int, last: int, through: int, dense: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells (target, cell, rating, expected, p95) and totals (target, model, expected_total, total_p5, total_p50, total_p95) of a panel of entity, k, y."""
+    fitted = model.Fitted(panel, lambda axis: model.forward_targets(axis, first, last, through, config.hist_k), config, dense, through)
+    counts = staged(model.ensembles(fitted, config), "counts")
+    predicted = staged(model.predict(fitted, config), "predicted")
+    p95 = counts.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"))
+    cells = predicted.join(p95, ["target", "entity"]).select("target", F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
+    expected = predicted.groupBy("target").agg(numbers.round_half_up(F.sum("expected"), 1).alias("expected_total"))
     quantiles = model.total_quantiles(model.summed_totals(counts))
-    return docs.join(quantiles, "target").select("target", F.struct(F.lit(config.name).alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)], "cells").alias("tier"))
+    totals = expected.join(quantiles, "target").select("target", F.lit(config.name).alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
+    return cells, totals
 
 
-def documents(panel: DataFrame, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> DataFrame:
-    """A forecast document for each month first to last (by default the 12 after `through`, by default the panel's last).
+def limits(panel: DataFrame, through: str | None = None, first: str | None = None, last: str | None = None) -> tuple[int, int, int]:
+    """The last month that the model may know (by default the panel's last), and the first and last target (by default the 12 months after it).
 
-    panel: entity, k, accidents, ksi. Raises NotForward if the first target isn't after what the model may know, and
-    ValueError if the range is empty.
+    Raises NotForward if the first target isn't after what the model may know, and ValueError if the range is empty.
     """
     end = panel.agg(F.max("k")).first()[0] if through is None else calendar.parse_month_py(through)
     if end is None:
@@ -51,11 +50,26 @@ def documents(panel: DataFrame, through: str | None = None, first: str | None =
         raise NotForward(f"{calendar.month_text_py(a)} is not after {calendar.month_text_py(end)}")
     if b < a:
         raise ValueError("the last target is before the first")
-    parts = {t: tier(panel.select("entity", "k", F.col(t).alias("y")), ModelConfig(n, seed, c.hist_k, c.shrink, c.radius, c.ar), a, b, end) for t, c in TIERS.items()}
-    d = parts["accidents"].withColumnRenamed("tier", "accidents").join(parts["ksi"].withColumnRenamed("tier", "ksi"), "target")
-    month = calendar.month_text(F.col("target"))
+    return end, a, b
+
+
+def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed: int = 1, portable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What tier() gives of both tiers, each with target_month, train_through and tier in place of target. panel: entity, k, accidents, ksi."""
+    named = lambda df, t: df.select(calendar.month_text(F.col("target")).alias("target_month"), F.lit(calendar.month_text_py(end)).alias("train_through"), F.lit(t).alias("tier"), *[c for c in df.columns if c != "target"])
+    parts = []
+    for t, c in TIERS.items():
+        config = replace(c, n=n, seed=seed, portable=portable)
+        parts.append([named(x, t) for x in tier(panel.select("entity", "k", F.col(t).alias("y")), config, first, last, end)])
+    return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
+
+
+def documents(panel: DataFrame, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> DataFrame:
+    """A forecast document for each month first to last, as limits() has it."""
+    end, a, b = limits(panel, through, first, last)
+    d = document_files.assembled(*rows(panel, end, a, b, n, seed))
+    month = F.col("target_month")
     stamp = made_at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     return d.select(
-        month.alias("target_month"), F.lit(stamp).alias("made_at"), F.lit("poisson-factor").alias("model"), F.lit(float(side_km)).alias("cell_km"), F.lit(n).cast("long").alias("n"), F.lit(seed).cast("long").alias("seed"),
-        F.lit(calendar.month_text_py(end)).alias("train_through"), F.lit(os.path.basename(source)).alias("train_source"), F.concat(F.lit("settle against the first panel that covers "), month).alias("settle_note"), "accidents", "ksi",
+        month, F.lit(stamp).alias("made_at"), F.lit("poisson-factor").alias("model"), F.lit(float(side_km)).alias("cell_km"), F.lit(n).cast("long").alias("n"), F.lit(seed).cast("long").alias("seed"),
+        "train_through", F.lit(os.path.basename(source)).alias("train_source"), F.concat(F.lit("settle against the first panel that covers "), month).alias("settle_note"), "accidents", "ksi",
     )

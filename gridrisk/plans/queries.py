@@ -7,16 +7,17 @@ full month.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..config import ModelConfig
+from ..config import TIERS, ModelConfig
 from ..functions import calendar, chance, geo, numbers
 from ..operators import model, panel as panels, scoring
-from ..sources import documents, incidents
-from ..sources.work import staged
+from ..sources import documents, incidents, panels as panel_source
+from ..sources.work import new_folder
 from . import backtest, forecast, resolve, sweep
 
 MIN_HISTORY = 24
@@ -53,12 +54,9 @@ def measure(spark: SparkSession, d: str, column: str = "accidents", sparse: bool
     return panels.build(accepted(spark, d, sparse), panels.by_cell()).select("entity", "k", F.col(column).alias("y"))
 
 
-def fitted(spark: SparkSession, d: str, config: ModelConfig, column: str = "accidents", sparse: bool = False) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Panel, targets and all stages of the backtest's months."""
-    p = staged(measure(spark, d, column, sparse))
-    axis = model.months(p)
-    targets = model.backtest_targets(axis, MIN_HISTORY, config.hist_k)
-    return p, targets, model.fit(p, targets, axis, config, True)
+def fitted(spark: SparkSession, d: str, config: ModelConfig, column: str = "accidents", sparse: bool = False) -> model.Fitted:
+    """The stages of the backtest's months."""
+    return backtest.fit(measure(spark, d, column, sparse), config, MIN_HISTORY, True)
 
 
 def incident_sql(sparse: bool = False) -> str:
@@ -81,20 +79,45 @@ panel AS (
   FROM (SELECT DISTINCT entity FROM cnt) a CROSS JOIN (SELECT DISTINCT k FROM cnt) b LEFT JOIN cnt ON cnt.entity = a.entity AND cnt.k = b.k)"""
 
 
-def model_sql(config: ModelConfig, column: str = "accidents", sparse: bool = False, unit: str = "cell", where: str = "true") -> str:
-    """The stages of the model as common table expressions, each target's window joined as its definition says."""
+def poisson_sql(rates: str, by: str, out: str, u: str, z: str) -> str:
+    """Poisson counts n of a table's rates r: the inverse distribution function at u up to 30, beyond it the rounded normal at z."""
+    return f"""{out}_steps AS (
+  SELECT {by}, u, sum(exp(-r + c * ln(r) - lgamma(c + 1))) OVER (PARTITION BY {by} ORDER BY c) AS cdf
+  FROM (SELECT {by}, r, {u} AS u, unnest(range(0, CAST(trunc(r + 10 * sqrt(r) + 15) AS BIGINT))) AS c FROM {rates} WHERE r > 0 AND r <= 30) x),
+{out}_small AS (SELECT {by}, count(*) FILTER (u > cdf) AS n FROM {out}_steps GROUP BY ALL),
+{out} AS (SELECT {by}, CAST(CASE WHEN r <= 0 THEN 0 WHEN r > 30 THEN greatest(0, trunc(r + sqrt(r) * {z} + 0.5)) ELSE n END AS BIGINT) AS n FROM {rates} LEFT JOIN {out}_small USING ({by}))"""
+
+
+def uniform_sql(*key: str) -> str:
+    """chance.uniform of a key, given as SQL."""
+    joined = " || '|' || ".join(key)
+    return f"((('0x' || substr(md5({joined}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def normal_sql(u: str, v: str) -> str:
+    return f"(sqrt(-2 * ln({u})) * cos(2 * pi() * {v}))"
+
+
+def model_sql(config: ModelConfig, column: str = "accidents", sparse: bool = False, unit: str = "cell", where: str = "true", forward: bool = False) -> str:
+    """The stages of the model as common table expressions, each target's window joined as its definition says.
+
+    forward: targets are the twelve months after the panel's last but one, and the last isn't known.
+    """
     r, a = config.radius, config.weight
     mean, sd = ("CASE WHEN n >= 3 THEN mu + pow(phi, h) * (f_last - mu) ELSE 0.0 END", "CASE WHEN n >= 3 THEN sigma * sqrt(1 - pow(phi, 2 * h)) ELSE sigma END") if config.ar else ("0.0", "sigma")
-    u = lambda s: f"((('0x' || substr(md5('{config.seed}|' || target || '|' || member || '|{s}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    u = lambda s: uniform_sql(f"'{config.seed}'", "target", "member", f"'{s}'")
+    cell_u = lambda s: uniform_sql(f"'{config.seed}'", "target", "entity", "member", f"'{s}'")
+    known = "k <= (SELECT max(k) - 1 FROM panel)" if forward else "true"
+    targets = """SELECT (SELECT max(k) FROM axis) + i AS target, (SELECT max(ord) FROM axis) + 1 AS target_ord, CAST(NULL AS INT) AS cutoff FROM (SELECT unnest(range(1, 13)) AS i) x""" if forward else f"""SELECT t.k AS target, t.ord AS target_ord, c.k AS cutoff FROM axis t LEFT JOIN axis c ON {config.hist_k} > 0 AND c.ord = t.ord - {config.hist_k} WHERE t.ord > {MIN_HISTORY}"""
     prior = f"""near AS (
   SELECT c.target, c.entity, CAST(sum(b.cnt) AS DOUBLE) AS near_cnt, sum(b.e) AS near_e
   FROM placed c JOIN placed b ON b.target = c.target AND b.i BETWEEN c.i - {r} AND c.i + {r} AND b.j BETWEEN c.j - {r} AND c.j + {r} AND b.entity <> c.entity
   GROUP BY ALL),
 priors AS (SELECT c.*, coalesce(CASE WHEN near_e > 0 THEN near_cnt / near_e END, overall) AS prior FROM placed c LEFT JOIN near USING (target, entity) JOIN whole USING (target))""" if r else "priors AS (SELECT c.*, overall AS prior FROM expo c JOIN whole USING (target))"
     return f"""{panel_sql(unit, where, sparse)},
-p AS (SELECT entity, k, k % 12 + 1 AS moy, {column} AS y FROM panel),
+p AS (SELECT entity, k, k % 12 + 1 AS moy, {column} AS y FROM panel WHERE {known}),
 axis AS (SELECT k, moy, row_number() OVER (ORDER BY k) AS ord, CAST(sum(y) AS BIGINT) AS total, count(*) AS n_rows FROM p GROUP BY k, moy),
-targets AS (SELECT t.k AS target, t.ord AS target_ord, c.k AS cutoff FROM axis t LEFT JOIN axis c ON {config.hist_k} > 0 AND c.ord = t.ord - {config.hist_k} WHERE t.ord > {MIN_HISTORY}),
+targets AS ({targets}),
 known AS (SELECT target, axis.* FROM axis JOIN targets ON k < target AND (cutoff IS NULL OR k >= cutoff)),
 whole AS (SELECT target, CAST(sum(total) AS DOUBLE) / sum(n_rows) AS overall FROM known GROUP BY target),
 rates AS (SELECT target, moy, CAST(sum(total) AS DOUBLE) / sum(n_rows) AS rate FROM known GROUP BY ALL),
@@ -120,9 +143,11 @@ drawn AS (SELECT target, member, f_mean + f_sd * (sqrt(-2 * ln({u("u")})) * cos(
 lam AS (SELECT b.target, b.entity, base * s AS mu FROM based b JOIN season z ON z.target = b.target AND z.moy = b.target % 12 + 1),
 pred AS (SELECT l.target, l.entity, l.mu, avg(exp(-l.mu * exp(f))) AS rating, l.mu * avg(exp(f)) AS expected FROM lam l JOIN drawn d ON d.target = l.target GROUP BY l.target, l.entity, l.mu),
 mus AS (SELECT target, sum(mu) AS mu FROM lam GROUP BY target),
-totals AS (
-  SELECT target, member, CAST(greatest(0, trunc(rate + sqrt(rate) * (sqrt(-2 * ln({u("tu")})) * cos(2 * pi() * {u("tv")})) + 0.5)) AS BIGINT) AS total
-  FROM (SELECT target, member, mus.mu * exp(f) AS rate FROM drawn JOIN mus USING (target)) x),
+total_rates AS (SELECT target, member, mus.mu * exp(f) AS r FROM drawn JOIN mus USING (target)),
+{poisson_sql("total_rates", "target, member", "total_counts", u("tc"), normal_sql(u("tu"), u("tv")))},
+totals AS (SELECT target, member, n AS total FROM total_counts),
+cell_rates AS (SELECT l.target, l.entity, d.member - 1 AS member, l.mu * exp(f) AS r FROM lam l JOIN drawn d ON d.target = l.target),
+{poisson_sql("cell_rates", "target, entity, member", "cell_counts", cell_u("c"), normal_sql(cell_u("u"), cell_u("v")))},
 pool AS (SELECT target, CAST(sum(total) AS DOUBLE) / sum(n_rows) AS naive FROM axis JOIN targets ON k < target GROUP BY target),
 own AS (SELECT target, entity, CAST(sum(y) AS DOUBLE) / count(*) AS rate FROM p JOIN targets ON k < target GROUP BY ALL),
 lines AS (SELECT t.target, p.entity, p.y, naive, coalesce(rate, naive) AS climatology FROM p JOIN targets t ON p.k = t.target JOIN pool USING (target) LEFT JOIN own ON own.target = t.target AND own.entity = p.entity),
@@ -205,17 +230,17 @@ def panel_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {model_sql(IID)} SELECT target, moy, round(s, 6) AS s, round(overall, 6) AS overall FROM season")
 def season_profile(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, IID)[2]["seasons"].select("target", "moy", six("s"), six("overall"))
+    return fitted(spark, d, IID)["seasons"].select("target", "moy", six("s"), six("overall"))
 
 
 @query(f"WITH {model_sql(TRAILING)} SELECT target, moy, round(s, 6) AS s, round(overall, 6) AS overall FROM season")
 def season_trailing_k(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, TRAILING)[2]["seasons"].select("target", "moy", six("s"), six("overall"))
+    return fitted(spark, d, TRAILING)["seasons"].select("target", "moy", six("s"), six("overall"))
 
 
 @query(f"WITH {model_sql(TRAILING)} SELECT target, entity, cnt, round(e, 6) AS e FROM expo")
 def cell_exposure(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, TRAILING)[2]["based"].select("target", "entity", "cnt", six("e"))
+    return fitted(spark, d, TRAILING)["based"].select("target", "entity", "cnt", six("e"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(e, 6) AS e, cnt FROM expo")
@@ -229,52 +254,52 @@ def cell_exposure_general(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(base, 6) AS base FROM based")
 def base_global(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, IID)[2]["based"].select("target", "entity", six("base"))
+    return fitted(spark, d, IID)["based"].select("target", "entity", six("base"))
 
 
 @query(f"WITH {model_sql(SPATIAL, 'ksi')} SELECT target, entity, round(prior, 6) AS prior FROM based")
 def neighbour_prior(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, SPATIAL, "ksi")[2]["based"].select("target", "entity", six("prior"))
+    return fitted(spark, d, SPATIAL, "ksi")["based"].select("target", "entity", six("prior"))
 
 
 @query(f"WITH {model_sql(SPATIAL, 'ksi')} SELECT target, entity, round(base, 9) AS base FROM based")
 def base_spatial(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, SPATIAL, "ksi")[2]["based"].select("target", "entity", F.round("base", 9).alias("base"))  # sums of 64ths tie at six places
+    return fitted(spark, d, SPATIAL, "ksi")["based"].select("target", "entity", F.round("base", 9).alias("base"))  # sums of 64ths tie at six places
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, k, obs, round(expected, 6) AS expected, round(f, 6) AS f FROM series")
 def factor_series(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, IID)[2]["series"].select("target", "k", "obs", six("expected"), six("f"))
+    return fitted(spark, d, IID)["series"].select("target", "k", "obs", six("expected"), six("f"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, round(f_mean, 6) AS f_mean, round(f_sd, 6) AS f_sd FROM params")
 def factor_sigma(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, IID)[2]["parameters"].select("target", six("f_mean"), six("f_sd"))
+    return fitted(spark, d, IID)["parameters"].select("target", six("f_mean"), six("f_sd"))
 
 
 @query(f"WITH {model_sql(SPATIAL)} SELECT target, n, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(phi, 6) AS phi, h FROM params")
 def factor_ar1(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, SPATIAL)[2]["parameters"].select("target", "n", six("mu"), six("sigma"), six("phi"), "h")
+    return fitted(spark, d, SPATIAL)["parameters"].select("target", "n", six("mu"), six("sigma"), six("phi"), "h")
 
 
 @query(f"WITH {model_sql(SPATIAL)} SELECT target, round(f_last, 6) AS f_last, round(f_mean, 6) AS f_mean, round(f_sd, 6) AS f_sd FROM params")
 def factor_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, SPATIAL)[2]["parameters"].select("target", six("f_last"), six("f_mean"), six("f_sd"))
+    return fitted(spark, d, SPATIAL)["parameters"].select("target", six("f_last"), six("f_mean"), six("f_sd"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, member, round(f, 6) AS f FROM drawn")
 def factor_draws(spark: SparkSession, d: str) -> DataFrame:
-    return fitted(spark, d, IID)[2]["drawn"].select("target", "member", six("f"))
+    return fitted(spark, d, IID)["drawn"].select("target", "member", six("f"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(rating, 6) AS rating, round(expected, 6) AS expected FROM pred")
 def ratings_iid(spark: SparkSession, d: str) -> DataFrame:
-    return model.predict(fitted(spark, d, IID)[2], IID).select("target", "entity", six("rating"), six("expected"))
+    return model.predict(fitted(spark, d, IID), IID).select("target", "entity", six("rating"), six("expected"))
 
 
 @query(f"WITH {model_sql(SPATIAL, 'ksi')} SELECT target, entity, round(rating, 6) AS rating, round(expected, 6) AS expected FROM pred")
 def ratings_ar_spatial(spark: SparkSession, d: str) -> DataFrame:
-    return model.predict(fitted(spark, d, SPATIAL, "ksi")[2], SPATIAL).select("target", "entity", six("rating"), six("expected"))
+    return model.predict(fitted(spark, d, SPATIAL, "ksi"), SPATIAL).select("target", "entity", six("rating"), six("expected"))
 
 
 TOP = model_sql(IID)
@@ -285,54 +310,65 @@ ranked AS (SELECT entity, round(1 - rating, 6) AS p_incident, round(expected, 6)
 SELECT * FROM ranked ORDER BY p_incident DESC, entity LIMIT 20""")
 def riskiest_cells(spark: SparkSession, d: str) -> DataFrame:
     """The twenty cells most likely to have an incident in the last month, as forecast from the months before it."""
-    _, targets, f = fitted(spark, d, IID)
-    last = targets.agg(F.max("target").alias("target"))
+    f = fitted(spark, d, IID)
+    last = f["targets"].agg(F.max("target").alias("target"))
     p = model.predict(f, IID).join(F.broadcast(last), "target").select("entity", six(1 - F.col("rating"), "p_incident"), six("expected"))
     return p.orderBy(F.desc("p_incident"), "entity").limit(20)
 
 
-SMALL = ModelConfig(n=50)
+FEW = ModelConfig(n=50)
 
 
-@query(f"""WITH {model_sql(SMALL, 'ksi', unit='district')}, terms AS (
-  SELECT l.target, l.entity, c, avg(CASE WHEN l.mu > 0 THEN exp(-l.mu * exp(f) + c * ln(l.mu * exp(f)) - lgamma(c + 1)) WHEN c = 0 THEN 1.0 ELSE 0.0 END) AS mass
-  FROM lam l JOIN drawn d ON d.target = l.target CROSS JOIN (SELECT unnest(range(0, 61)) AS c) x GROUP BY ALL),
+def _p95_analytic_sql(config: ModelConfig) -> str:
+    return f"""WITH {model_sql(config, "ksi", unit="district")}, unit_rates AS (SELECT l.target, l.entity, l.mu * exp(f) AS r FROM lam l JOIN drawn d ON d.target = l.target),
+tops AS (SELECT target, entity, max(r) AS top FROM unit_rates GROUP BY ALL),
+counts AS (SELECT target, entity, unnest(range(0, CAST(trunc(top + 10 * sqrt(top) + 15) AS BIGINT) + 1)) AS c FROM tops),
+terms AS (
+  SELECT target, entity, c, avg(CASE WHEN r > 0 THEN exp(-r + c * ln(r) - lgamma(c + 1)) WHEN c = 0 THEN 1.0 ELSE 0.0 END) AS mass
+  FROM unit_rates JOIN counts USING (target, entity) GROUP BY ALL),
 cdfs AS (SELECT target, entity, c, sum(mass) OVER (PARTITION BY target, entity ORDER BY c) AS cdf FROM terms)
-SELECT target, entity, coalesce(min(c) FILTER (cdf >= 0.95), 60) AS p95 FROM cdfs GROUP BY ALL""")
-def p95_analytic(spark: SparkSession, d: str) -> DataFrame:
-    return _p95_analytic(spark, d, SMALL)
+SELECT target, entity, min(c) FILTER (cdf >= 0.95) AS p95 FROM cdfs GROUP BY ALL"""
 
 
 def _p95_analytic(spark: SparkSession, d: str, config: ModelConfig) -> DataFrame:
     p = panels.build(accepted(spark, d), panels.by_district()).select("entity", "k", F.col("ksi").alias("y"))
-    axis = model.months(p)
-    targets = model.backtest_targets(axis, MIN_HISTORY)
-    return model.p95_analytic(model.fit(p, targets, axis, config, True), config)
+    return model.p95_analytic(backtest.fit(p, config, MIN_HISTORY, True), config)
+
+
+@query(_p95_analytic_sql(FEW))
+def p95_analytic(spark: SparkSession, d: str) -> DataFrame:
+    return _p95_analytic(spark, d, FEW)
+
+
+@query(_p95_analytic_sql(IID))
+def p95_analytic_whole(spark: SparkSession, d: str) -> DataFrame:
+    """p95_analytic with the draws of the published model."""
+    return _p95_analytic(spark, d, IID)
 
 
 @query(f"""WITH {model_sql(IID)}, ranked AS (SELECT target, total, row_number() OVER (PARTITION BY target ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM totals)
 SELECT target, max(total) FILTER (i = floor(0.05 * (n - 1))) AS total_p5, max(total) FILTER (i = floor(0.5 * (n - 1))) AS total_p50, max(total) FILTER (i = floor(0.95 * (n - 1))) AS total_p95 FROM ranked GROUP BY target""")
 def total_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return model.total_quantiles(model.totals(fitted(spark, d, IID)[2], IID))
+    return model.total_quantiles(model.totals(fitted(spark, d, IID), IID))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(naive, 6) AS rate, round(1 - exp(-naive), 6) AS p FROM lines")
 def naive_forecast(spark: SparkSession, d: str) -> DataFrame:
-    p, targets, _ = fitted(spark, d, IID)
-    b = backtest.baselines(p, targets, model.months(p), True)
+    f = fitted(spark, d, IID)
+    b = backtest.baselines(f["panel"], f["targets"], f["axis"], True)
     return b.select("target", "entity", six("naive", "rate"), six(numbers.occurrence(F.col("naive")), "p"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(climatology, 6) AS rate, round(1 - exp(-climatology), 6) AS p FROM lines")
 def climatology_forecast(spark: SparkSession, d: str) -> DataFrame:
-    p, targets, _ = fitted(spark, d, IID)
-    b = backtest.baselines(p, targets, model.months(p), True)
+    f = fitted(spark, d, IID)
+    b = backtest.baselines(f["panel"], f["targets"], f["axis"], True)
     return b.select("target", "entity", six("climatology", "rate"), six(numbers.occurrence(F.col("climatology")), "p"))
 
 
 def _means(spark: SparkSession, d: str, forecaster: str) -> DataFrame:
-    rows, _ = backtest.scored(measure(spark, d), IID, MIN_HISTORY, True)
-    return scoring.means(rows.where(F.col("forecaster") == forecaster), ["forecaster"]).select("forecaster", six("brier"), six("log_loss"), six("deviance"), "n")
+    rows = backtest.scored(fitted(spark, d, IID), IID, (forecaster,))
+    return scoring.means(rows, ["forecaster"]).select("forecaster", six("brier"), six("log_loss"), six("deviance"), "n")
 
 
 def _means_sql(forecaster: str) -> str:
@@ -356,19 +392,19 @@ def score_model(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {model_sql(IID)} SELECT forecaster, bin, round(mean_p, 6) AS mean_p, round(frequency, 6) AS frequency, n FROM curve")
 def reliability_curve(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = backtest.scored(measure(spark, d), IID, MIN_HISTORY, True)
+    rows = backtest.scored(fitted(spark, d, IID), IID)
     return scoring.reliability(rows, ["forecaster"]).select("forecaster", "bin", six("mean_p"), six("frequency"), "n")
 
 
 @query(f"WITH {model_sql(IID)} SELECT forecaster, round(sum(n * abs(mean_p - frequency)) / sum(n), 6) AS calibration_error FROM curve GROUP BY forecaster")
 def calibration_error(spark: SparkSession, d: str) -> DataFrame:
-    rows, _ = backtest.scored(measure(spark, d), IID, MIN_HISTORY, True)
+    rows = backtest.scored(fitted(spark, d, IID), IID)
     return scoring.calibration_error(scoring.reliability(rows, ["forecaster"]), ["forecaster"]).select("forecaster", six("calibration_error"))
 
 
 def _totals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p, _, f = fitted(spark, d, IID)
-    return model.totals(f, IID), model.months(p).select(F.col("k").alias("target"), F.col("total").alias("y"))
+    f = fitted(spark, d, IID)
+    return model.totals(f, IID), backtest.realised(f)
 
 
 @query(f"""WITH {model_sql(IID)}, ranked AS (SELECT target, totals.total, axis.total AS y, row_number() OVER (PARTITION BY target ORDER BY totals.total, member) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM totals JOIN axis ON k = target)
@@ -384,6 +420,23 @@ def coverage_by_month(spark: SparkSession, d: str) -> DataFrame:
     return scoring.coverage(*_totals(spark, d))
 
 
+@query(f"""WITH {model_sql(IID)}, ranked AS (SELECT target, totals.total, axis.total AS y, row_number() OVER (PARTITION BY target ORDER BY totals.total) - 1 AS i, count(*) OVER (PARTITION BY target) AS n FROM totals JOIN axis ON k = target),
+months AS (
+  SELECT target, avg(abs(total - y)) - CAST(sum((2 * i - n + 1) * total) AS DOUBLE) / max(n * n) AS crps,
+         CASE WHEN max(y) BETWEEN max(total) FILTER (i = floor(0.05 * (n - 1))) AND max(total) FILTER (i = floor(0.95 * (n - 1))) THEN 1.0 ELSE 0.0 END AS covered
+  FROM ranked GROUP BY target),
+whole_totals AS (SELECT round(avg(crps), 6) AS crps, round(avg(covered), 6) AS coverage FROM months),
+means AS (SELECT forecaster, round(avg(brier), 6) AS brier, round(avg(log_loss), 6) AS log_loss, round(avg(deviance), 6) AS deviance, count(*) AS n FROM each GROUP BY forecaster),
+errors AS (SELECT forecaster, round(sum(n * abs(mean_p - frequency)) / sum(n), 6) AS calibration_error FROM curve GROUP BY forecaster)
+SELECT forecaster, brier, log_loss, deviance, n, calibration_error, CASE WHEN forecaster = 'poisson-factor' THEN crps END AS total_crps,
+       CASE WHEN forecaster = 'poisson-factor' THEN coverage END AS total_coverage, CASE WHEN forecaster = 'poisson-factor' THEN '{IID.name}' END AS model_name
+FROM means JOIN errors USING (forecaster) CROSS JOIN whole_totals""")
+def backtest_report(spark: SparkSession, d: str) -> DataFrame:
+    """The whole report: mean scores, calibration, and the means over months of the totals' CRPS and interval coverage."""
+    s = backtest.report(measure(spark, d), IID, MIN_HISTORY, True)["scores"]
+    return s.select("forecaster", *[six(c) for c in ("brier", "log_loss", "deviance")], "n", *[six(c) for c in ("calibration_error", "total_crps", "total_coverage")], "model_name")
+
+
 @query(f"""WITH {panel_sql()}, end_of AS (SELECT max(k) - 6 AS through FROM panel), known AS (SELECT entity, k, accidents FROM panel, end_of WHERE k <= through)
 SELECT entity, CAST(count(*) AS BIGINT) AS n_months, CAST(sum(accidents) AS BIGINT) AS accidents FROM known GROUP BY entity""")
 def asof_history(spark: SparkSession, d: str) -> DataFrame:
@@ -392,52 +445,163 @@ def asof_history(spark: SparkSession, d: str) -> DataFrame:
     return forecast.as_at(p, through).groupBy("entity").agg(F.count("k").alias("n_months"), F.coalesce(F.sum("accidents"), F.lit(0)).alias("accidents"))
 
 
-def _frozen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Documents for the months that the naive rate of the year before freezes, by plain columns, and the panel."""
-    p = panel_dense(spark, d)
-    last = p.agg(F.max("k")).first()[0]
-    through = last - 4
-    cells = p.where((F.col("k") <= through) & (F.col("k") > through - 12)).groupBy("entity").agg(F.sum("accidents").alias("a"), F.sum("ksi").alias("s"))
+def _frozen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells and totals of forecasts of three months that the rate of the year before freezes, and the panel.
 
-    def tier(c: str) -> F.Column:
-        rate = F.col(c) / 12.0
-        return F.struct(F.lit("frozen").alias("model"), numbers.round_half_up(F.sum(rate), 1).alias("expected_total"), F.lit(0.0).alias("total_p5"), F.lit(0.0).alias("total_p50"), F.lit(1e9).alias("total_p95"), F.array_sort(F.collect_list(F.struct(F.col("entity").alias("cell"), numbers.round_half_up(F.exp(-rate), 4).alias("rating"), numbers.round_half_up(rate, 4).alias("expected"), F.lit(0).cast("long").alias("p95")))).alias("cells"))
-
-    docs = cells.agg(tier("a").alias("accidents"), tier("s").alias("ksi")).crossJoin(spark.range(through + 1, last).select(calendar.month_text(F.col("id")).alias("target_month")))
-    return docs.withColumn("train_through", F.lit(calendar.month_text_py(through))), p
+    The cells of the southernmost row aren't forecast, and the interval is narrow, so that some totals fall outside it.
+    """
+    p = panel_dense(spark, d)
+    through = p.agg(F.max("k")).first()[0] - 4
+    rates = p.where((F.col("k") <= through) & (F.col("k") > through - 12) & ~F.col("entity").endswith("_155")).groupBy("entity")
+    rates = rates.agg((F.sum("accidents") / 12.0).alias("accidents"), (F.sum("ksi") / 12.0).alias("ksi")).unpivot(["entity"], ["accidents", "ksi"], "tier", "rate")
+    months = spark.range(through + 1, through + 4).select(calendar.month_text(F.col("id")).alias("target_month"), F.lit(calendar.month_text_py(through)).alias("train_through"))
+    half_up = numbers.round_half_up
+    cells = rates.select("tier", F.col("entity").alias("cell"), half_up(F.exp(-F.col("rate")), 4).alias("rating"), half_up(F.col("rate"), 4).alias("expected"), F.lit(0).cast("long").alias("p95"))
+    totals = rates.groupBy("tier").agg(half_up(F.sum("rate"), 1).alias("expected_total"))
+    totals = totals.select("tier", F.lit("frozen").alias("model"), "expected_total", *[half_up(F.col("expected_total") * x, 1).alias(c) for c, x in (("total_p5", 0.9), ("total_p50", 1.0), ("total_p95", 1.1))])
+    dated = lambda df: df.crossJoin(F.broadcast(months)).select("target_month", "train_through", *df.columns)
+    return dated(cells), dated(totals), p
 
 
 FROZEN = f"""{panel_sql()}, lim AS (SELECT max(k) AS last, max(k) - 4 AS through FROM panel),
-rates AS (SELECT entity, sum(accidents) / 12.0 AS a, sum(ksi) / 12.0 AS s FROM panel, lim WHERE k <= through AND k > through - 12 GROUP BY entity),
-frozen AS (SELECT tier, entity, trunc(exp(-rate) * 10000 + 0.5) / 10000 AS rating, trunc(rate * 10000 + 0.5) / 10000 AS expected FROM (SELECT 'accidents' AS tier, entity, a AS rate FROM rates UNION ALL SELECT 'ksi', entity, s FROM rates) x),
+rates AS (SELECT entity, sum(accidents) / 12.0 AS a, sum(ksi) / 12.0 AS s FROM panel, lim WHERE k <= through AND k > through - 12 AND NOT entity LIKE '%\\_155' ESCAPE '\\' GROUP BY entity),
+tiers AS (SELECT 'accidents' AS tier, entity, a AS rate FROM rates UNION ALL SELECT 'ksi', entity, s FROM rates),
+frozen AS (SELECT tier, entity, trunc(exp(-rate) * 10000 + 0.5) / 10000 AS rating, trunc(rate * 10000 + 0.5) / 10000 AS expected FROM tiers),
+wholes AS (SELECT tier, trunc(sum(rate) * 10 + 0.5) / 10 AS expected_total FROM tiers GROUP BY tier),
+intervals AS (SELECT tier, expected_total, trunc(expected_total * 0.9 * 10 + 0.5) / 10 AS total_p5, trunc(expected_total * 1.1 * 10 + 0.5) / 10 AS total_p95 FROM wholes),
+dated AS (SELECT CAST(through + i AS INT) AS target, (through + i) // 12 || '-' || lpad(CAST((through + i) % 12 + 1 AS VARCHAR), 2, '0') AS target_month FROM lim, (SELECT unnest(range(1, 4)) AS i) x),
 settled AS (
-  SELECT tier, k AS target, f.entity AS cell, 1 - rating AS p, expected AS mu, CASE tier WHEN 'ksi' THEN ksi ELSE accidents END AS y
-  FROM frozen f JOIN panel p ON p.entity = f.entity, lim WHERE k > through AND k < last)"""
+  SELECT tier, target, target_month, f.entity AS cell, 1 - rating AS p, expected AS mu, CASE tier WHEN 'ksi' THEN ksi ELSE accidents END AS y
+  FROM frozen f CROSS JOIN dated JOIN panel p ON p.entity = f.entity AND p.k = target),
+months AS (SELECT 'accidents' AS tier, k AS target, sum(accidents) AS all_total FROM panel GROUP BY k UNION ALL SELECT 'ksi', k, sum(ksi) FROM panel GROUP BY k),
+bins AS (
+  SELECT tier, target, greatest(least(CAST(trunc(p * 10) AS INT), 9), 0) AS bin, avg(p) AS mean_p, avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS frequency, count(*) AS n
+  FROM settled GROUP BY ALL),
+resolved AS (
+  SELECT tier, target, target_month, count(*) AS n, round(avg(pow(p - CASE WHEN y > 0 THEN 1 ELSE 0 END, 2)), 6) AS brier,
+         round(avg(2 * (CASE WHEN y > 0 THEN y * ln(y / CASE WHEN mu > 0 THEN mu ELSE 1e-12 END) ELSE 0.0 END - (y - CASE WHEN mu > 0 THEN mu ELSE 1e-12 END))), 6) AS deviance,
+         CAST(sum(y) AS BIGINT) AS realised_total, sum(y) BETWEEN max(total_p5) AND max(total_p95) AS in_interval, CAST(max(all_total) - sum(y) AS BIGINT) AS unforecast_total
+  FROM settled JOIN intervals USING (tier) JOIN months USING (tier, target) GROUP BY ALL)"""
+MATRIX = "SELECT tier, target, bin, trunc(mean_p * 1000 + 0.5) / 1000 AS mean_p, trunc(frequency * 1000 + 0.5) / 1000 AS frequency, n FROM bins"
+
+
+@query(f"WITH {FROZEN} SELECT tier, target, cell, round(p, 6) AS p, round(mu, 6) AS mu, y FROM settled")
+def settle_cells(spark: SparkSession, d: str) -> DataFrame:
+    cells, _, p = _frozen(spark, d)
+    return resolve.settled_cells(cells, p).select("tier", "target", "cell", six("p"), six("mu"), "y")
 
 
-@query(f"WITH {FROZEN} SELECT tier, CAST(target AS INT) AS target, cell, round(p, 6) AS p, round(mu, 6) AS mu, y FROM settled")
-def settle_cells(spark: SparkSession, d: str) -> DataFrame:
-    docs, p = _frozen(spark, d)
-    return resolve.settled_cells(docs, p).select("tier", "target", "cell", six("p"), six("mu"), "y")
+SUMMARY = ["target", "n", "brier", "deviance", "realised_total", "in_interval", "unforecast_total"]
 
 
-@query(f"""WITH {FROZEN} SELECT tier, CAST(target AS INT) AS target, count(*) AS n, round(avg(pow(p - CASE WHEN y > 0 THEN 1 ELSE 0 END, 2)), 6) AS brier,
-round(avg(2 * (CASE WHEN y > 0 THEN y * ln(y / CASE WHEN mu > 0 THEN mu ELSE 1e-12 END) ELSE 0.0 END - (y - CASE WHEN mu > 0 THEN mu ELSE 1e-12 END))), 6) AS deviance,
-CAST(sum(y) AS BIGINT) AS realised_total, true AS in_interval, CAST(0 AS BIGINT) AS unforecast_total FROM settled GROUP BY ALL""")
+@query(f"WITH {FROZEN} SELECT tier, {', '.join(SUMMARY)} FROM resolved")
 def settle_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs, p = _frozen(spark, d)
-    return resolve.resolutions(docs, p).select("tier", calendar.parse_month(F.col("target_month")).alias("target"), "n", six("brier"), six("deviance"), "realised_total", "in_interval", "unforecast_total")
+    r = resolve.resolutions(*_frozen(spark, d)).withColumns({"brier": six("brier"), "deviance": six("deviance"), "target": calendar.parse_month(F.col("target_month"))})
+    return r.select("tier", *SUMMARY)
+
+
+def _matrix(resolved: DataFrame) -> DataFrame:
+    """tier, target, and the lines of the reliability matrix; its bins follow from the mean."""
+    lines = resolved.select("tier", calendar.parse_month(F.col("target_month")).alias("target"), F.explode("reliability").alias("x"))
+    return lines.select("tier", "target", F.col("x")[0].alias("mean_p"), F.col("x")[1].alias("frequency"), F.col("x")[2].cast("long").alias("n"))
+
+
+@query(f"WITH {FROZEN} SELECT tier, target, mean_p, frequency, n FROM ({MATRIX}) m")
+def settle_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return _matrix(resolve.resolutions(*_frozen(spark, d)))
+
+
+@query(f"WITH {FROZEN} SELECT tier, target_month, entity AS cell, rating, expected FROM frozen CROSS JOIN dated")
+def forecast_files(spark: SparkSession, d: str) -> DataFrame:
+    """Forecast documents written as JSON and read back."""
+    cells, totals, _ = _frozen(spark, d)
+    path = new_folder(spark, "forecasts")
+    documents.write(documents.assembled(cells, totals), path)
+    return documents.forecast_cells(documents.read_forecasts(spark, path)).select("tier", "target_month", "cell", "rating", "expected")
+
+
+@query(f"WITH {FROZEN} SELECT tier, target_month, n, realised_total, in_interval, unforecast_total FROM resolved")
+def resolution_files(spark: SparkSession, d: str) -> DataFrame:
+    """Resolution documents written as JSON and read back."""
+    path = new_folder(spark, "resolutions")
+    documents.write(resolve.resolutions(*_frozen(spark, d)), path)
+    fields = "tier string, target_month string, n bigint, realised_total bigint, in_interval boolean, unforecast_total bigint"
+    return spark.read.text(path).select(F.from_json("value", fields).alias("d")).select("d.*")
+
+
+@query(f"WITH {panel_sql()} SELECT k // 12 || '-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') AS month, k, entity, CAST(accidents AS DOUBLE) AS accidents, CAST(ksi AS DOUBLE) AS ksi, printf('%.2f', tenths / 10.0) AS weighted_days FROM panel")
+def panel_files(spark: SparkSession, d: str) -> DataFrame:
+    """The panel written as CSV and read back, its weights as text."""
+    path = new_folder(spark, "panel")
+    panel_source.write(panel_dense(spark, d), path, csv=True)
+    weights = spark.read.option("header", True).csv(path).select("month", F.col("cell").alias("entity"), "weighted_days")
+    return panel_source.read(spark, path).withColumn("month", calendar.month_text(F.col("k"))).join(weights, ["entity", "month"])
+
+
+def forward_sql(config: ModelConfig, tier: str) -> str:
+    config = replace(config, portable=True)
+    u = "row_number() OVER (PARTITION BY target, entity ORDER BY n) - 1"
+    return f"""(WITH {model_sql(config, tier, forward=True)},
+ordered AS (SELECT target, entity, n, {u} AS i, count(*) OVER (PARTITION BY target, entity) AS draws FROM cell_counts),
+p95s AS (SELECT target, entity, max(n) FILTER (i = floor(0.95 * (draws - 1))) AS p95 FROM ordered GROUP BY ALL),
+sums_by_member AS (SELECT target, member, CAST(sum(n) AS BIGINT) AS total FROM cell_counts GROUP BY ALL),
+ordered_sums AS (SELECT target, total, row_number() OVER (PARTITION BY target ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY target) AS draws FROM sums_by_member),
+quantiles AS (
+  SELECT target, CAST(max(total) FILTER (i = floor(0.05 * (draws - 1))) AS DOUBLE) AS total_p5, CAST(max(total) FILTER (i = floor(0.5 * (draws - 1))) AS DOUBLE) AS total_p50,
+         CAST(max(total) FILTER (i = floor(0.95 * (draws - 1))) AS DOUBLE) AS total_p95
+  FROM ordered_sums GROUP BY target),
+expected_totals AS (SELECT target, trunc(sum(expected) * 10 + 0.5) / 10 AS expected_total FROM pred GROUP BY target)"""
+
+
+def month_sql(k: str) -> str:
+    return f"{k} // 12 || '-' || lpad(CAST({k} % 12 + 1 AS VARCHAR), 2, '0')"
+
+
+PORTABLE = 50
+
+
+def _forward(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = panel_dense(spark, d)
+    last = p.agg(F.max("k")).first()[0]
+    return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)), PORTABLE, portable=True)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {forward_sql(replace(c, n=PORTABLE), t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, entity AS cell, trunc(rating * 10000 + 0.5) / 10000 AS rating, trunc(expected * 10000 + 0.5) / 10000 AS expected, p95 FROM pred JOIN p95s USING (target, entity))" for t, c in TIERS.items()))
+def forecast_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The published cells: rating, expected count and 95 % count, with draws that SQL can repeat."""
+    return _forward(spark, d)[0].drop("train_through")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {forward_sql(replace(c, n=PORTABLE), t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, '{c.name}' AS model, expected_total, total_p5, total_p50, total_p95 FROM expected_totals JOIN quantiles USING (target))" for t, c in TIERS.items()))
+def forecast_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The published coherent totals: cells' draws summed member by member, with draws that SQL can repeat."""
+    return _forward(spark, d)[1].drop("train_through")
+
+
+KEYED = ModelConfig(n=20, portable=True)
+
+
+@query(f"WITH {model_sql(KEYED)}, ordered AS (SELECT target, entity, n, row_number() OVER (PARTITION BY target, entity ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY target, entity) AS draws FROM cell_counts) SELECT target, entity, max(n) FILTER (i = floor(0.95 * (draws - 1))) AS p95, round(sum(n) / 20.0, 6) AS mean FROM ordered GROUP BY target, entity")
+def cell_ensembles_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """cell_ensembles with draws that SQL can repeat."""
+    return _ensembles(spark, d, KEYED)
+
+
+def _ensembles(spark: SparkSession, d: str, config: ModelConfig) -> DataFrame:
+    e = model.ensembles(fitted(spark, d, config), config)
+    return e.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"), six(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / config.draws, "mean"))
 
 
 SWEPT = {"1 km": 1000.0, "district": 0.0}
 SWEEP_N = ModelConfig(n=100)
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(units: dict[str, float], config: ModelConfig) -> str:
     parts = []
-    for name, side in SWEPT.items():
+    for name, side in units.items():
+        unit = f"(CAST(floor(e / {side:g}) AS BIGINT) || '_' || CAST(floor(n / {side:g}) AS BIGINT))" if side else "district"
         for tier in ("accidents", "ksi"):
-            sql = model_sql(SWEEP_N, tier, unit="cell" if side else "district", where="serious" if tier == "ksi" else "true")
+            sql = model_sql(config, tier, unit=unit, where="serious" if tier == "ksi" else "true")
             pick = lambda f, c: f"avg({c}) FILTER (forecaster = '{f}')"
             md, nd, ml, nl = pick("poisson-factor", "deviance"), pick("naive", "deviance"), pick("poisson-factor", "log_loss"), pick("naive", "log_loss")
             parts.append(f"""SELECT * FROM (WITH {sql} SELECT '{tier}' AS tier, '{name}' AS unit, (SELECT count(DISTINCT entity) FROM p) AS n_units, round({md}, 6) AS model_deviance, round({nd}, 6) AS naive_deviance,
@@ -446,39 +610,34 @@ round(100 * ({nd} - {md}) / {nd}, 6) AS deviance_skill, round(100 * ({nl} - {ml}
     return " UNION ALL ".join(parts)
 
 
-@query(_sweep_sql())
-def resolution_sweep_skill(spark: SparkSession, d: str) -> DataFrame:
-    s = sweep.skill(accepted(spark, d), SWEPT, SWEEP_N, MIN_HISTORY)
+def _sweep(spark: SparkSession, d: str, units: dict[str, float], config: ModelConfig) -> DataFrame:
+    s = sweep.skill(accepted(spark, d), units, config, MIN_HISTORY)
     return s.select("tier", "unit", "n_units", *[six(c) for c in ("model_deviance", "naive_deviance", "deviance_skill", "log_loss_skill", "calibration_error")])
 
 
-@query()
-def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The whole comparison: all units of sweep.UNITS with the draws of the published model. The query above holds two of them against SQL."""
-    s = sweep.skill(accepted(spark, d), sweep.UNITS, IID, MIN_HISTORY)
-    return s.select("tier", "unit", "n_units", *[six(c) for c in ("model_deviance", "naive_deviance", "deviance_skill", "log_loss_skill", "calibration_error")])
+@query(_sweep_sql(SWEPT, SWEEP_N))
+def resolution_sweep_skill(spark: SparkSession, d: str) -> DataFrame:
+    return _sweep(spark, d, SWEPT, SWEEP_N)
 
 
-@query()
-def p95_analytic_whole(spark: SparkSession, d: str) -> DataFrame:
-    """p95_analytic with the draws of the published model."""
-    return _p95_analytic(spark, d, IID)
+@query(_sweep_sql(sweep.UNITS, IID))
+def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The whole comparison: all units of sweep.UNITS with the draws of the published model."""
+    return _sweep(spark, d, sweep.UNITS, IID)
 
 
 @query()
 def cell_ensembles(spark: SparkSession, d: str) -> DataFrame:
     """Drawn counts of each cell: p95 and mean. The draws come from xxhash64, which DuckDB lacks."""
-    f = fitted(spark, d, IID)[2]
-    e = model.ensembles(f, IID)
-    return e.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"), six(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / IID.draws, "mean"))
+    return _ensembles(spark, d, IID)
 
 
 @query()
 def forecast_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of forecast documents, with the draws of the published model, which come from xxhash64 and DuckDB lacks."""
     p = panel_dense(spark, d)
     last = p.agg(F.max("k")).first()[0]
-    docs = forecast.documents(p, calendar.month_text_py(last - 1), made_at="")
-    return documents.forecast_cells(docs)
+    return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)))[0]
 
 
 @query(f"WITH {incident_sql()} SELECT cell AS entity, k, count(*) AS accidents, count(*) FILTER (serious) AS ksi, CAST(sum(tenths) AS BIGINT) AS tenths FROM acc GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import NotForward, NotPublished
 from ..functions import calendar, numbers
 from ..operators import panel as panels, scoring
-from ..sources import documents
+from ..sources.work import staged
 
 
 def check(forecasts: DataFrame, panel: DataFrame) -> None:
@@ -25,22 +25,40 @@ def check(forecasts: DataFrame, panel: DataFrame) -> None:
         raise NotPublished(f"the panel has nothing for a target; it ends with {calendar.month_text_py(end) if end is not None else 'no month'}")
 
 
-def settled_cells(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
+def settled_cells(cells: DataFrame, panel: DataFrame) -> DataFrame:
     """tier, target, cell, p, mu and y for each forecast cell; a cell without incidents has 0, other cells' incidents aren't counted."""
-    cells = documents.forecast_cells(forecasts).select("tier", calendar.parse_month(F.col("target_month")).alias("target"), "cell", (1 - F.col("rating")).alias("p"), F.col("expected").alias("mu"))
+    forecast = cells.select("tier", calendar.parse_month(F.col("target_month")).alias("target"), "cell", (1 - F.col("rating")).alias("p"), F.col("expected").alias("mu"))
     realised = panels.tiers(panel).select("tier", F.col("k").alias("target"), F.col("entity").alias("cell"), numbers.half_up_count(F.col("y").cast("double")).alias("y"))
-    return cells.join(realised, ["tier", "target", "cell"], "left").fillna(0, ["y"])
+    return forecast.join(realised, ["tier", "target", "cell"], "left").fillna(0, ["y"])
 
 
-def resolutions(forecasts: DataFrame, panel: DataFrame, source: str = "") -> DataFrame:
+def resolutions(cells: DataFrame, totals: DataFrame, panel: DataFrame, source: str = "") -> DataFrame:
     """A row for each forecast and tier: mean scores, the realised total, whether it is within the 90 % interval, the reliability
     curve as rows of mean, frequency and number, and the incidents of cells that weren't forecast."""
-    cells = settled_cells(forecasts, panel)
+    settled = staged(settled_cells(cells, panel), "settled")
     by = ["tier", "target"]
-    curve = scoring.reliability(cells, by)
-    rows = curve.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", numbers.round_half_up(F.col("mean_p"), 3).alias("p"), numbers.round_half_up(F.col("frequency"), 3).alias("f"), F.col("n").cast("double").alias("n")))).alias("r"))
-    totals = cells.groupBy(*by).agg(F.sum("y").alias("realised_total"))
+    curve = scoring.reliability(settled, by)
+    line = F.struct("bin", numbers.round_half_up(F.col("mean_p"), 3).alias("p"), numbers.round_half_up(F.col("frequency"), 3).alias("f"), F.col("n").cast("double").alias("n"))
+    matrix = curve.groupBy(*by).agg(F.array_sort(F.collect_list(line)).alias("r"))
+    realised = settled.groupBy(*by).agg(F.sum("y").alias("realised_total"))
     everything = panels.tiers(panel).groupBy("tier", F.col("k").alias("target")).agg(F.sum("y").cast("long").alias("all_total"))
-    interval = forecasts.select(calendar.parse_month(F.col("target_month")).alias("target"), "target_month", "train_through", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.col(t)["model"].alias("model"), F.col(t)["expected_total"].alias("expected_total"), F.col(t)["total_p5"].alias("total_p5"), F.col(t)["total_p95"].alias("total_p95")) for t in ("accidents", "ksi")])).alias("x")).select("target", "target_month", "train_through", "x.*")
-    out = interval.join(scoring.means(cells, by), by).join(scoring.calibration_error(curve, by), by).join(rows, by).join(totals, by).join(everything, by, "left")
-    return out.select("target_month", "tier", "model", "train_through", F.lit(os.path.basename(source)).alias("realised_source"), "n", "brier", "log_loss", "deviance", "calibration_error", "expected_total", "realised_total", F.col("realised_total").between(F.col("total_p5"), F.col("total_p95")).alias("in_interval"), (F.coalesce("all_total", F.lit(0)) - F.col("realised_total")).alias("unforecast_total"), F.transform("r", lambda x: F.array(x["p"], x["f"], x["n"])).alias("reliability"))
+    out = totals.withColumn("target", calendar.parse_month(F.col("target_month")))
+    for part in (scoring.means(settled, by), scoring.calibration_error(curve, by), matrix, realised):
+        out = out.join(part, by)
+    return out.join(everything, by, "left").select(
+        "target_month",
+        "tier",
+        "model",
+        "train_through",
+        F.lit(os.path.basename(source)).alias("realised_source"),
+        "n",
+        "brier",
+        "log_loss",
+        "deviance",
+        "calibration_error",
+        "expected_total",
+        "realised_total",
+        F.col("realised_total").between(F.col("total_p5"), F.col("total_p95")).alias("in_interval"),
+        (F.coalesce("all_total", F.lit(0)) - F.col("realised_total")).alias("unforecast_total"),
+        F.transform("r", lambda x: F.array(x["p"], x["f"], x["n"])).alias("reliability"),
+    )

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TIERS = ("accidents", "ksi")
+TOTALS = ("model", "expected_total", "total_p5", "total_p50", "total_p95")
 CELL = "struct<cell:string,rating:double,expected:double,p95:bigint>"
 TIER = f"struct<model:string,expected_total:double,total_p5:double,total_p50:double,total_p95:double,cells:array<{CELL}>>"
 FORECAST = f"target_month string, made_at string, model string, cell_km double, n bigint, seed bigint, train_through string, train_source string, settle_note string, accidents {TIER}, ksi {TIER}"
@@ -21,10 +25,24 @@ def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.from_json("value", FORECAST).alias("d")).select("d.*")
 
 
-def forecast_cells(documents: DataFrame, tiers: tuple[str, ...] = ("accidents", "ksi")) -> DataFrame:
+def forecast_cells(documents: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
     """target_month, train_through, tier, cell, rating, expected, p95 of forecast documents."""
     parts = [documents.select("target_month", "train_through", F.lit(t).alias("tier"), F.explode(F.col(t)["cells"]).alias("c")).select("target_month", "train_through", "tier", "c.*") for t in tiers]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
+
+
+def forecast_totals(documents: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
+    """target_month, train_through, tier, model, expected_total, total_p5, total_p50, total_p95 of forecast documents."""
+    parts = [documents.select("target_month", "train_through", F.lit(t).alias("tier"), *[F.col(t)[c].alias(c) for c in TOTALS]) for t in tiers]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def assembled(cells: DataFrame, totals: DataFrame) -> DataFrame:
+    """target_month, train_through, accidents and ksi: the documents of which forecast_cells and forecast_totals give these rows.
+
+    A document holds all cells of a month in order of their names, so this is for the sink; all other work stays with the rows.
+    """
+    by = ["target_month", "train_through", "tier"]
+    listed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "rating", "expected", "p95"))).alias("cells"))
+    whole = totals.join(listed, by, "left").select(*by, F.struct(*TOTALS, F.coalesce("cells", F.array().cast(f"array<{CELL}>")).alias("cells")).alias("of"))
+    return whole.groupBy("target_month", "train_through").agg(*[F.max_by("of", F.when(F.col("tier") == t, 1)).alias(t) for t in TIERS])

@@ -15,9 +15,18 @@ def write(panel: DataFrame, path: str, csv: bool = False) -> None:
     (out.write.option("header", True).csv if csv else out.write.parquet)(path)
 
 
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """A panel in CSV if its file, or a file in its folder, is called so, else in Parquet."""
+    if not path.endswith(".csv"):
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
+        if found.isEmpty():
+            return spark.read.parquet(path)
+    return spark.read.option("header", True).csv(path)
+
+
 def read(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents", "ksi"), entity: str = "cell") -> DataFrame:
     """entity, k and the values of a panel, both tiers in one scan. Rows whose month or values don't parse are left out."""
-    raw = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    raw = _raw(spark, path)
     require_columns(raw, "month", entity, *values)
     p = raw.select(F.col(entity).cast("string").alias("entity"), calendar.parse_month(F.col("month").cast("string")).alias("k"), *[numbers.strict_double(F.col(v).cast("string")).alias(v) for v in values])
     return p.where(" and ".join(f"{c} is not null" for c in ("k", *values)))
@@ -25,6 +34,6 @@ def read(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents",
 
 def groups(spark: SparkSession, path: str, group: str, entity: str = "cell") -> DataFrame:
     """entity and its group, the one of its last month."""
-    raw = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    raw = _raw(spark, path)
     require_columns(raw, "month", entity, group)
     return raw.groupBy(F.col(entity).alias("entity")).agg(F.max_by(group, "month").alias("group"))

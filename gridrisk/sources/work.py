@@ -1,25 +1,31 @@
-"""Tables written between the stages of a study."""
+"""Tables written between the stages of a study, and the folder that they are written to."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back, so that what several later stages read is computed once.
-
-    In local mode without that setting a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode without it a new temporary one."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridrisk-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/gridrisk/stage-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(base)
+    return base
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/gridrisk/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+    """df written to the shared folder and read back, so that what several later stages read is computed once."""
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

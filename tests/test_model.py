@@ -22,10 +22,8 @@ def panel(spark, cells, n=60):
 
 
 def next_month(p, config, dense=True):
-    axis = model.months(p)
     end = p.agg(F.max("k")).first()[0]
-    t = model.forward_targets(axis, end + 1, end + 1, end, config.hist_k)
-    fitted = model.fit(p, t, axis, config, dense)
+    fitted = model.Fitted(p, lambda axis: model.forward_targets(axis, end + 1, end + 1, end, config.hist_k), config, dense, end)
     return {r["entity"]: r for r in model.predict(fitted, config).collect()}, fitted
 
 
@@ -94,10 +92,8 @@ def test_all_zero_panel(spark):
 
 def test_general_path_equals_dense_path(spark):
     p = panel(spark, {f"{i}_{i % 2}": (lambda i: lambda t, m: (t * (i + 3) + m) % 4)(i) for i in range(4)}, 40)
-    axis = model.months(p)
     for config in (ModelConfig(n=20, ar=True), ModelConfig(n=20, hist_k=18, radius=1, shrink=5)):
-        t = model.backtest_targets(axis, 24, config.hist_k)
-        a, b = (model.predict(model.fit(p, t, axis, config, dense), config).orderBy("target", "entity").collect() for dense in (True, False))
+        a, b = (model.predict(backtest.fit(p, config, 24, dense), config).orderBy("target", "entity").collect() for dense in (True, False))
         assert len(a) == len(b) == 16 * 4
         for x, y in zip(a, b):
             assert x["rating"] == pytest.approx(y["rating"], abs=1e-9) and x["expected"] == pytest.approx(y["expected"], abs=1e-9)
@@ -157,7 +153,7 @@ def test_forecast_and_settlement(spark, tmp_path):
     first = back.orderBy("target_month").first()
     assert first["train_source"] == "panel.csv" and [c["cell"] for c in first["accidents"]["cells"]] == ["0_0", "1_0", "2_0"]
     resolve.check(back, p)
-    r = resolve.resolutions(back, p).where("tier = 'accidents'").orderBy("target_month").first()
+    r = resolve.resolutions(documents.forecast_cells(back), documents.forecast_totals(back), p).where("tier = 'accidents'").orderBy("target_month").first()
     assert r["n"] == 3 and r["realised_total"] == 3 and r["unforecast_total"] == 0 and sum(x[2] for x in r["reliability"]) == 3
     with pytest.raises(NotPublished):
         resolve.check(back, p.where(F.col("k") < START + 28))

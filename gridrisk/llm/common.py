@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.work import new_folder, staged  # noqa: F401
+
 #: Bytes of words are A-Z lowered; every byte below 0x80 that is neither a digit nor a letter separates alphanumeric words.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ALNUM = bytes(LOWER[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -19,44 +19,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode without it a new temporary one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="gridrisk-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/gridrisk/{label}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """Write df to the shared folder and return the table read back: lineage ends here, and nothing above is computed twice.
 
     free: have the driver collect its garbage, on which Spark drops the shuffle files of finished work.
     """
-    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    out = staged(df, label)
     if free:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+_held: dict[str, object] = {}
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType, rows: int = 1000, size: str = "16m") -> DataFrame:
+def held(key: str, make: Callable[[], object]):
+    """What make() gives, kept in this Python worker for later tasks; one thing is kept at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType, keeps: bool = False, rows: int = 1000, size: str = "16m") -> DataFrame:
     """df.mapInArrow(run, schema) by batches of at most `rows` rows and about `size` bytes, so that whole texts fit a worker.
 
     Spark reads these limits from the session when the plan runs, so they are set there, unless the session has smaller ones.
+    Workers are used again by other stages; unless run keeps things in its worker, what an earlier stage held there goes.
     """
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-    return df.mapInArrow(run, schema)
+
+    def alone(batches):
+        release()
+        return run(batches)
+
+    return df.mapInArrow(run if keeps else alone, schema)
+
+
+def release() -> None:
+    _held.clear()
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -115,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder
             n_docs, n_tokens = write_file(out, (x for part in ([first], rest) for x in part), level)
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
-    return common.settle(common.in_arrow(dealt, run, MANIFEST), "manifest")
+    return common.settle(common.in_arrow(dealt, run, MANIFEST, keeps=True), "manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: How byte-level BPE writes a space at the start of a token.
@@ -125,12 +127,7 @@ class PartEncoder:
             yield docs, self.encode_all(texts)
 
 
-_encoders: dict[str, PartEncoder] = {}
-
-
 def encoder(path: str) -> PartEncoder:
     """One encoder for each Python worker and file; its cache outlives a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-    return _encoders[path]
+    return common.held(f"encoder {path}", lambda: PartEncoder(path))

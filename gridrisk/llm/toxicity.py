@@ -112,7 +112,7 @@ def beyond(ratio: float, margin: float) -> float:
 class Scorer:
     """Evidence of texts under a model at each of some margins; the ratios of up to 2 * cached words are kept."""
 
-    def __init__(self, model: Model, margins: tuple[float, ...], cached: int = 150_000):
+    def __init__(self, model: Model, margins: tuple[float, ...], cached: int = 100_000):
         self.model, self.margins, self.cached = model, margins, cached
         self.young: dict[str, tuple[float, ...]] = {}
         self.old: dict[str, tuple[float, ...]] = {}
@@ -171,7 +171,7 @@ def estimate(counts: DataFrame, folds: int, discount: float) -> DataFrame:
         own = pooled.where(size == n).select("model", "gram", (F.col("n0") + F.col("n1")).alias("k"))
         if levels:
             longer = levels[0].select("model", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("k"))
-            own = own.unionByName(longer).groupBy("model", "gram").agg(F.sum("k").alias("k"))
+            own = common.settle(own.unionByName(longer).groupBy("model", "gram").agg(F.sum("k").alias("k")), f"counts-{n}")
         levels.insert(0, own)
     shared = common.settle(reduce(DataFrame.unionByName, levels).withColumn("size", size), "shared-counts")
     seen = shared.groupBy("model", "size").agg(F.sum("k").alias("sum"), F.count("*").alias("kinds"), F.count_if(F.col("k") == 1).alias("once"), F.count_if(F.col("k") == 2).alias("twice"))
@@ -185,7 +185,8 @@ def estimate(counts: DataFrame, folds: int, discount: float) -> DataFrame:
         after = Window.partitionBy("model", "context")
         level = own(n).withColumn("context", context).withColumn("total", F.sum("k").over(after)).withColumn("kinds", F.count("*").over(after)).withColumn("shorter", F.expr("substring(gram, 2)"))
         level = level.join(of_size[-1].withColumnsRenamed({"gram": "shorter", "p": "backoff"}), ["model", "shorter"])
-        of_size.append(level.select("model", "gram", ((F.col("k") - F.col("d") + F.col("d") * F.col("kinds") * F.col("backoff")) / F.col("total")).alias("p")))
+        level = level.select("model", "gram", ((F.col("k") - F.col("d") + F.col("d") * F.col("kinds") * F.col("backoff")) / F.col("total")).alias("p"))
+        of_size.append(common.settle(level, f"chances-{n}"))  # the next level and the last join read it
     p = reduce(DataFrame.unionByName, of_size)
 
     found = pooled.join(p, ["model", "gram"]).withColumn("context", context)
@@ -212,19 +213,15 @@ def keys(of: list[str], as_context: np.ndarray) -> np.ndarray:
     return np.where(as_context, h[ends], g[np.maximum(ends - 1, 0)])
 
 
-def read_models(estimated: DataFrame, folds: int) -> list[Model]:
-    """The models as arrays in order of their keys; what they hold is bounded by the sample that they come from."""
-    t = estimated.toArrow()
-    of, key, as_context, ratio = (t.column(k).to_numpy() for k in range(4))
-    out = []
-    for m in range(folds + 1):
-        arrays = []
-        for kind in (False, True):
-            own = np.flatnonzero((of == m) & (as_context == kind))
-            own = own[np.argsort(key[own].view(np.uint64))]
-            arrays += [key[own].view(np.uint64), ratio[own]]
-        out.append(Model(*arrays))
-    return out
+def read_model(estimated: DataFrame, number: int) -> Model:
+    """One of the models as arrays in order of their keys; what it holds is bounded by the sample that it comes from."""
+    arrays = []
+    for as_context in (False, True):
+        own = estimated.where((F.col("model") == number) & (F.col("as_context") == as_context)).select("key", "ratio").toArrow()
+        key, ratio = own.column(0).to_numpy().view(np.uint64), own.column(1).to_numpy()
+        order = np.argsort(key)
+        arrays += [key[order], ratio[order]]
+    return Model(*arrays)
 
 
 def sample(labels: DataFrame, max_rows: int) -> DataFrame:
@@ -267,20 +264,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, folds: int =
     empty = np.zeros(0, np.uint64), np.zeros(0, np.float32)
     if texts.select("toxic").distinct().count() < 2:
         return Model(*empty, *empty, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    models = read_models(estimate(text_counts(texts), folds, discount), folds)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(m, MARGINS, 50_000) for m in shared.value[:folds]]
-        for b in common.filled(batches):
-            found = [next(scorers[f].evidence([x.as_py()])) for f, x in zip(b.column(0).to_pylist(), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([e for e, _ in found], pa.list_(pa.float64()))], names=["toxic", "evidence"])
-
-    seen = common.in_arrow(texts.select("fold", "toxic", "text"), run, "toxic int, evidence array<double>").toPandas()
-    shared.unpersist()
-    model = models[-1]
-    x, y = np.stack(seen["evidence"]), seen["toxic"].to_numpy(float)
-    model.margin, model.scale, model.slope, model.offset = curve(x, y, false_positives, threshold)
+    estimated = common.settle(estimate(text_counts(texts), folds, discount), "models", free=True)
+    evidence, toxic = [], []
+    for k in range(folds):
+        seen = score_raw(texts.where(F.col("fold") == k).select("toxic", "text"), read_model(estimated, k), margins=MARGINS).toArrow()
+        evidence += seen.column("evidence").to_pylist()
+        toxic += seen.column("toxic").to_pylist()
+    model = read_model(estimated, folds)
+    model.margin, model.scale, model.slope, model.offset = curve(np.array(evidence), np.array(toxic, float), false_positives, threshold)
     return model
 
 
@@ -304,18 +295,23 @@ def curve(evidence: np.ndarray, toxic: np.ndarray, false_positives: float, thres
     return margin, scale, slope, min(offset, float(np.log(threshold / (1 - threshold)) - highest - 1e-3))
 
 
-def score_raw(texts: DataFrame, model: Model, names: tuple[str, str] = ("evidence", "n_words"), keep_text: bool = False) -> DataFrame:
-    """texts with evidence and n_words of the column text, under these names; without the text itself unless keep_text."""
+def score_raw(texts: DataFrame, model: Model, names: tuple[str, str] = ("evidence", "n_words"), keep_text: bool = False, margins: tuple[float, ...] | None = None) -> DataFrame:
+    """texts with evidence and n_words of the column text, under these names; without the text itself unless keep_text.
+
+    Evidence is at the model's margin, or if margins are given an array, by margin.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
     at = texts.columns.index("text")
     kept = [i for i in range(len(texts.columns)) if keep_text or i != at]
-    schema = T.StructType([*(texts.schema.fields[i] for i in kept), T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
+    kind = T.DoubleType() if margins is None else T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(texts.schema.fields[i] for i in kept), T.StructField(names[0], kind), T.StructField(names[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, (shared.value.margin,))
+        scorer = Scorer(shared.value, margins or (shared.value.margin,))
         for b in common.filled(batches):
             e, n = zip(*scorer.evidence(x.as_py() for x in b.column(at)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array([x for x, in e], pa.float64()), pa.array(n, pa.int64())], names=schema.fieldNames())
+            e = pa.array([x for x, in e], pa.float64()) if margins is None else pa.array(e, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), e, pa.array(n, pa.int64())], names=schema.fieldNames())
 
     return common.in_arrow(texts, run, schema)
 

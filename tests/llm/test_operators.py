@@ -324,11 +324,11 @@ def test_kneser_ney_against_a_plain_version(spark):
     ordinary, toxic = ["la mi tonre susu la la", "mi tonre lami a"], ["vile la vilegrub", "vilegrub vilegrox mi"]
     rows = [(k % 2, c, t) for c, texts in enumerate((ordinary, toxic)) for k, t in enumerate(texts)]
     d = spark.createDataFrame(rows, "fold int, toxic int, text string")
-    models = toxicity.read_models(toxicity.estimate(toxicity.text_counts(d), 2, 1.0), 2)
+    estimated = toxicity.estimate(toxicity.text_counts(d), 2, 1.0)
     for m, keep in enumerate(([1], [0], [0, 1])):
         want = plain_kneser_ney([ordinary[k] for k in keep], [toxic[k] for k in keep], 1.0)
         of = ["la", "vile", "vilegrub", "tonre", "laz", "zzz", "v"]
-        assert models[m].ratios(of).tolist() == pytest.approx([want(w) for w in of], rel=1e-4, abs=1e-5)
+        assert toxicity.read_model(estimated, m).ratios(of).tolist() == pytest.approx([want(w) for w in of], rel=1e-4, abs=1e-5)
 
 
 # 5

@@ -1,8 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, and a span classifier decides.
 
 Kinds are email, ip, card and phone. Each has a base rule whose matches are always kept. Candidates are those matches,
-matches of looser rules (written-out addresses, addresses with bracketed dots, numbers grouped like phone numbers) and
-what the base rules matched but rejected. Labelers of three sorts vote yes, no or nothing: regular expressions of shape
+matches of looser rules (addresses written out or with spaces around the @, addresses with bracketed dots or in IPv6, cards
+grouped by other signs, phone numbers grouped, with 00 or after a word for one) and what the base rules matched but rejected. Labelers of three sorts vote yes, no or nothing: regular expressions of shape
 and boundary, gazetteers of endings and number ranges, and words around the span. Counts of vote patterns, gathered over
 all texts, are all that expectation-maximisation needs to estimate each labeler's reliability and the probability of
 each pattern; a logistic classifier over votes and shape features is then fitted to those probabilities.
@@ -10,9 +10,11 @@ each pattern; a logistic classifier over votes and shape features is then fitted
 
 from __future__ import annotations
 
+import bisect
+import ipaddress
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +41,12 @@ WRITTEN = re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?[\[(]at[\])] ?| a
 #: What every address that WRITTEN may find for loose() has in it.
 MARKED = re.compile(r"dot|at[\])]", re.IGNORECASE)
 SPLIT_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])")
-GROUPED = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
+SPACED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: @ ?| ?@ )[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])")
+OTHER_CARD = re.compile(r"(?<![0-9])[0-9]{4}([./_\u00a0\u2013]| - |  )[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9])")
+GROUPED = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])")
+INTERNATIONAL = re.compile(r"(?<![0-9A-Za-z+.-])00[1-9][0-9]{0,2}[ .-]?[0-9](?:[ .-]?[0-9]){6,11}(?![0-9A-Za-z])")
+CALLED = re.compile(r"\b(?:phone|tel|telephone|call|mobile|fax|cell|telefon|telefono)(?:[.:]| at| on)? {0,2}([0-9]{7,15})(?![0-9A-Za-z])", re.IGNORECASE)
 
 # Endings of domains, first digits of card numbers, and words that speak for or against a kind.
 ENDINGS = frozenset("com org net edu gov int info biz io co us uk de fr es it nl eu ch at be ca au jp br ru".split())
@@ -61,6 +68,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_ipv6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def digits_of(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -98,19 +112,43 @@ def base(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
 
 
 def loose(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Candidates of the looser rules that overlap nothing taken."""
-    found = []
+    """Candidates of the looser rules that overlap nothing taken, nor one another; earlier rules go first."""
+    rules = []
     if MARKED.search(text):
-        found += [(m.start(), m.end(), "email") for m in WRITTEN.finditer(text) if MARKED.search(m.group())]
+        rules.append(("email", (m.span() for m in WRITTEN.finditer(text) if MARKED.search(m.group()))))
+    if " @" in text or "@ " in text:
+        rules.append(("email", (m.span() for m in SPACED.finditer(text))))
     if re.search("[0-9] ?[\\[(]", text):
-        found += [(m.start(), m.end(), "ip") for m in SPLIT_IP.finditer(text)]
+        rules.append(("ip", (m.span() for m in SPLIT_IP.finditer(text))))
+    if ":" in text:
+        rules.append(("ip", (m.span() for m in IPV6.finditer(text))))
     if re.search("[0-9]{2}", text):
-        found += [(m.start(), m.end(), "phone") for m in GROUPED.finditer(text)]
-    out = []
-    for s, e, kind in found:
-        if all(e <= a or b <= s for a, b, _ in [*taken, *out]):
-            out.append((s, e, kind))
-    return out
+        rules += [("card", (m.span() for m in OTHER_CARD.finditer(text))), ("phone", (m.span() for m in INTERNATIONAL.finditer(text)))]
+        rules += [("phone", (m.span() for m in GROUPED.finditer(text))), ("phone", (m.span(1) for m in CALLED.finditer(text)))]
+    used = Stretches((s, e) for s, e, _ in taken)
+    return [(s, e, kind) for kind, found in rules for s, e in found if used.add(s, e)]
+
+
+class Stretches:
+    """Disjoint stretches of a text, in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, s: int, e: int) -> bool:
+        """Add a stretch unless it overlaps one; whether it was added."""
+        k = bisect.bisect_left(self.ends, s + 1)
+        if k < len(self.starts) and self.starts[k] < e:
+            return False
+        self.starts.insert(k, s)
+        self.ends.insert(k, e)
+        return True
 
 
 def describe(text: str, s: int, e: int, kind: str, rule: int) -> tuple[str, str]:
@@ -121,15 +159,26 @@ def describe(text: str, s: int, e: int, kind: str, rule: int) -> tuple[str, str]
     left, right = before[-1:], after[:1]
     joined = left.isalnum() or right.isalnum() or left in ('"', "'", "=", "#") or right in ('"', "'", "=")
     groups = re.split(r"[^0-9]+", span.strip("+ ()"))
+    six = kind == "ip" and ":" in span
     shape = {
         "email": 1 if re.fullmatch(r"[A-Za-z0-9]\S*@\S+\.[A-Za-z]{2,}", span) else 0,
-        "ip": 1 if all(len(g) <= 3 for g in groups) else -1,
+        "ip": 1 if six or all(len(g) <= 3 for g in groups) else -1,
         "card": 1 if len(set(d)) > 2 and (len(groups) == 1 or all(len(g) == 4 for g in groups[:-1])) else -1,
-        "phone": 1 if max(map(len, groups)) <= 4 or len(groups) == 1 else 0,
+        "phone": 1 if max(map(len, groups)) <= 5 or len(groups) == 1 else 0,
     }[kind]
     ending = re.split(r"[^A-Za-z]+", span)[-1].lower()
-    listed = {"email": 1 if ending in ENDINGS else -1, "ip": 0 if not d or d[0] == "0" else 1, "card": 1 if d.startswith(CARD_STARTS) else -1, "phone": 0 if d[:1] == "0" or len(set(d)) < 3 else 1}[kind]
-    check = {"email": 0, "ip": 1 if all(g and int(g) <= 255 for g in groups if len(g) < 6) and all(len(g) < 6 for g in groups) else -1, "card": 1 if luhn(d) and 14 <= len(d) <= 19 else -1, "phone": 1 if 10 <= len(d) <= 15 else -1}[kind]
+    listed = {
+        "email": 1 if ending in ENDINGS else -1,
+        "ip": 0 if six or not d or d[0] == "0" else 1,
+        "card": 1 if d.startswith(CARD_STARTS) else -1,
+        "phone": 0 if len(set(d)) < 3 or d[:1] == "0" and d[:2] != "00" else 1,
+    }[kind]
+    check = {
+        "email": 0,
+        "ip": 1 if (is_ipv6(span) if six else all(len(g) < 6 and int(g or -1) <= 255 for g in groups) and all(groups)) else -1,
+        "card": 1 if luhn(d) and 14 <= len(d) <= 19 else -1,
+        "phone": 1 if 10 <= len(d) <= 15 else -1,
+    }[kind]
     context = 1 if near & FOR[kind] else -1 if near & AGAINST else 0
     votes = (rule, shape, -1 if joined else 1, listed, check, context)
     features = (span[:1] == "+", "(" in span or "[" in span, len(groups) > 2, len(span) > 24, bool(re.search(r"[0-9a-f]$", before) and left), kind == "email" and "@" not in span)
@@ -139,7 +188,7 @@ def describe(text: str, s: int, e: int, kind: str, rule: int) -> tuple[str, str]
 def candidates(text: str) -> list[tuple[int, int, str, int, str, str]]:
     """(start, end, kind, is base, votes, features) of all candidates of a text."""
     kept, failed = base(text)
-    more = loose(text, kept) if DIGIT.search(text) or MARKED.search(text) else []
+    more = loose(text, kept) if "@" in text or DIGIT.search(text) or MARKED.search(text) or "::" in text else []
     return [(s, e, k, b, *describe(text, s, e, k, r)) for group, b, r in ((kept, 1, 1), (failed, 0, -1), (more, 0, 0)) for s, e, k in group]
 
 
@@ -268,7 +317,11 @@ def replaced(text: str, found: list[dict]) -> str:
 
 
 def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs with personal data in text replaced; n_chars, where docs has it, follows the new text."""
+    """docs with personal data in text replaced; n_chars, where docs has it, follows the new text.
+
+    A null text stays null; repeated rows are treated each for itself; an empty table stays empty; other columns of docs,
+    except for one called pii_spans, are kept whatever their names.
+    """
     out = spans(docs, train(docs), threshold, redact=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

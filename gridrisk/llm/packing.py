@@ -2,9 +2,10 @@
 
 Each document becomes its ids and one end id; only a document longer than a sequence is cut, its first piece being the
 shorter one. Full pieces fill sequences of their own. The other pieces are dealt by a hash into blocks of about
-`block` pieces, and each block is packed in one task: best fit decreasing, then a local search that moves one piece, or
-exchanges one for one or two for one, between underfull bins so that the sum of squared fills grows, and that drops
-bins which become empty.
+`block` pieces, and each block is packed in one task: best fit in order of arrival, then a local search that moves one
+piece, or exchanges one or two for one, between underfull bins so that the sum of squared fills grows, and that drops
+bins which become empty. The bins that are left underfull are dealt anew, whole, into fewer blocks and searched
+again, until those of all documents have met in one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, combinations
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,12 +53,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit decreasing: bins as lists of indexes into lengths."""
+    """Best fit in the order given: bins as lists of indexes into lengths."""
     bins: list[list[int]] = []
     open_bins: dict[int, list[int]] = defaultdict(list)  # by the room that is left
     rooms: list[int] = []  # sorted; those with an open bin
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         at = bisect.bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
@@ -73,94 +75,136 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 12) -> list[list[int]]:
-    """Local search over the underfull bins: each step carries some tokens from a less full bin to a fuller one.
+class Pool:
+    """The pieces of the bins that may give some up: by length the bins that hold one, and a bit for each length there is."""
 
-    A step moves one piece, or exchanges one for one or two for one; as tokens go from the less full bin to the fuller
-    one, the sum of squared fills grows, so no state returns. Bins that lose their last piece are dropped. Ends when a
-    round finds no step, or after `rounds` rounds.
+    def __init__(self):
+        self.holders: dict[int, list[int]] = defaultdict(list)
+        self.lengths = 0
+
+    def add(self, n: int, b: int) -> None:
+        self.holders[n].append(b)
+        self.lengths |= 1 << n
+
+    def remove(self, n: int, b: int) -> None:
+        self.holders[n].remove(b)
+        if not self.holders[n]:
+            self.lengths ^= 1 << n
+
+    def longest(self, most: int) -> int:
+        """The greatest length up to `most` that there is; 0 if there is none."""
+        return max(0, (self.lengths & ((1 << (most + 1)) - 1)).bit_length() - 1)
+
+
+def best_step(own: list[int], lengths: list[int], room: int, pool: Pool) -> tuple[int, tuple[int, ...], int] | None:
+    """(gain, pieces to give, length to take) of the step that fills most of a bin's room: a move, or one or two pieces for one."""
+    best = None
+    gives = chain(((),), ((i,) for i in own), combinations(own, 2))
+    for out in gives:
+        given = sum(lengths[i] for i in out)
+        n = pool.longest(given + room)
+        if n > given and (best is None or n - given > best[0]):
+            best = n - given, out, n
+            if best[0] == room:
+                break
+    return best
+
+
+def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search over the underfull bins by moves and by exchanges of one or two pieces for one, until no step is left.
+
+    A round goes from the bin with the longest piece, which is the hardest to fill, to that with the shortest. Each takes
+    what fills it best from the bins after it, the emptiest first, as long as it ends fuller than the giver was: so the
+    sum of squared fills grows with each step, and no state returns. Bins that lose their last piece are dropped. Ends
+    with a round without a step, or when the underfull bins are as few as can hold what is in them.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
+    fill, idle = [sum(lengths[i] for i in b) for b in bins], 0
+    while idle < 2:
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        where: dict[int, set[tuple[int, int]]] = defaultdict(set)  # length -> (bin, piece) in underfull bins
-        for b in under:
+        if len(under) <= -(-sum(fill[b] for b in under) // capacity):
+            break
+        pool, steps = Pool(), 0
+        for b in under:  # so that the emptiest bin is the last holder of a length
             for i in bins[b]:
-                where[lengths[i]].add((b, i))
-        sizes, steps = sorted(where), 0
-
-        def giver(n: int, a: int) -> tuple[int, int] | None:
-            """A piece of length n in a bin that is at most as full as a."""
-            return min(((b, i) for b, i in where.get(n, ()) if b != a and fill[b] <= fill[a]), key=lambda x: (fill[x[0]], x), default=None)
-
-        def carry(i: int, b: int, a: int) -> None:
-            bins[b].remove(i)
-            bins[a].append(i)
-            fill[b] -= lengths[i]
-            fill[a] += lengths[i]
-            where[lengths[i]].discard((b, i))
-            where[lengths[i]].add((a, i))
-
-        for a in under:
-            if not bins[a] or fill[a] >= capacity:
-                continue
-            room = capacity - fill[a]
-            #: What a may give up: nothing, one piece, or two pieces for one.
-            gives = [((), 0), *(((i,), lengths[i]) for i in bins[a]), *(((i, j), lengths[i] + lengths[j]) for k, i in enumerate(bins[a]) for j in bins[a][k + 1 :])]
-            best = None
-            for out, given in gives:
-                at = bisect.bisect_right(sizes, given + room)
-                for n in reversed(sizes[max(0, at - 24) : at]):
-                    if n <= given or best and n - given <= best[0]:
-                        break
-                    if found := giver(n, a):
-                        best = (n - given, out, found)
-                        break
-                if best and best[0] == room:
+                pool.add(lengths[i], b)
+        for a in sorted(under, key=lambda b: (-max(lengths[i] for i in bins[b]), b)) if idle else under:
+            for i in bins[a]:
+                pool.remove(lengths[i], a)
+            while bins[a] and fill[a] < capacity and (step := best_step(bins[a], lengths, capacity - fill[a], pool)):
+                gain, out, n = step
+                b = pool.holders[n][-1]
+                if fill[a] + gain <= fill[b]:  # no gain in squares
                     break
-            if best:
-                _, out, (b, i) = best
-                carry(i, b, a)
+                i = next(i for i in bins[b] if lengths[i] == n)
+                bins[b].remove(i)
+                pool.remove(n, b)
                 for j in out:
-                    carry(j, a, b)
+                    bins[a].remove(j)
+                    bins[b].append(j)
+                    pool.add(lengths[j], b)
+                bins[a].append(i)
+                fill[a] += gain
+                fill[b] -= gain
                 steps += 1
-        if not steps:
-            break
+        idle = 0 if steps else idle + 1
     return [b for b in bins if b]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, block: int = 20_000) -> DataFrame:
-    """Pack all documents into sequences of at most `capacity` tokens.
-
-    A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end
-    id alone. Rows with the same or no doc_id are packed each for itself; an empty table gives no rows; other columns of
-    docs are not read. Only lengths, never ids, are shuffled.
-    """
-    cut_up = common.settle(pieces(docs, tokenizer or tokens.default_path(), capacity, end_id), "pieces")
-    n_blocks = max(1, -(-cut_up.where(F.col("length") < capacity).count() // block))
-    number = F.monotonically_increasing_id()
-    full = cut_up.where(F.col("length") == capacity).select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = cut_up.where(F.col("length") < capacity).withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_blocks)))
+def packed_blocks(rows: DataFrame, n_blocks: int, capacity: int, number: int) -> DataFrame:
+    """rows (PACKED, sequence_id null where a piece has no place yet, and _block) with new places, a block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
+        got = list(common.filled(batches))
         if not got:
             return
         t = pa.Table.from_batches(got)
-        for key in sorted(set(t.column("_block").to_pylist())):
-            own = t.filter(pc.equal(t.column("_block"), key))
-            order = sorted(zip(own.column("doc_id").to_pylist(), own.column("piece").to_pylist(), range(own.num_rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        for block in sorted(set(t.column("_block").to_pylist())):
+            own = t.filter(pc.equal(t.column("_block"), block)).drop_columns(["_block", "offset"])
+            order = sorted(zip(own.column("doc_id").to_pylist(), own.column("piece").to_pylist(), own.column("ids_crc32").to_pylist(), range(own.num_rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
             own = own.take([i for *_, i in order])
-            lengths = own.column("length").to_pylist()
-            bins = swap_search(best_fit(lengths, capacity), lengths, capacity)
+            lengths, before = own.column("length").to_pylist(), own.column("sequence_id").to_pylist()
+            if before[0] is None:
+                bins = best_fit(lengths, capacity)
+            else:
+                of: dict[int, list[int]] = defaultdict(list)
+                for i, k in enumerate(before):
+                    of[k].append(i)
+                bins = list(of.values())
             sequence, offset = [0] * len(lengths), [0] * len(lengths)
-            for k, b in enumerate(bins):
+            for k, b in enumerate(swap_search(bins, lengths, capacity)):
                 at = 0
                 for i in b:
-                    sequence[i], offset[i] = (key << 32) + k, at
+                    sequence[i], offset[i] = (number << 56) + (block << 28) + k, at
                     at += lengths[i]
-            out = own.drop_columns(["_block"])
-            yield from out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches()
+            out = own.drop_columns(["sequence_id"]).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+            yield from out.combine_chunks().to_batches()
+
+    return common.in_arrow(rows.repartition(n_blocks, "_block"), run, PACKED)
+
+
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, block: int = 20_000) -> DataFrame:
+    """Pack all documents into sequences of at most `capacity` tokens.
 
-    packed = rest.repartition(n_blocks, "_block").mapInArrow(run, PACKED)
-    return full.unionByName(packed)
+    A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end
+    id alone. Rows with the same or no doc_id are packed each for itself; an empty table gives no rows; other columns of
+    docs are not read. Only lengths, never ids, are shuffled.
+    """
+    cut_up = common.settle(pieces(docs, tokenizer or tokens.default_path(), capacity, end_id), "pieces")
+    none = F.lit(None).cast("long")
+    full = cut_up.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = cut_up.where(F.col("length") < capacity).select("*", none.alias("sequence_id"), none.alias("offset"))
+    dealt_by, number, done = F.xxhash64("doc_id", "piece", "ids_crc32"), 0, [full]
+    n_blocks = max(1, -(-rest.count() // block))
+    while True:
+        rest = rest.withColumn("_block", F.pmod(dealt_by, F.lit(n_blocks)))
+        rest = common.settle(packed_blocks(rest, n_blocks, capacity, number), "packed")
+        if n_blocks == 1:
+            return reduce(DataFrame.unionByName, [*done, rest])
+        #: Bins that are still underfull meet those of other blocks, as they are, in fewer blocks.
+        under = rest.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity).select("sequence_id")
+        under = common.small(common.settle(under, "underfull"))
+        done.append(rest.join(under, "sequence_id", "left_anti").select(*full.columns))
+        rest = rest.join(under, "sequence_id", "left_semi").select(*full.columns)
+        n, number = max(1, -(-rest.count() // block)), number + 1
+        n_blocks = n if n < n_blocks else max(1, n_blocks // 2)
+        dealt_by = F.xxhash64(F.lit(number), "sequence_id")

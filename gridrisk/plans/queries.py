@@ -643,22 +643,20 @@ def forecast_documents(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {incident_sql()} SELECT cell AS entity, k, count(*) AS accidents, count(*) FILTER (serious) AS ksi, CAST(sum(tenths) AS BIGINT) AS tenths FROM acc GROUP BY ALL")
 def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
     """The counts of a stream over the order files, run until nothing is left, against those of the tables."""
-    path = f"{d}/orders.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d if not path.endswith("/") else path)
+    schema = spark.read.parquet(f"{d}/orders.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    raw_stream = stream.join(F.broadcast(c), cust == F.col("c_custkey")).select(
+    raw_stream = stream.join(c, cust == F.col("c_custkey")).select(
         F.when(key % 97 == 0, 700_000).otherwise(500_000 + 1000 * (cust % 13) + key % 1000).cast("string").alias(incidents.EASTING),
         (155_000 + 1000 * (F.floor(cust / 13) % 10) + F.floor(key / 7) % 1000).cast("string").alias(incidents.NORTHING),
         F.substring("o_orderpriority", 1, 1).alias(incidents.SEVERITY),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias(incidents.DATE),
         F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias(incidents.DISTRICT),
     )
-    name = "streamed_counts_" + str(abs(hash(d)))
-    run = streaming.counts(incidents.accepted(incidents.typed(raw_stream)), panels.by_cell()).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    path = new_folder(spark, "streamed")
+    streaming.keep_counts(incidents.accepted(incidents.typed(raw_stream)), panels.by_cell(), path, new_folder(spark, "streamed-state")).awaitTermination()
+    return streaming.latest(spark, path)
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS entity, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import panel
@@ -13,6 +14,21 @@ def counts(stream: DataFrame, unit: Column) -> DataFrame:
     return panel.counts(stream, unit)
 
 
+def keep_counts(stream: DataFrame, unit: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the counts anew after each batch, under the batch's number; a batch that is repeated writes over its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return counts(stream, unit).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The counts of the last batch that keep_counts wrote."""
+    kept = spark.read.parquet(path)
+    return kept.join(F.broadcast(kept.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+
+
 def keep_panel(stream: DataFrame, unit: Column, path: str, checkpoint: str) -> StreamingQuery:
     """Write the dense panel anew after each batch, zeros included, under the batch's number."""
 

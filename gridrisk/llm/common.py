@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,7 +57,8 @@ def in_arrow(df: DataFrame, run: Callable, schema: str | T.StructType, keeps: bo
 
     def alone(batches):
         release()
-        return run(batches)
+        yield from run(batches)
+        trim()
 
     return df.mapInArrow(run if keeps else alone, schema)
 
@@ -63,6 +67,14 @@ def release() -> None:
     _held.clear()
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system: workers wait for other stages, and beside them the JVM needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df, to be broadcast if it has at most `most` rows (each of a few numbers or short texts), else as it is."""
     return F.broadcast(df) if df.count() <= most else df

@@ -78,8 +78,10 @@ class PartEncoder:
             else:
                 out[i] = b
         if new:
-            for i, b in zip(new, self._encode_new([parts[i] for i in new])):
-                out[i] = b
+            for at in range(0, len(new), 10_000):  # what the tokenizer returns for each token takes much memory
+                some = new[at : at + 10_000]
+                for i, b in zip(some, self._encode_new([parts[i] for i in some])):
+                    out[i] = b
         if len(self.young) >= self.cached:
             self.young, self.old = {}, self.young
         self.young.update((parts[i], out[i]) for i in lost if len(parts[i]) <= self.longest)
@@ -96,9 +98,8 @@ class PartEncoder:
         number = np.empty(len(parts), np.int64)
         number[later] = rest.indices.to_numpy()
         number[~later] = np.arange(len(known) - len(firsts), len(known))
-        found = [known[k] for k in number.tolist()]
         at = starts.tolist()
-        return [b"".join(found[a:b]) for a, b in zip(at[:-1], at[1:])]
+        return [b"".join([known[k] for k in number[a:b].tolist()]) for a, b in zip(at[:-1], at[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -112,7 +113,7 @@ class PartEncoder:
                     out[i] = ids
         return out
 
-    def stretches(self, batches: Iterator[pa.RecordBatch], size: int = 5_000_000) -> Iterator[tuple[list[int | None], list[bytes]]]:
+    def stretches(self, batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[tuple[list[int | None], list[bytes]]]:
         """The doc_ids (first column) and ids of the texts (second column) of batches, some `size` characters at a time; null texts are empty."""
         docs, texts, held = [], [], 0
         for b in batches:

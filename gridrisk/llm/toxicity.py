@@ -10,15 +10,15 @@ scored by models of the other folds. Counts and models of all folds are estimate
 
 from __future__ import annotations
 
-import math
 import string
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,34 +104,51 @@ class Model:
         return 1 / (1 + F.exp(-(F.asinh(evidence / self.scale) * self.slope + self.offset)))
 
 
-def beyond(ratio: float, margin: float) -> float:
-    """What of a word's ratio counts. By chance the models differ on most words a little, which summed over a long text would outweigh a few toxic ones."""
-    return 0.0 if -margin <= ratio <= margin else ratio - margin if ratio > 0 else ratio + margin
+def beyond(ratios: np.ndarray, margin: float) -> np.ndarray:
+    """What of words' ratios counts. By chance the models differ on most words a little, which summed over a long text would outweigh a few toxic ones."""
+    return np.sign(ratios) * np.maximum(np.abs(ratios) - margin, 0)
 
 
 class Scorer:
-    """Evidence of texts under a model at each of some margins; the ratios of up to 2 * cached words are kept."""
-
-    def __init__(self, model: Model, margins: tuple[float, ...], cached: int = 100_000):
-        self.model, self.margins, self.cached = model, margins, cached
-        self.young: dict[str, tuple[float, ...]] = {}
-        self.old: dict[str, tuple[float, ...]] = {}
-
-    def evidence(self, texts: Iterable[str | None]) -> Iterator[tuple[list[float], int]]:
-        """For each text the sums by margin of what its words' ratios exceed it by, divided by the number of words, and that number."""
-        for text in texts:
-            ws = words(text)
-            found = list(map(self.young.get, ws))
-            lost = list(dict.fromkeys(w for w, x in zip(ws, found) if x is None))
-            if lost:
-                got = {w: self.old[w] for w in lost if w in self.old}
-                new = [w for w in lost if w not in got]
-                got.update((w, tuple(beyond(x, m) for m in self.margins)) for w, x in zip(new, self.model.ratios(list(map(core, new))).tolist()))
-                found = [got[w] if x is None else x for w, x in zip(ws, found)]
-                if len(self.young) >= self.cached:
-                    self.young, self.old = {}, self.young
-                self.young.update((w, x) for w, x in got.items() if len(w) <= 64)
-            yield [math.fsum(x[k] for x in found) / max(1, len(ws)) for k in range(len(self.margins))], len(ws)
+    """Evidence of texts under a model; the ratios of up to 2 * cached words are kept."""
+
+    def __init__(self, model: Model, cached: int = 120_000):
+        self.model, self.cached = model, cached
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def ratios(self, of: list[str]) -> np.ndarray:
+        found = list(map(self.young.get, of))
+        lost = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in lost:
+            if (x := self.old.get(of[i])) is None:
+                new.append(i)
+            else:
+                found[i] = x
+        for i, x in zip(new, self.model.ratios([of[i] for i in new]).tolist()):
+            found[i] = x
+        if len(self.young) >= self.cached:
+            self.young, self.old = {}, self.young
+        self.young.update((of[i], found[i]) for i in lost if len(of[i]) <= 64)
+        return np.array(found, float)
+
+    def evidence(self, texts: pa.Array, margins: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """By text and margin the sum of what its words' ratios exceed the margin by, divided by the number of words; and that number."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        places = lists.offsets.to_numpy()
+        coded = lists.values.slice(places[0], places[-1] - places[0]).dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy()
+        starts = (places - places[0])[:-1]
+        some = np.diff(places) > 0
+        by_text = lambda x: np.add.reduceat(x, starts[some]) if some.any() else np.zeros(0)
+        counts = np.zeros(len(texts), np.int64)
+        counts[some] = by_text((pc.binary_length(words).to_numpy() > 0).astype(np.int64)[codes])
+        ratios = self.ratios(pc.utf8_trim(words, EDGES).to_pylist())
+        out = np.zeros((len(texts), len(margins)))
+        for k, m in enumerate(margins):
+            out[some, k] = by_text(beyond(ratios, m)[codes])
+        return out / np.maximum(counts, 1)[:, None], counts
 
 
 def text_counts(texts: DataFrame) -> DataFrame:
@@ -307,11 +324,11 @@ def score_raw(texts: DataFrame, model: Model, names: tuple[str, str] = ("evidenc
     schema = T.StructType([*(texts.schema.fields[i] for i in kept), T.StructField(names[0], kind), T.StructField(names[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, margins or (shared.value.margin,))
+        scorer = Scorer(shared.value)
         for b in common.filled(batches):
-            e, n = zip(*scorer.evidence(x.as_py() for x in b.column(at)))
-            e = pa.array([x for x, in e], pa.float64()) if margins is None else pa.array(e, pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), e, pa.array(n, pa.int64())], names=schema.fieldNames())
+            found, n = scorer.evidence(b.column(at), margins or (shared.value.margin,))
+            e = pa.array(found[:, 0]) if margins is None else pa.array(list(found), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), e, pa.array(n)], names=schema.fieldNames())
 
     return common.in_arrow(texts, run, schema)
 

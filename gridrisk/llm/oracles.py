@@ -89,4 +89,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m JOIN u USING (r)
 """
 
-ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7}
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+ik AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM ik),
+dk AS (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) x WHERE len(ws) >= n),
+hits AS (SELECT r, k, n, item_id FROM (SELECT r, k, n, array_to_string(ws[k:k + n - 1], ' ') AS w FROM dk) x JOIN iw USING (n, w)),
+inside AS (SELECT DISTINCT r, unnest(range(k, k + n)) AS at FROM (SELECT DISTINCT r, k, n FROM hits) x),
+covered AS (SELECT r, count(*) AS n_hit FROM inside GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) x GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+OP9 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^ \x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT r, ws, least(5, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + n - 1], ' ') AS g FROM k),
+sizes AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs p JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * p.n >= 80 * (a.n + b.n - p.n)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, edges.y FROM reach JOIN edges ON edges.x = reach.other)
+SELECT d.doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.other LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9}

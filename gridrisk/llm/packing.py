@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PLACED = PIECES + ", sequence_id long, offset long"
+PACKED = PIECES + ", row long, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -34,22 +35,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """A row for each piece of each document. A null text counts as empty; a repeated row is packed again."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+    """A row for each piece of each document. A null text counts as empty; a repeated row is packed again.
+
+    with_ids: also the ids themselves, as little-endian unsigned 32-bit integers.
+    """
     end = int(end_id).to_bytes(4, "little")
 
+    schema = PIECES + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, found in tokens.encoder(tokenizer).stretches(common.filled(batches)):
             rows = []
             for doc, x in zip(own, found):
                 ids = x + end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])))
+                    own_ids = ids[4 * s : 4 * (s + n)]
+                    rows.append((doc, k, s, n, zlib.crc32(own_ids), own_ids)[: len(kinds)])
             if rows:
-                d, k, s, n, c = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=names)
 
-    return common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, PIECES, keeps=True)
+    return common.in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema, keeps=True)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -151,7 +159,7 @@ def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> lis
 
 
 def packed_blocks(rows: DataFrame, n_blocks: int, capacity: int, number: int) -> DataFrame:
-    """rows (PACKED, sequence_id null where a piece has no place yet, and _block) with new places, a block at a time."""
+    """rows (PACKED; sequence_id is null where a piece has no place yet) with _block, in new places, a block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(common.filled(batches))
@@ -160,8 +168,7 @@ def packed_blocks(rows: DataFrame, n_blocks: int, capacity: int, number: int) ->
         t = pa.Table.from_batches(got)
         for block in sorted(set(t.column("_block").to_pylist())):
             own = t.filter(pc.equal(t.column("_block"), block)).drop_columns(["_block", "offset"])
-            order = sorted(zip(own.column("doc_id").to_pylist(), own.column("piece").to_pylist(), own.column("ids_crc32").to_pylist(), range(own.num_rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
-            own = own.take([i for *_, i in order])
+            own = own.take(pc.sort_indices(own, [("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")]))
             lengths, before = own.column("length").to_pylist(), own.column("sequence_id").to_pylist()
             if before[0] is None:
                 bins = best_fit(lengths, capacity)
@@ -182,24 +189,25 @@ def packed_blocks(rows: DataFrame, n_blocks: int, capacity: int, number: int) ->
     return common.in_arrow(rows.repartition(n_blocks, "_block"), run, PACKED)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, block: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, block: int = 20_000, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens.
 
-    A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is its end
-    id alone. Rows with the same or no doc_id are packed each for itself; an empty table gives no rows; other columns of
-    docs are not read. Only lengths, never ids, are shuffled.
+    A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids its ids in binary. A
+    null or empty text is its end id alone. Rows with the same or no doc_id are packed each for itself; an empty table
+    gives no rows; other columns of docs are not read. The search shuffles lengths only, never ids.
     """
-    cut_up = common.settle(pieces(docs, tokenizer or tokens.default_path(), capacity, end_id), "pieces")
+    cut_up = common.settle(pieces(docs, tokenizer or tokens.default_path(), capacity, end_id, with_ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
     none = F.lit(None).cast("long")
-    full = cut_up.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = cut_up.where(F.col("length") < capacity).select("*", none.alias("sequence_id"), none.alias("offset"))
-    dealt_by, number, done = F.xxhash64("doc_id", "piece", "ids_crc32"), 0, [full]
+    lengths = cut_up.drop("ids")
+    full = lengths.where(F.col("length") == capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = lengths.where(F.col("length") < capacity).select("*", none.alias("sequence_id"), none.alias("offset"))
+    dealt_by, number, done = F.xxhash64("row"), 0, [full]
     n_blocks = max(1, -(-rest.count() // block))
     while True:
         rest = rest.withColumn("_block", F.pmod(dealt_by, F.lit(n_blocks)))
         rest = common.settle(packed_blocks(rest, n_blocks, capacity, number), "packed")
         if n_blocks == 1:
-            return reduce(DataFrame.unionByName, [*done, rest])
+            break
         #: Bins that are still underfull meet those of other blocks, as they are, in fewer blocks.
         under = rest.groupBy("sequence_id").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity).select("sequence_id")
         under = common.small(common.settle(under, "underfull"))
@@ -208,3 +216,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, en
         n, number = max(1, -(-rest.count() // block)), number + 1
         n_blocks = n if n < n_blocks else max(1, n_blocks // 2)
         dealt_by = F.xxhash64(F.lit(number), "sequence_id")
+    placed = reduce(DataFrame.unionByName, [*done, rest])
+    if with_ids:
+        placed = cut_up.join(common.small(placed.select("row", "sequence_id", "offset")), "row")
+    return placed.select(*(x.split()[0] for x in PLACED.split(", ")), *(["ids"] if with_ids else []))

@@ -84,6 +84,8 @@ def test_packing(spark):
             assert r["start"] == at and r["ids_crc32"] == zlib.crc32(a[at : at + r["length"]].tobytes()) and (r["length"] == 64 or r["piece"] == 0)
             at += r["length"]
         assert at == len(a)
+    with_ids = packing.pack(docs(spark, ODD), capacity=64, block=10, with_ids=True).collect()
+    assert len(with_ids) == len(got) // 4 and all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in with_ids)
     for rows in by_sequence.values():
         at = 0
         for r in sorted(rows, key=lambda r: r["offset"]):
@@ -580,3 +582,20 @@ def test_pipeline(spark, tmp_path):
     redacted = np.array(plain_ids(" ".join(f"w0x{i}" for i in range(60)) + " [EMAIL]") + [0], "<u4")
     assert next(r["ids_crc32"] for r in got if r["doc_id"] == 0) == zlib.crc32(redacted.tobytes())
     assert hashlib.sha256(b"").hexdigest() and len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    clashing = ["evidence", "n_words", "hash", "kept_id", "blank", "match", "node", "row", "lang", "source"]
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in clashing)
+    rows = [(k, t, *clashing) for k, t in [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (None, "")]]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for given, left in ((rows, 3), ([], 0)):
+        d = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, str(tmp_path))
+            assert d.columns == ["doc_id", "text", *clashing], name
+        assert d.count() == left
+        assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == left

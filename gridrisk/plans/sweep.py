@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 from ..functions import numbers
-from ..operators import panel as panels
+from ..operators import panel as panels, scoring
 from . import backtest
 
 UNITS: dict[str, Column | float] = {"0.5 km": 500.0, "1 km": 1000.0, "2 km": 2000.0, "3 km": 3000.0, "4 km": 4000.0, "district": 0.0}
@@ -18,16 +18,39 @@ UNITS: dict[str, Column | float] = {"0.5 km": 500.0, "1 km": 1000.0, "2 km": 200
 def skill(incidents: DataFrame, units: dict[str, float] | None = None, config: ModelConfig = ModelConfig(), min_history: int = 24) -> DataFrame:
     """tier, unit, n_units, deviance of the model and the pooled rate, both skills in percent, and the model's calibration error.
 
-    A tier's panel takes both its axes from the tier's own records. Configurations are few and make one plan.
+    A tier's panel takes both its axes from the tier's own records. Configurations are few and make one plan; each scores
+    its rows in one pass, as sums by forecaster and probability bin.
     """
     rows = []
     for name, side in (units or UNITS).items():
         unit = panels.by_cell(side) if side else panels.by_district()
         for tier in ("accidents", "ksi"):
             p = panels.build(incidents, unit, "tier" if tier == "ksi" else "all").select("entity", "k", F.col(tier).alias("y"))
-            s = backtest.report(p, config, min_history, dense=True)["scores"]
-            pick = lambda f, c: F.max(F.when(F.col("forecaster") == f, F.col(c)))
-            s = s.agg(pick("poisson-factor", "deviance").alias("model_deviance"), pick("naive", "deviance").alias("naive_deviance"), pick("poisson-factor", "log_loss").alias("model_log_loss"), pick("naive", "log_loss").alias("naive_log_loss"), pick("poisson-factor", "calibration_error").alias("calibration_error"))
-            n = p.agg(F.count_distinct("entity").alias("n_units"))
-            rows.append(s.crossJoin(n).select(F.lit(tier).alias("tier"), F.lit(name).alias("unit"), "n_units", "model_deviance", "naive_deviance", numbers.skill_percent(F.col("naive_deviance"), F.col("model_deviance")).alias("deviance_skill"), numbers.skill_percent(F.col("naive_log_loss"), F.col("model_log_loss")).alias("log_loss_skill"), "calibration_error"))
+            fitted = backtest.fit(p, config, min_history, dense=True)
+            s = summary(backtest.scored(fitted, config, ("poisson-factor", "naive")))
+            n = fitted["panel"].agg(F.count_distinct("entity").alias("n_units"))
+            skills = [numbers.skill_percent(F.col(f"naive_{c}"), F.col(f"model_{c}")).alias(f"{c}_skill") for c in ("deviance", "log_loss")]
+            rows.append(s.crossJoin(n).select(F.lit(tier).alias("tier"), F.lit(name).alias("unit"), "n_units", "model_deviance", "naive_deviance", *skills, "calibration_error"))
     return reduce(DataFrame.unionByName, rows)
+
+
+def summary(scored: DataFrame) -> DataFrame:
+    """One row: mean deviance and log loss of the model and the pooled rate, and the model's calibration error."""
+    hit = F.col("y") > 0
+    bins = scored.groupBy("forecaster", numbers.probability_bin(F.col("p")).alias("bin")).agg(
+        F.sum(numbers.poisson_deviance(F.col("mu"), F.col("y"))).alias("deviance"),
+        F.sum(numbers.log_loss(F.col("p"), hit)).alias("log_loss"),
+        F.avg("p").alias("mean_p"),
+        F.avg(hit.cast("double")).alias("frequency"),
+        F.count("*").alias("n"),
+    )
+    error = scoring.calibration_error(bins, ["forecaster"])
+    means = bins.groupBy("forecaster").agg(*[(F.sum(c) / F.sum("n")).alias(c) for c in ("deviance", "log_loss")]).join(error, "forecaster")
+    pick = lambda f, c: F.max(F.when(F.col("forecaster") == f, F.col(c)))
+    return means.agg(
+        pick("poisson-factor", "deviance").alias("model_deviance"),
+        pick("naive", "deviance").alias("naive_deviance"),
+        pick("poisson-factor", "log_loss").alias("model_log_loss"),
+        pick("naive", "log_loss").alias("naive_log_loss"),
+        pick("poisson-factor", "calibration_error").alias("calibration_error"),
+    )

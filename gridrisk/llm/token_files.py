@@ -119,7 +119,11 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Read the files of a manifest: a row for each document with the count of ids before it in all files, its count and CRC."""
+    """Read the files of a manifest: a row for each document with the count of ids before it in all files, its count and CRC.
+
+    A document without an id has a null doc_id, and one without ids, which write() doesn't make, a count of 0; repeated
+    rows come back each for itself, and an empty manifest gives no rows. Raises where a frame doesn't fit its checksum.
+    """
     spark: SparkSession = manifest.sparkSession
     before = F.sum("n_tokens").over(Window.orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(common.partitions(spark), "shard")

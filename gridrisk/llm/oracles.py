@@ -118,4 +118,30 @@ SELECT d.doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(o.doc_id) AS compo
 FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.other LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r, d.doc_id
 """
 
-ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9}
+OP13 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents),
+bits AS (
+  SELECT r, s, 0 AS j, 4294967295::BIGINT AS c FROM d
+  UNION ALL
+  SELECT r, s, j + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT r, s, j, CASE WHEN j % 8 = 0 THEN xor(c, ascii(substr(s, j // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM bits WHERE j < 8 * length(s)) y),
+hashed AS (SELECT r, xor(c, 4294967295::BIGINT) AS h FROM bits WHERE j = 8 * length(s)),
+given AS (SELECT d.r, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS changed, h // 10 AS g FROM d LEFT JOIN hashed USING (r)),
+placed AS (SELECT *, CASE WHEN changed THEN g % n END AS a, CASE WHEN changed THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM given),
+w AS (SELECT r, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(0, n)) AS i FROM placed) x),
+equal AS (SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY ALL),
+dropped AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN dropped USING (r, i) GROUP BY r),
+whole AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         arg_min({'start': start, 'length': length, 'period': period}, {'a': -length, 'b': start, 'c': period}) AS longest
+  FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.length AS length, longest.period AS period, CAST(1000 * longest.length // longest.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM given LEFT JOIN whole USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op13_periodic_runs": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, near_dups, packing, pii, quality, token_files, toxicity, url_lists
+from . import chat, ctw, decontam, near_dups, packing, pii, quality, runs, token_files, toxicity, url_lists
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -78,6 +78,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in all documents, of which a tenth repeat some of their own words from a word on that their doc_id gives."""
+    d, h = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    again = F.expr("transform(sequence(0, size(words) - 1), i -> if(i < a, words[i], words[cast(a + (i - a) % p as int)]))")
+    changed = d.where(h % 10 == 0).select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("a", F.expr("if(size(words) > 0, g % size(words), 0)"))
+    changed = changed.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)")).select("doc_id", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.collapse(d.where(F.coalesce(h % 10 != 0, F.lit(True))).unionByName(changed))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_url_lists": op2_url_lists,
@@ -89,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }

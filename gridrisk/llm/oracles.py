@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_rules import BASE, WEIGHTS, rules, widened
+
 OP2 = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(('0x' || substr(md5(url), 1, 7))::BIGINT % 360 AS INT) AS fetched,
@@ -118,6 +120,36 @@ SELECT d.doc_id, coalesce(max(sizes.n), 0) AS n_shingles, min(o.doc_id) AS compo
 FROM d JOIN reach ON reach.r = d.r JOIN d o ON o.r = reach.other LEFT JOIN sizes ON sizes.r = d.r GROUP BY d.r, d.doc_id
 """
 
+PLACES = " UNION ALL ".join(f"SELECT r, {k} AS k, '{label}' AS label, string_split(ws, '{widened(p)}') AS parts, {len(p.split())} AS size, n_words FROM n" for k, (p, label) in enumerate(BASE.items()))
+COUNTED = "(length({0}) - length(replace({0}, ' ', ''))) // 2".format
+OP12 = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) AS t FROM documents),
+w AS (SELECT r, doc_id, CASE WHEN t = '' THEN '' ELSE ' ' || t || ' ' END AS ws FROM t),
+n AS (SELECT *, {COUNTED("ws")} AS n_words FROM w),
+places AS ({PLACES}),
+based AS (
+  SELECT r, label, len(parts) - 1 AS n, {COUNTED("parts[1]")} AS first, n_words - {COUNTED("parts[-1]")} - size AS last FROM places WHERE len(parts) > 1),
+rule(id, label, keyword, priority, pattern) AS (VALUES {", ".join(f"({x.id}, '{x.label}', '{x.keyword}', {x.priority}, '{x.pattern}')" for x in rules())}),
+hit AS (SELECT r, id, label, priority, string_split_regex(ws, pattern) AS parts, regexp_extract_all(ws, pattern) AS found FROM n JOIN rule ON contains(ws, ' ' || keyword || ' ') WHERE regexp_matches(ws, pattern)),
+each AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM hit),
+sizes AS (SELECT r, id, label, priority, k, {COUNTED("parts[k]")} AS between, {COUNTED("found[k]")} AS size FROM each),
+ends AS (SELECT *, sum(between + size) OVER (PARTITION BY r, id ORDER BY k) AS upto FROM sizes),
+spans AS (SELECT r, id, label, priority, upto - size AS start, upto FROM ends),
+kept AS (
+  SELECT * FROM spans x WHERE NOT EXISTS (
+    SELECT 1 FROM spans y WHERE y.r = x.r AND y.start <= x.start AND y.upto >= x.upto
+      AND (y.priority > x.priority OR y.priority = x.priority AND (y.upto - y.start > x.upto - x.start OR y.start = x.start AND y.upto = x.upto AND y.id < x.id)))),
+weighed AS (
+  SELECT r, label, CASE priority {" ".join(f"WHEN {p} THEN {v}" for p, v in WEIGHTS.items() if p != "base")} END AS weight FROM kept
+  UNION ALL SELECT r, label, {WEIGHTS["base"]} FROM based),
+best AS (SELECT r, label, max(weight) AS weight FROM weighed GROUP BY ALL),
+labelled AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels, round(1 - product(1 - weight), 6) AS score FROM best GROUP BY r),
+base AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_base, min(first) AS first_word, max(last) AS last_word, string_agg(label, ',' ORDER BY label) AS base_labels FROM based GROUP BY r),
+counted AS (SELECT r, count(*) AS n_spans FROM kept GROUP BY r)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score, coalesce(n_spans, 0) AS n_spans
+FROM n LEFT JOIN base USING (r) LEFT JOIN labelled USING (r) LEFT JOIN counted USING (r)
+"""
+
 OP13 = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS ws FROM documents),
 bits AS (
@@ -144,4 +176,4 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, longest.start AS start, longest.le
 FROM given LEFT JOIN whole USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op13_periodic_runs": OP13}
+ORACLE_SQL = {"op2_url_lists": OP2, "op6_chat_formatting": OP6, "op7_quality_rules": OP7, "op8_decontamination": OP8, "op9_jaccard_join": OP9, "op12_license_scans": OP12, "op13_periodic_runs": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, near_dups, packing, pii, quality, runs, token_files, toxicity, url_lists
+from . import chat, ctw, decontam, licenses, near_dups, packing, pii, quality, runs, token_files, toxicity, url_lists, whitening
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -78,6 +78,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = whitening.integers(table(spark, sf_dir, "embeddings"))
+    w = whitening.fit(x)
+    explained = F.array(*[F.lit(float(e / w.trace)) for e in w.values]).cast("array<double>")
+    rows = whitening.transform(x, w).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(w.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "k").alias("explained"), F.lit(whitening.identity_error(x, w)).alias("identity_error")
+    )
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("base", lambda b: b["n"] > 0)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.aggregate("base", F.lit(0).cast("long"), lambda a, b: a + b["n"]).alias("n_base"),
+        "first_word",
+        "last_word",
+        F.array_join(F.array_sort(F.transform(base, lambda b: b["label"])), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        F.round("score", 6).alias("score"),
+        F.size("licenses").cast("long").alias("n_spans"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs in all documents, of which a tenth repeat some of their own words from a word on that their doc_id gives."""
     d, h = table(spark, sf_dir, "documents").select("doc_id", "text"), F.crc32(F.col("doc_id").cast("string"))
@@ -112,5 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_license_scans": op12_license_scans,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -30,7 +30,7 @@ class BoundingBox:
 @dataclass(frozen=True)
 class ModelConfig:
     """n draws (200 if not positive), seed, the last hist_k months present (0: all), shrink (0 means 1), radius of the spatial
-    prior (0: the overall rate), ar for an AR(1) factor, portable for cells' draws that other engines can repeat, but slower."""
+    prior (0: the overall rate), ar for an AR(1) factor."""
 
     n: int = 400
     seed: int = 1
@@ -38,7 +38,6 @@ class ModelConfig:
     shrink: float = 0.0
     radius: int = 0
     ar: bool = False
-    portable: bool = False
 
     @property
     def draws(self) -> int:

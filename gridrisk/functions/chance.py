@@ -14,11 +14,6 @@ def uniform(*key: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def fast_uniform(*key: Column) -> Column:
-    """Uniform on (0, 1) from 52 bits of xxhash64, some four times as fast."""
-    return (F.shiftrightunsigned(F.xxhash64(*key), 12).cast("double") + 0.5) / float(1 << 52)
-
-
 def normal(u: Column, v: Column) -> Column:
     """Standard normal from two uniforms, by Box and Muller."""
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)

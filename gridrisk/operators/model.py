@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig
 from ..functions import calendar, chance, geo
 from ..sources.work import staged
-from . import panel as panels
+from . import panel as panels, splitting
 
 
 def months(panel: DataFrame) -> DataFrame:
@@ -215,15 +215,11 @@ def predict(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
 
 
 def ensembles(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
-    """target, entity and counts: a Poisson draw for each member, by the member's shared factor and the cell's own uniforms."""
-    p = intensity(fitted).join(F.broadcast(factors(fitted["drawn"])), "target")
-    uniform = chance.uniform if config.portable else chance.fast_uniform
-
-    def count(x, m):
-        key = (F.lit(config.seed), F.col("target"), F.col("entity"), m)
-        return chance.poisson(F.col("mu") * x, uniform(*key, F.lit("c")), chance.normal(uniform(*key, F.lit("u")), uniform(*key, F.lit("v"))))
-
-    return p.select("target", "entity", F.transform("xs", count).alias("counts"))
+    """target, entity and counts by member, which add up to totals() member by member: each total split between the entities."""
+    rates = intensity(fitted)
+    whole = totals(fitted, config).groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "total"))), lambda s: s["total"]).alias("counts"))
+    entities = fitted["based"].groupBy("target").count().agg(F.max("count")).first()[0] or 0
+    return splitting.split(rates, whole, config.seed, entities)
 
 
 def order_statistic(values: str, q: float):

@@ -31,7 +31,7 @@ def tier(panel: DataFrame, config: ModelConfig, first: int, last: int, through:
     p95 = counts.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"))
     cells = predicted.join(p95, ["target", "entity"]).select("target", F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
     expected = predicted.groupBy("target").agg(numbers.round_half_up(F.sum("expected"), 1).alias("expected_total"))
-    quantiles = model.total_quantiles(model.summed_totals(counts))
+    quantiles = model.total_quantiles(model.totals(fitted, config))
     totals = expected.join(quantiles, "target").select("target", F.lit(config.name).alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
     return cells, totals
 
@@ -53,12 +53,12 @@ def limits(panel: DataFrame, through: str | None = None, first: str | None = Non
     return end, a, b
 
 
-def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed: int = 1, portable: bool = False) -> tuple[DataFrame, DataFrame]:
+def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """What tier() gives of both tiers, each with target_month, train_through and tier in place of target. panel: entity, k, accidents, ksi."""
     named = lambda df, t: df.select(calendar.month_text(F.col("target")).alias("target_month"), F.lit(calendar.month_text_py(end)).alias("train_through"), F.lit(t).alias("tier"), *[c for c in df.columns if c != "target"])
     parts = []
     for t, c in TIERS.items():
-        config = replace(c, n=n, seed=seed, portable=portable)
+        config = replace(c, n=n, seed=seed)
         parts.append([named(x, t) for x in tier(panel.select("entity", "k", F.col(t).alias("y")), config, first, last, end)])
     return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
 

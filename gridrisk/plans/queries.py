@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..config import TIERS, ModelConfig
 from ..functions import calendar, chance, geo, numbers
-from ..operators import model, panel as panels, scoring
+from ..operators import model, panel as panels, scoring, splitting
 from ..sources import documents, incidents, panels as panel_source
 from ..sources.work import new_folder
 from . import backtest, forecast, resolve, sweep
@@ -106,7 +106,6 @@ def model_sql(config: ModelConfig, column: str = "accidents", sparse: bool = Fal
     r, a = config.radius, config.weight
     mean, sd = ("CASE WHEN n >= 3 THEN mu + pow(phi, h) * (f_last - mu) ELSE 0.0 END", "CASE WHEN n >= 3 THEN sigma * sqrt(1 - pow(phi, 2 * h)) ELSE sigma END") if config.ar else ("0.0", "sigma")
     u = lambda s: uniform_sql(f"'{config.seed}'", "target", "member", f"'{s}'")
-    cell_u = lambda s: uniform_sql(f"'{config.seed}'", "target", "entity", "member", f"'{s}'")
     known = "k <= (SELECT max(k) - 1 FROM panel)" if forward else "true"
     targets = """SELECT (SELECT max(k) FROM axis) + i AS target, (SELECT max(ord) FROM axis) + 1 AS target_ord, CAST(NULL AS INT) AS cutoff FROM (SELECT unnest(range(1, 13)) AS i) x""" if forward else f"""SELECT t.k AS target, t.ord AS target_ord, c.k AS cutoff FROM axis t LEFT JOIN axis c ON {config.hist_k} > 0 AND c.ord = t.ord - {config.hist_k} WHERE t.ord > {MIN_HISTORY}"""
     prior = f"""near AS (
@@ -146,8 +145,6 @@ mus AS (SELECT target, sum(mu) AS mu FROM lam GROUP BY target),
 total_rates AS (SELECT target, member, mus.mu * exp(f) AS r FROM drawn JOIN mus USING (target)),
 {poisson_sql("total_rates", "target, member", "total_counts", u("tc"), normal_sql(u("tu"), u("tv")))},
 totals AS (SELECT target, member, n AS total FROM total_counts),
-cell_rates AS (SELECT l.target, l.entity, d.member - 1 AS member, l.mu * exp(f) AS r FROM lam l JOIN drawn d ON d.target = l.target),
-{poisson_sql("cell_rates", "target, entity, member", "cell_counts", cell_u("c"), normal_sql(cell_u("u"), cell_u("v")))},
 pool AS (SELECT target, CAST(sum(total) AS DOUBLE) / sum(n_rows) AS naive FROM axis JOIN targets ON k < target GROUP BY target),
 own AS (SELECT target, entity, CAST(sum(y) AS DOUBLE) / count(*) AS rate FROM p JOIN targets ON k < target GROUP BY ALL),
 lines AS (SELECT t.target, p.entity, p.y, naive, coalesce(rate, naive) AS climatology FROM p JOIN targets t ON p.k = t.target JOIN pool USING (target) LEFT JOIN own ON own.target = t.target AND own.entity = p.entity),
@@ -163,6 +160,42 @@ each AS (
 curve AS (SELECT forecaster, bin, avg(p) AS mean_p, avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END) AS frequency, count(*) AS n FROM each GROUP BY ALL)"""
 
 
+#: Bits of their names' MD5 that tell the fixture's cells apart.
+SPLIT_BITS = 16
+
+
+HALF = 0.5 + splitting.TIE
+
+
+def ensemble_sql(config: ModelConfig) -> str:
+    """cell_counts (target, entity, member, n), after model_sql: totals split down the tree of cells, a few statements a level."""
+    parts = [f"""cells AS (SELECT target, entity, mu, ('0x' || substr(md5(entity), 1, 13))::BIGINT AS place FROM lam),
+nodes AS (SELECT target, level, place >> (52 - level) AS node, sum(mu) AS rate FROM cells CROSS JOIN (SELECT unnest(range(0, {SPLIT_BITS + 1})) AS level) x GROUP BY ALL),
+halves AS (
+  SELECT p.target, p.level, p.node, a.rate AS first, b.rate AS second FROM nodes p LEFT JOIN nodes a ON a.target = p.target AND a.level = p.level + 1 AND a.node = 2 * p.node
+  LEFT JOIN nodes b ON b.target = p.target AND b.level = p.level + 1 AND b.node = 2 * p.node + 1),
+walk0 AS (SELECT target, member, 0::BIGINT AS node, total AS n FROM totals WHERE total > 0)"""]
+    for k in range(SPLIT_BITS):
+        key = f"md5('{config.seed}|' || target || '|{k}|' || node || '|' || member)"
+        u, v = (f"(('0x' || substr(m, {at}, 13))::BIGINT + 0.5) / 4503599627370496.0" for at in (1, 14))
+        parts.append(f"""met{k} AS (SELECT w.target, member, w.node, n, first, second, first / (first + second) AS p FROM walk{k} w JOIN halves h ON h.target = w.target AND h.node = w.node AND level = {k}),
+keyed{k} AS (SELECT *, CASE WHEN p <= {HALF} THEN p ELSE 1 - p END AS q, n * p * (1 - p) AS spread, {key} AS m FROM met{k} WHERE first IS NOT NULL AND second IS NOT NULL),
+steps{k} AS (
+  SELECT target, member, node, u, sum(exp(lgamma(n + 1) - lgamma(c + 1) - lgamma(n - c + 1) + c * ln(q) + (n - c) * ln(1 - q))) OVER (PARTITION BY target, member, node ORDER BY c) AS cdf
+  FROM (SELECT target, member, node, n, q, {u} AS u, unnest(range(0, least(n, CAST(trunc(n * q + 10 * sqrt(spread) + 15) AS BIGINT)))) AS c FROM keyed{k} WHERE spread <= 30) x),
+counted{k} AS (SELECT target, member, node, count(*) FILTER (u > cdf) AS c FROM steps{k} GROUP BY ALL),
+drawn{k} AS (
+  SELECT target, member, node, n, p, coalesce(c, CAST(least(n, greatest(0, trunc(n * q + sqrt(spread) * {normal_sql(u, v)} + 0.5))) AS BIGINT)) AS c FROM keyed{k} LEFT JOIN counted{k} USING (target, member, node)),
+walk{k + 1} AS (
+  SELECT target, member, 2 * node AS node, CASE WHEN p <= {HALF} THEN c ELSE n - c END AS n FROM drawn{k} WHERE CASE WHEN p <= {HALF} THEN c ELSE n - c END > 0
+  UNION ALL SELECT target, member, 2 * node + 1, CASE WHEN p <= {HALF} THEN n - c ELSE c END FROM drawn{k} WHERE CASE WHEN p <= {HALF} THEN n - c ELSE c END > 0
+  UNION ALL SELECT target, member, 2 * node + CASE WHEN first IS NULL THEN 1 ELSE 0 END, n FROM met{k} WHERE first IS NULL OR second IS NULL)""")
+    parts.append(f"""cell_counts AS (
+  SELECT c.target, c.entity, x.member, coalesce(n, 0) AS n FROM cells c CROSS JOIN (SELECT unnest(range(1, {config.draws + 1})) AS member) x
+  LEFT JOIN walk{SPLIT_BITS} w ON w.target = c.target AND w.member = x.member AND w.node = c.place >> {52 - SPLIT_BITS})""")
+    return ",\n".join(parts)
+
+
 @query(f"WITH {incident_sql()} SELECT cell, count(*) AS n FROM acc GROUP BY cell")
 def cell_id_counts(spark: SparkSession, d: str) -> DataFrame:
     return accepted(spark, d).groupBy(panels.by_cell().alias("cell")).agg(F.count("*").alias("n"))
@@ -539,13 +572,12 @@ def panel_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forward_sql(config: ModelConfig, tier: str) -> str:
-    config = replace(config, portable=True)
     u = "row_number() OVER (PARTITION BY target, entity ORDER BY n) - 1"
     return f"""(WITH {model_sql(config, tier, forward=True)},
+{ensemble_sql(config)},
 ordered AS (SELECT target, entity, n, {u} AS i, count(*) OVER (PARTITION BY target, entity) AS draws FROM cell_counts),
 p95s AS (SELECT target, entity, max(n) FILTER (i = floor(0.95 * (draws - 1))) AS p95 FROM ordered GROUP BY ALL),
-sums_by_member AS (SELECT target, member, CAST(sum(n) AS BIGINT) AS total FROM cell_counts GROUP BY ALL),
-ordered_sums AS (SELECT target, total, row_number() OVER (PARTITION BY target ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY target) AS draws FROM sums_by_member),
+ordered_sums AS (SELECT target, total, row_number() OVER (PARTITION BY target ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY target) AS draws FROM totals),
 quantiles AS (
   SELECT target, CAST(max(total) FILTER (i = floor(0.05 * (draws - 1))) AS DOUBLE) AS total_p5, CAST(max(total) FILTER (i = floor(0.5 * (draws - 1))) AS DOUBLE) AS total_p50,
          CAST(max(total) FILTER (i = floor(0.95 * (draws - 1))) AS DOUBLE) AS total_p95
@@ -557,34 +589,35 @@ def month_sql(k: str) -> str:
     return f"{k} // 12 || '-' || lpad(CAST({k} % 12 + 1 AS VARCHAR), 2, '0')"
 
 
-PORTABLE = 50
-
-
 def _forward(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = panel_dense(spark, d)
     last = p.agg(F.max("k")).first()[0]
-    return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)), PORTABLE, portable=True)
+    return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)))
+
+
+CELLS_SQL = " UNION ALL ".join(f"SELECT * FROM {forward_sql(c, t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, entity AS cell, trunc(rating * 10000 + 0.5) / 10000 AS rating, trunc(expected * 10000 + 0.5) / 10000 AS expected, p95 FROM pred JOIN p95s USING (target, entity))" for t, c in TIERS.items())
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM {forward_sql(replace(c, n=PORTABLE), t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, entity AS cell, trunc(rating * 10000 + 0.5) / 10000 AS rating, trunc(expected * 10000 + 0.5) / 10000 AS expected, p95 FROM pred JOIN p95s USING (target, entity))" for t, c in TIERS.items()))
+@query(CELLS_SQL)
 def forecast_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The published cells: rating, expected count and 95 % count, with draws that SQL can repeat."""
+    """The published cells: rating, expected count and 95 % count."""
     return _forward(spark, d)[0].drop("train_through")
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM {forward_sql(replace(c, n=PORTABLE), t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, '{c.name}' AS model, expected_total, total_p5, total_p50, total_p95 FROM expected_totals JOIN quantiles USING (target))" for t, c in TIERS.items()))
+@query(" UNION ALL ".join(f"SELECT * FROM {forward_sql(c, t)} SELECT '{t}' AS tier, {month_sql('target')} AS target_month, '{c.name}' AS model, expected_total, total_p5, total_p50, total_p95 FROM expected_totals JOIN quantiles USING (target))" for t, c in TIERS.items()))
 def forecast_totals(spark: SparkSession, d: str) -> DataFrame:
-    """The published coherent totals: cells' draws summed member by member, with draws that SQL can repeat."""
+    """The published totals, which the cells' draws add up to member by member."""
     return _forward(spark, d)[1].drop("train_through")
 
 
-KEYED = ModelConfig(n=20, portable=True)
+@query(f"WITH {model_sql(IID)} SELECT target, member, total FROM totals")
+def coherent_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The cells' draws added up member by member; the SQL draws the totals and no cells."""
+    return model.summed_totals(model.ensembles(fitted(spark, d, IID), IID))
 
 
-@query(f"WITH {model_sql(KEYED)}, ordered AS (SELECT target, entity, n, row_number() OVER (PARTITION BY target, entity ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY target, entity) AS draws FROM cell_counts) SELECT target, entity, max(n) FILTER (i = floor(0.95 * (draws - 1))) AS p95, round(sum(n) / 20.0, 6) AS mean FROM ordered GROUP BY target, entity")
-def cell_ensembles_keyed(spark: SparkSession, d: str) -> DataFrame:
-    """cell_ensembles with draws that SQL can repeat."""
-    return _ensembles(spark, d, KEYED)
+def _ensembles_sql(config: ModelConfig) -> str:
+    return f"WITH {model_sql(config)}, {ensemble_sql(config)}, ordered AS (SELECT target, entity, n, row_number() OVER (PARTITION BY target, entity ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY target, entity) AS draws FROM cell_counts) SELECT target, entity, max(n) FILTER (i = floor(0.95 * (draws - 1))) AS p95, round(sum(n) / {config.draws}.0, 6) AS mean FROM ordered GROUP BY target, entity"
 
 
 def _ensembles(spark: SparkSession, d: str, config: ModelConfig) -> DataFrame:
@@ -592,6 +625,21 @@ def _ensembles(spark: SparkSession, d: str, config: ModelConfig) -> DataFrame:
     return e.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"), six(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c) / config.draws, "mean"))
 
 
+KEYED = ModelConfig(n=20)
+
+
+@query(_ensembles_sql(KEYED))
+def cell_ensembles_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """cell_ensembles with 20 draws."""
+    return _ensembles(spark, d, KEYED)
+
+
+@query(_ensembles_sql(IID))
+def cell_ensembles(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn counts of each cell: p95 and mean."""
+    return _ensembles(spark, d, IID)
+
+
 SWEPT = {"1 km": 1000.0, "district": 0.0}
 SWEEP_N = ModelConfig(n=100)
 
@@ -626,18 +674,10 @@ def resolution_sweep(spark: SparkSession, d: str) -> DataFrame:
     return _sweep(spark, d, sweep.UNITS, IID)
 
 
-@query()
-def cell_ensembles(spark: SparkSession, d: str) -> DataFrame:
-    """Drawn counts of each cell: p95 and mean. The draws come from xxhash64, which DuckDB lacks."""
-    return _ensembles(spark, d, IID)
-
-
-@query()
+@query(f"SELECT *, '{{through}}' AS train_through FROM ({CELLS_SQL}) x".replace("'{through}'", f"(SELECT {month_sql('(max(k) - 1)')} FROM (WITH {incident_sql()} SELECT CAST(max(k) AS INT) AS k FROM acc) y)"))
 def forecast_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of forecast documents, with the draws of the published model, which come from xxhash64 and DuckDB lacks."""
-    p = panel_dense(spark, d)
-    last = p.agg(F.max("k")).first()[0]
-    return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)))[0]
+    """The cells of forecast documents, with the month that they were trained through."""
+    return _forward(spark, d)[0]
 
 
 @query(f"WITH {incident_sql()} SELECT cell AS entity, k, count(*) AS accidents, count(*) FILTER (serious) AS ksi, CAST(sum(tenths) AS BIGINT) AS tenths FROM acc GROUP BY ALL")

@@ -57,7 +57,7 @@ def test_scores(spark):
 
 def test_poisson_moments(spark):
     for rate in (0.3, 5.0, 50.0):
-        d = spark.range(20000).select(chance.poisson(F.lit(rate), chance.fast_uniform(F.col("id"), F.lit("c")), chance.normal(chance.fast_uniform(F.col("id"), F.lit("u")), chance.fast_uniform(F.col("id"), F.lit("v")))).alias("n"))
+        d = spark.range(20000).select(chance.poisson(F.lit(rate), chance.uniform(F.col("id"), F.lit("c")), chance.normal(chance.uniform(F.col("id"), F.lit("u")), chance.uniform(F.col("id"), F.lit("v")))).alias("n"))
         m = d.agg(F.avg("n"), F.var_samp("n")).first()
         assert m[0] == pytest.approx(rate, rel=0.03) and m[1] == pytest.approx(rate, rel=0.06)
     assert one(spark, chance.poisson(F.lit(0.0), F.lit(0.9), F.lit(1.0))) == 0

@@ -22,13 +22,15 @@ def counts(incidents: DataFrame, unit: Column) -> DataFrame:
 
 
 def densify(counted: DataFrame) -> DataFrame:
-    """A row for each entity and each month that any entity has, zeros where nothing was counted.
+    """A row for each entity and each month that any entity has (of the same study, if there are several), zeros where nothing was counted.
 
     Months are few and are broadcast; the counts are joined by key.
     """
-    values = [c for c in counted.columns if c not in ("entity", "k")]
-    axes = counted.select("entity").distinct().crossJoin(F.broadcast(counted.select("k").distinct()))
-    return axes.join(counted, ["entity", "k"], "left").fillna(0, values)
+    of = [c for c in ("study",) if c in counted.columns]
+    values = [c for c in counted.columns if c not in (*of, "entity", "k")]
+    entities, months = counted.select(*of, "entity").distinct(), F.broadcast(counted.select(*of, "k").distinct())
+    axes = entities.join(months, of) if of else entities.crossJoin(months)
+    return axes.join(counted, [*of, "entity", "k"], "left").fillna(0, values)
 
 
 def build(incidents: DataFrame, unit: Column, axis: str = "all") -> DataFrame:

@@ -10,18 +10,17 @@ from ..functions import numbers
 from ..operators import model, scoring
 
 
-def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame, dense: bool) -> DataFrame:
-    """target, entity, y, naive (the pooled rate before the target) and climatology (the entity's own, or the pooled)."""
-    pool = axis.join(F.broadcast(targets.select("target")), F.col("k") < F.col("target")).groupBy("target").agg((F.sum("total").cast("double") / F.sum("n_rows")).alias("naive"))
-    if dense:
-        w = Window.partitionBy("entity").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-        run = panel.select("entity", F.col("k").alias("target"), "y", F.sum("y").over(w).alias("own"), F.count("*").over(w).alias("n"))
-        rows = run.join(F.broadcast(targets.select("target")), "target")
-    else:
-        at = panel.select("entity", F.col("k").alias("target"), "y").join(F.broadcast(targets.select("target")), "target")
-        own = panel.select("entity", "k", F.col("y").alias("h")).join(F.broadcast(targets.select("target")), F.col("k") < F.col("target")).groupBy("target", "entity").agg(F.sum("h").alias("own"), F.count("*").alias("n"))
-        rows = at.join(own, ["target", "entity"], "left")
-    return rows.join(F.broadcast(pool), "target").select("target", "entity", numbers.half_up_count(F.col("y").cast("double")).alias("y"), "naive", F.coalesce(F.try_divide(F.col("own").cast("double"), "n"), F.col("naive")).alias("climatology"))
+def baselines(panel: DataFrame, targets: DataFrame, axis: DataFrame) -> DataFrame:
+    """target, entity, y, naive (the pooled rate before the target) and climatology (the entity's own, or the pooled).
+
+    An entity's own history is a running sum along its months, dense or not.
+    """
+    of, by = model.study(targets), model.by_target(targets)
+    pool = model.known_months(axis, targets.select(*by, F.lit(None).cast("int").alias("cutoff"))).groupBy(*by).agg((F.sum("total").cast("double") / F.sum("n_rows")).alias("naive"))
+    w = Window.partitionBy(*of, "entity").orderBy("k").rangeBetween(Window.unboundedPreceding, -1)
+    run = panel.select(*of, "entity", F.col("k").alias("target"), "y", F.sum("y").over(w).alias("own"), F.count("*").over(w).alias("n"))
+    rows = run.join(F.broadcast(targets.select(*by)), by).join(F.broadcast(pool), by)
+    return rows.select(*by, "entity", numbers.half_up_count(F.col("y").cast("double")).alias("y"), "naive", F.coalesce(F.try_divide(F.col("own").cast("double"), "n"), F.col("naive")).alias("climatology"))
 
 
 FORECASTERS = ("poisson-factor", "naive", "climatology")
@@ -34,12 +33,12 @@ def fit(panel: DataFrame, config: ModelConfig, min_history: int = 24, dense: boo
 
 def scored(fitted: model.Fitted, config: ModelConfig, forecasters: tuple[str, ...] = FORECASTERS) -> DataFrame:
     """Rows target, entity, forecaster, p, mu, y. The model is fitted only if it is among the forecasters."""
-    rows = baselines(fitted["panel"], fitted["targets"], fitted["axis"], fitted.dense)
+    rows, by = baselines(fitted["panel"], fitted["targets"], fitted["axis"]), model.by_target(fitted["targets"])
     parts = {name: F.struct(F.lit(name).alias("forecaster"), numbers.occurrence(F.col(name)).alias("p"), F.col(name).alias("mu")) for name in FORECASTERS[1:]}
     if FORECASTERS[0] in forecasters:
-        rows = rows.join(model.predict(fitted, config), ["target", "entity"])
+        rows = rows.join(model.predict(fitted, config), [*by, "entity"])
         parts[FORECASTERS[0]] = F.struct(F.lit(FORECASTERS[0]).alias("forecaster"), (1 - F.col("rating")).alias("p"), F.col("expected").alias("mu"))
-    return rows.select("target", "entity", "y", F.explode(F.array(*[parts[f] for f in forecasters])).alias("x")).select("target", "entity", "x.*", "y")
+    return rows.select(*by, "entity", "y", F.explode(F.array(*[parts[f] for f in forecasters])).alias("x")).select(*by, "entity", "x.*", "y")
 
 
 def realised(fitted: model.Fitted) -> DataFrame:

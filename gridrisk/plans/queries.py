@@ -278,7 +278,7 @@ def cell_exposure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(e, 6) AS e, cnt FROM expo")
 def cell_exposure_general(spark: SparkSession, d: str) -> DataFrame:
-    """The path for panels that aren't dense, which joins each target's window."""
+    """The path for panels that aren't dense: running sums by month of the year, which marks of the targets read."""
     p = measure(spark, d)
     axis = model.months(p)
     targets = model.backtest_targets(axis, MIN_HISTORY)
@@ -388,14 +388,14 @@ def total_quantiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(naive, 6) AS rate, round(1 - exp(-naive), 6) AS p FROM lines")
 def naive_forecast(spark: SparkSession, d: str) -> DataFrame:
     f = fitted(spark, d, IID)
-    b = backtest.baselines(f["panel"], f["targets"], f["axis"], True)
+    b = backtest.baselines(f["panel"], f["targets"], f["axis"])
     return b.select("target", "entity", six("naive", "rate"), six(numbers.occurrence(F.col("naive")), "p"))
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(climatology, 6) AS rate, round(1 - exp(-climatology), 6) AS p FROM lines")
 def climatology_forecast(spark: SparkSession, d: str) -> DataFrame:
     f = fitted(spark, d, IID)
-    b = backtest.baselines(f["panel"], f["targets"], f["axis"], True)
+    b = backtest.baselines(f["panel"], f["targets"], f["axis"])
     return b.select("target", "entity", six("climatology", "rate"), six(numbers.occurrence(F.col("climatology")), "p"))
 
 

@@ -1,6 +1,6 @@
 import hashlib
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridrisk.config import MissingColumns, ModelConfig, NotForward, NotPublished
 from gridrisk.functions import calendar
 from gridrisk.operators import model, panel as panels, scoring
-from gridrisk.plans import backtest, forecast, queries, resolve
+from gridrisk.plans import backtest, forecast, queries, resolve, sweep
 from gridrisk.sources import documents, incidents, panels as panel_files
 
 START = 2018 * 12
@@ -99,6 +99,71 @@ def test_general_path_equals_dense_path(spark):
             assert x["rating"] == pytest.approx(y["rating"], abs=1e-9) and x["expected"] == pytest.approx(y["expected"], abs=1e-9)
 
 
+def plain_fit(rows, target, hist_k, radius, a):
+    """cnt, e, base by entity and expected by month, as the model is defined, of rows (entity, k, y)."""
+    present = sorted({k for _, k, _ in rows if k < target})
+    kept = set(present[-hist_k:] if hist_k else present)
+    w = [r for r in rows if r[1] in kept]
+    overall = sum(y for *_, y in w) / len(w) if w else 0.0
+    s = {}
+    for m in range(1, 13):
+        of = [y for _, k, y in w if k % 12 + 1 == m]
+        s[m] = sum(of) / len(of) / overall if of and overall else 1.0
+    cnt, e = Counter(), Counter()
+    for i, k, y in w:
+        cnt[i] += y
+        e[i] += s[k % 12 + 1]
+    base = {}
+    for i in {r[0] for r in rows}:
+        x, z = map(int, i.split("_"))
+        near = [j for j in {r[0] for r in rows} if j != i and max(abs(int(j.split("_")[0]) - x), abs(int(j.split("_")[1]) - z)) <= radius]
+        prior = sum(cnt[j] for j in near) / sum(e[j] for j in near) if radius and sum(e[j] for j in near) > 0 else overall
+        base[i] = (cnt[i] + a * prior) / (e[i] + a)
+    expected = Counter()
+    for i, k, _ in w:
+        expected[k] += base[i] * s[k % 12 + 1]
+    return cnt, e, base, expected
+
+
+@pytest.mark.parametrize("hist_k, radius", [(0, 0), (7, 1), (0, 2)])
+def test_irregular_panels(spark, hist_k, radius):
+    rnd = np.random.default_rng(hist_k + radius)
+    rows = [(f"{i}_{j}", START + k, int(rnd.poisson(1 + (k % 12 == 3)))) for i in range(-1, 4) for j in range(3) for k in range(30) if rnd.random() < 0.25 + 0.1 * j and k not in (5, 11)]
+    rows += rows[:10] + [("9_9", START + 28, 3)]  # repeated rows, and one that only has a row late
+    config = ModelConfig(n=5, hist_k=hist_k, radius=radius, shrink=2.0)
+    fitted = backtest.fit(spark.createDataFrame(rows, "entity string, k int, y long").repartition(3), config, 12)
+    assert not fitted.dense
+    targets = [r["target"] for r in fitted["targets"].collect()]
+    based, series = defaultdict(dict), defaultdict(dict)
+    for r in fitted["based"].collect():
+        based[r["target"]][r["entity"]] = r
+    for r in fitted["series"].collect():
+        series[r["target"]][r["k"]] = r
+    assert len(targets) == len({k for _, k, _ in rows}) - 12
+    for t in targets:
+        cnt, e, base, expected = plain_fit(rows, t, hist_k, radius, 2.0)
+        assert set(based[t]) == set(base) and set(series[t]) == set(expected)
+        for i, b in base.items():
+            assert (based[t][i]["cnt"], based[t][i]["e"], based[t][i]["base"]) == (cnt[i], pytest.approx(e[i], abs=1e-9), pytest.approx(b, abs=1e-9)), (t, i)
+        for k, x in expected.items():
+            assert series[t][k]["expected"] == pytest.approx(x, abs=1e-9)
+    own = {(r["target"], r["entity"]): r["climatology"] for r in backtest.baselines(fitted["panel"], fitted["targets"], fitted["axis"]).collect()}
+    for (t, i), rate in own.items():
+        before = [y for j, k, y in rows if j == i and k < t] or [y for _, k, y in rows if k < t]
+        assert rate == pytest.approx(sum(before) / len(before))
+    forward = model.Fitted(fitted["panel"], lambda axis: model.forward_targets(axis, START + 22, START + 24, START + 20, hist_k), config, None, START + 20)
+    cnt, e, base, _ = plain_fit([r for r in rows if r[1] <= START + 20] + [(r[0], START + 21, 0) for r in rows], START + 21, hist_k, radius, 2.0)
+    for r in forward["based"].collect():
+        assert (r["cnt"], r["base"]) == (cnt[r["entity"]], pytest.approx(base[r["entity"]], abs=1e-9))
+
+
+def test_neighbours_in_a_full_square_and_without_any(spark):
+    exposed = spark.createDataFrame([(1, f"{i}_{j}", 1, 1.0) for i in range(6) for j in range(6)] + [(1, "x", 4, 1.0), (1, "40_40", 9, 1.0)], "target int, entity string, cnt long, e double")
+    seasons = spark.createDataFrame([(1, m, 1.0, 0.5) for m in range(1, 13)], "target int, moy int, s double, overall double")
+    p = model.prior(exposed, seasons, 2)
+    assert {r["entity"]: r["prior"] for r in p.collect()} == {f"{i}_{j}": 1.0 for i in range(6) for j in range(6)} | {"x": 0.5, "40_40": 0.5}
+
+
 def test_crps_and_coverage(spark):
     totals = spark.createDataFrame([(1, m, x) for m, x in enumerate([3, 1, 4, 1, 5, 9, 2, 6], 1)], "target int, member int, total long")
     y = spark.createDataFrame([(1, 4)], "target int, y long")
@@ -203,6 +268,16 @@ def plain_deviances(rows, draws=400):
     return len(entities), model_sum / n, naive_sum / n
 
 
+def test_sweep_counts_all_units_in_one_scan(spark):
+    typed = spark.createDataFrame([(500_100.0 + 700 * k, 155_100.0 + 300 * k, "1" if k % 3 else "3", bool(k % 3), 1, START + k % 4, "" if k == 5 else f"d{k % 2}") for k in range(40)], "easting double, northing double, severity string, ksi boolean, tenths long, k int, district string")
+    got = sweep.studies(typed, sweep.UNITS)
+    assert {tuple(r["study"]) for r in got.collect()} == {(t, u) for t in ("accidents", "ksi") for u in sweep.UNITS}
+    for (unit, side), tier in ((u, t) for u in sweep.UNITS.items() for t in ("accidents", "ksi")):
+        want = panels.build(typed, panels.by_cell(side) if side else panels.by_district(), "tier" if tier == "ksi" else "all").select("entity", "k", F.col(tier).alias("y"))
+        mine = got.where((F.col("study.tier") == tier) & (F.col("study.unit") == unit)).select("entity", "k", "y")
+        assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, want.collect())), (unit, tier)
+
+
 def test_resolution_sweep_covers_all_units(spark):
     d = "/root/testdata/sf0.001"
     got = {(r["tier"], r["unit"]): r for r in queries.QUERIES["resolution_sweep"](spark, d).collect()}

@@ -6,12 +6,13 @@ import argparse
 import sys
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from .config import ModelConfig
 from .operators import panel as panels
 from .plans import backtest, forecast, resolve, sweep
 from .sources import documents, incidents, panels as panel_files
+from .sources.work import staged
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,8 +58,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command in ("build", "sweep"):
             typed = incidents.typed(incidents.read_csv(spark, a.source))
             if a.command == "build":
-                incidents.counters(typed).show()
-                panel_files.write(panels.build(incidents.accepted(typed), panels.by_cell(1000 * a.cell_km)), a.out, a.csv)
+                seen = Observation("build")
+                counted = staged(panels.counts(incidents.observed(typed, seen), panels.by_cell(1000 * a.cell_km)), "counts")  # the one scan of the source
+                panel_files.write(panels.densify(counted), a.out, a.csv)
+                spark.createDataFrame([seen.get]).select("n_read", "n_bad_coordinates", "n_outside", "n_bad_date", "n_accepted").show()
             else:
                 sweep.skill(incidents.accepted(typed), config=ModelConfig(n=a.n), min_history=a.min_history).orderBy("tier", "unit").show()
         elif a.command == "backtest":
@@ -66,8 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for df in backtest.report(p, ModelConfig(a.n, 1, a.hist_k, a.shrink, a.spatial_r, a.ar), a.min_history).values():
                 df.show(100, truncate=False)
         elif a.command == "forecast":
-            d = forecast.documents(panel_files.read(spark, a.panel), a.train_through, a.first, a.last, a.cell_km, a.n, a.seed, a.panel)
-            documents.write(d, a.out)
+            forecast.publish(panel_files.read(spark, a.panel), a.out, a.train_through, a.first, a.last, a.cell_km, a.n, a.seed, a.panel)
         else:
             d, p = documents.read_forecasts(spark, a.forecasts), panel_files.read(spark, a.panel)
             resolve.check(d, p)

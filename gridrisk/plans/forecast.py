@@ -63,13 +63,12 @@ def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed:
     return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
 
 
-def documents(panel: DataFrame, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> DataFrame:
-    """A forecast document for each month first to last, as limits() has it."""
+def publish(panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> None:
+    """Write a forecast document for each month first to last, as limits() has it."""
     end, a, b = limits(panel, through, first, last)
-    d = document_files.assembled(*rows(panel, end, a, b, n, seed))
-    month = F.col("target_month")
     stamp = made_at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    return d.select(
-        month, F.lit(stamp).alias("made_at"), F.lit("poisson-factor").alias("model"), F.lit(float(side_km)).alias("cell_km"), F.lit(n).cast("long").alias("n"), F.lit(seed).cast("long").alias("seed"),
-        "train_through", F.lit(os.path.basename(source)).alias("train_source"), F.concat(F.lit("settle against the first panel that covers "), month).alias("settle_note"), "accidents", "ksi",
-    )
+    head = {
+        "made_at": F.lit(stamp), "model": F.lit("poisson-factor"), "cell_km": F.lit(float(side_km)), "n": F.lit(n).cast("long"), "seed": F.lit(seed).cast("long"),
+        "train_source": F.lit(os.path.basename(source)), "settle_note": F.concat(F.lit("settle against the first panel that covers "), F.col("target_month")),
+    }
+    document_files.write_forecasts(*rows(panel, end, a, b, n, seed), path, head)

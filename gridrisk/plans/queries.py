@@ -549,7 +549,7 @@ def forecast_files(spark: SparkSession, d: str) -> DataFrame:
     """Forecast documents written as JSON and read back."""
     cells, totals, _ = _frozen(spark, d)
     path = new_folder(spark, "forecasts")
-    documents.write(documents.assembled(cells, totals), path)
+    documents.write_forecasts(cells, totals, path)
     return documents.forecast_cells(documents.read_forecasts(spark, path)).select("tier", "target_month", "cell", "rating", "expected")
 
 
@@ -682,23 +682,56 @@ def forecast_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {incident_sql()} SELECT cell AS entity, k, count(*) AS accidents, count(*) FILTER (serious) AS ksi, CAST(sum(tenths) AS BIGINT) AS tenths FROM acc GROUP BY ALL")
 def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The counts of a stream over the order files, run until nothing is left, against those of the tables."""
-    schema = spark.read.parquet(f"{d}/orders.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(d)
-    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    raw_stream = stream.join(c, cust == F.col("c_custkey")).select(
-        F.when(key % 97 == 0, 700_000).otherwise(500_000 + 1000 * (cust % 13) + key % 1000).cast("string").alias(incidents.EASTING),
-        (155_000 + 1000 * (F.floor(cust / 13) % 10) + F.floor(key / 7) % 1000).cast("string").alias(incidents.NORTHING),
-        F.substring("o_orderpriority", 1, 1).alias(incidents.SEVERITY),
-        F.date_format("o_orderdate", "dd/MM/yyyy").alias(incidents.DATE),
-        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias(incidents.DISTRICT),
-    )
-    path = new_folder(spark, "streamed")
-    streaming.keep_counts(incidents.accepted(incidents.typed(raw_stream)), panels.by_cell(), path, new_folder(spark, "streamed-state")).awaitTermination()
+    """The counts of a stream over the records in ten files, a batch each, against those of the tables."""
+    source, path = new_folder(spark, "records"), new_folder(spark, "streamed")
+    incidents.from_orders(spark, d).repartition(10).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.keep_counts(incidents.typed(stream).where(incidents.reason().isNull()), panels.by_cell(), path, new_folder(spark, "streamed-state")).awaitTermination()
     return streaming.latest(spark, path)
 
 
+SPOILT = """SELECT CASE WHEN o_orderkey % 11 = 0 THEN strftime(o_orderdate, '%Y-13') ELSE strftime(o_orderdate, '%Y-%m') END AS month, o_orderkey % 50 AS cell,
+  CASE WHEN o_orderkey % 5 = 0 THEN ' ' || o_orderkey || 'd' ELSE '' || o_orderkey END AS accidents, CASE WHEN o_orderkey % 7 = 0 THEN 'NaN' ELSE '1' END AS ksi, o_orderkey FROM orders"""
+
+
+@query(f"""WITH spoilt AS ({SPOILT}), judged AS (
+  SELECT *, CASE WHEN o_orderkey % 11 = 0 THEN 'month' WHEN o_orderkey % 5 = 0 THEN 'accidents' WHEN o_orderkey % 7 = 0 THEN 'ksi' END AS reason FROM spoilt)
+SELECT CAST(cell AS VARCHAR) AS entity, coalesce(reason, 'none') AS reason, count(*) AS n, min(accidents) AS least_text FROM judged GROUP BY ALL""")
+def rejected_panel_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A panel file of which some months and values don't parse: rows by cell and by the reason that they were rejected for."""
+    key, path = F.col("o_orderkey"), new_folder(spark, "spoilt")
+    spark.read.parquet(f"{d}/orders.parquet").select(
+        F.when(key % 11 == 0, F.date_format("o_orderdate", "yyyy-'13'")).otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("month"),
+        (key % 50).alias("cell"),
+        F.when(key % 5 == 0, F.concat(F.lit(" "), key.cast("string"), F.lit("d"))).otherwise(key.cast("string")).alias("accidents"),
+        F.when(key % 7 == 0, "NaN").otherwise("1").alias("ksi"),
+    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    rows = panel_source.parsed(spark, path)
+    return rows.groupBy("entity", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.min("raw.accidents").alias("least_text"))
+
+
+@query(f"""WITH {incident_sql()}, spoilt AS (SELECT *, row_number() OVER () AS r FROM inc),
+judged AS (SELECT *, CASE WHEN sev = '4' THEN 'coordinates' WHEN NOT (e BETWEEN 500000 AND 565000 AND n BETWEEN 155000 AND 205000) THEN 'outside' WHEN sev = '5' THEN 'date' END AS reason FROM spoilt)
+SELECT district, reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY ALL""")
+def rejected_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """Records of which some have no number for a coordinate and some no date: those rejected, by district and reason."""
+    sev = F.col(incidents.SEVERITY)
+    spoilt = incidents.from_orders(spark, d).withColumns({
+        incidents.EASTING: F.when(sev == "4", F.concat(F.col(incidents.EASTING), F.lit("m"))).otherwise(F.col(incidents.EASTING)),
+        incidents.DATE: F.when(sev == "5", F.regexp_replace(incidents.DATE, "/", "-")).otherwise(F.col(incidents.DATE)),
+    })
+    return incidents.rejected(incidents.typed(spoilt)).groupBy("district", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {incident_sql()}, by_month AS (SELECT cell, k, max(district) AS district FROM acc GROUP BY ALL) SELECT cell AS entity, arg_max(district, k) AS \"group\" FROM by_month GROUP BY cell")
+def panel_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The district of each cell's last month with one, as a panel file keeps it beside the counts."""
+    path, a = new_folder(spark, "grouped"), accepted(spark, d)
+    of = a.groupBy(panels.by_cell().alias("entity"), "k").agg(F.max("district").alias("group"))
+    panel_source.write(panel_dense(spark, d), path, csv=True, groups=of)
+    return panel_source.groups(spark, path)
+
+
 @query("SELECT CAST(user_id AS VARCHAR) AS entity, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def daily_event_counts(spark: SparkSession, d: str) -> DataFrame:
     """The counting operator over another unit and calendar: users and days."""

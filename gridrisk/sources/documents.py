@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TIERS = ("accidents", "ksi")
@@ -22,7 +22,7 @@ def write(documents: DataFrame, path: str, indent: bool = False) -> None:
 
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Forecast documents; fields that a reader doesn't select aren't built."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", FORECAST).alias("d")).select("d.*")
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", FORECAST).alias("d")).select("d.*")
 
 
 def forecast_cells(documents: DataFrame, tiers: tuple[str, ...] = TIERS) -> DataFrame:
@@ -37,12 +37,29 @@ def forecast_totals(documents: DataFrame, tiers: tuple[str, ...] = TIERS) -> Dat
     return reduce(DataFrame.unionByName, parts)
 
 
-def assembled(cells: DataFrame, totals: DataFrame) -> DataFrame:
-    """target_month, train_through, accidents and ksi: the documents of which forecast_cells and forecast_totals give these rows.
+def write_forecasts(cells: DataFrame, totals: DataFrame, path: str, head: dict[str, Column] | None = None) -> None:
+    """A forecast document for each target month, of which forecast_cells and forecast_totals give these rows, in order of the cells' names.
 
-    A document holds all cells of a month in order of their names, so this is for the sink; all other work stays with the rows.
+    head: further columns of totals by the names that they have in the document, before the tiers. A document is written line by line: its
+    rows are sorted by month, part and cell, by tasks that hold a month each, and no row holds more than a cell. A tier
+    without totals is null, and one without cells has an empty list.
     """
-    by = ["target_month", "train_through", "tier"]
-    listed = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "rating", "expected", "p95"))).alias("cells"))
-    whole = totals.join(listed, by, "left").select(*by, F.struct(*TOTALS, F.coalesce("cells", F.array().cast(f"array<{CELL}>")).alias("cells")).alias("of"))
-    return whole.groupBy("target_month", "train_through").agg(*[F.max_by("of", F.when(F.col("tier") == t, 1)).alias(t) for t in TIERS])
+    by = ["target_month", "train_through"]
+    opened = lambda json, end: F.concat(F.expr(f"substr({json}, 1, length({json}) - 1)"), F.lit(end))  # noqa: E731  without the closing brace
+    tiers = totals.select(*by, "tier", F.to_json(F.struct(*TOTALS)).alias("json"))
+    tiers = tiers.groupBy(*by).pivot("tier", list(TIERS)).agg(F.first("json"))
+    fields = {"target_month": F.col("target_month"), **(head or {}), "train_through": F.col("train_through")}
+    header = totals.select(*by, F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("json")).groupBy(*by).agg(F.first("json").alias("json"))
+    whole = header.join(tiers, by)
+    lines = [F.struct(F.lit(0).alias("part"), opened("json", "").alias("line"))]
+    for k, t in enumerate(TIERS):
+        lines.append(F.struct(F.lit(3 * k + 1).alias("part"), F.concat(F.lit(f',"{t}":'), F.coalesce(opened(f"`{t}`", ',"cells":['), F.lit("null"))).alias("line")))
+        lines.append(F.struct(F.lit(3 * k + 3).alias("part"), F.when(F.col(t).isNotNull(), "]}").otherwise("").alias("line")))
+    lines.append(F.struct(F.lit(3 * len(TIERS) + 1).alias("part"), F.lit("}").alias("line")))
+    frame = whole.select(*by, F.explode(F.array(*lines)).alias("x")).select(*by, "x.part", F.lit("").alias("cell"), "x.line")
+    part = F.coalesce(*[F.when(F.col("tier") == t, F.lit(3 * k + 2)) for k, t in enumerate(TIERS)])
+    listed = cells.join(F.broadcast(totals.select(*by, "tier").distinct()), [*by, "tier"]).select(*by, part.alias("part"), "cell", F.to_json(F.struct("cell", "rating", "expected", "p95")).alias("line"))
+    w = Window.partitionBy(*by).orderBy("part", "cell")
+    line = frame.unionByName(listed).withColumn("first", F.coalesce(F.lag("part").over(w) != F.col("part"), F.lit(True)))
+    line = line.select("target_month", F.when((F.col("cell") == "") | F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), F.col("line"))).alias("value"))
+    line.write.partitionBy("target_month").text(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BoundingBox, MissingColumns
@@ -45,16 +45,31 @@ def accepted(incidents: DataFrame, box: BoundingBox = BoundingBox()) -> DataFram
     return incidents.where(in_area(box) & F.col("k").isNotNull())
 
 
+def reason(box: BoundingBox = BoundingBox()) -> Column:
+    """Why a record isn't accepted: "coordinates", "outside" or "date", whichever comes first; null if it is."""
+    bad = F.col("easting").isNull() | F.col("northing").isNull()
+    return F.when(bad, "coordinates").when(~in_area(box), "outside").when(F.col("k").isNull(), "date")
+
+
+def rejected(incidents: DataFrame, box: BoundingBox = BoundingBox()) -> DataFrame:
+    """The records that accepted() leaves out, with their reason."""
+    return incidents.withColumn("reason", reason(box)).where("reason is not null")
+
+
+def _counts(box: BoundingBox) -> list[Column]:
+    why = reason(box)
+    named = {"n_bad_coordinates": "coordinates", "n_outside": "outside", "n_bad_date": "date"}
+    return [F.count(F.lit(1)).alias("n_read"), *[F.count_if(F.coalesce(why == r, F.lit(False))).alias(n) for n, r in named.items()], F.count_if(why.isNull()).alias("n_accepted")]
+
+
 def counters(incidents: DataFrame, box: BoundingBox = BoundingBox()) -> DataFrame:
     """One row: records read, with coordinates that don't parse, outside the area, without a month, accepted."""
-    bad = F.col("easting").isNull() | F.col("northing").isNull()
-    return incidents.agg(
-        F.count("*").alias("n_read"),
-        F.count_if(bad).alias("n_bad_coordinates"),
-        F.count_if(~bad & ~in_area(box)).alias("n_outside"),
-        F.count_if(in_area(box) & F.col("k").isNull()).alias("n_bad_date"),
-        F.count_if(in_area(box) & F.col("k").isNotNull()).alias("n_accepted"),
-    )
+    return incidents.agg(*_counts(box))
+
+
+def observed(incidents: DataFrame, observation: Observation, box: BoundingBox = BoundingBox()) -> DataFrame:
+    """The accepted records; what counters() has is in the observation when the job that reads them is over."""
+    return accepted(incidents.observe(observation, *_counts(box)), box)
 
 
 def from_orders(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:

@@ -9,9 +9,12 @@ from ..functions import calendar, numbers
 from .incidents import require_columns
 
 
-def write(panel: DataFrame, path: str, csv: bool = False) -> None:
-    """Parquet for Spark, ordered by cell and month; or CSV with weights of two decimals for others."""
-    out = panel.select(calendar.month_text(F.col("k")).alias("month"), F.col("entity").alias("cell"), "accidents", "ksi", F.format_string("%.2f", F.col("tenths") / 10).alias("weighted_days")).orderBy("cell", "month")
+def write(panel: DataFrame, path: str, csv: bool = False, groups: DataFrame | None = None) -> None:
+    """Parquet for Spark, ordered by cell and month; or CSV with weights of two decimals for others. groups: entity, k and group, a further column."""
+    more = []
+    if groups is not None:
+        panel, more = panel.join(groups, ["entity", "k"], "left"), ["group"]
+    out = panel.select(calendar.month_text(F.col("k")).alias("month"), F.col("entity").alias("cell"), "accidents", "ksi", F.format_string("%.2f", F.col("tenths") / 10).alias("weighted_days"), *more).orderBy("cell", "month")
     (out.write.option("header", True).csv if csv else out.write.parquet)(path)
 
 
@@ -24,16 +27,35 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def read(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents", "ksi"), entity: str = "cell") -> DataFrame:
-    """entity, k and the values of a panel, both tiers in one scan. Rows whose month or values don't parse are left out."""
+def parsed(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents", "ksi"), entity: str = "cell") -> DataFrame:
+    """entity, k and the values of all rows of a panel, both tiers in one scan, with raw (the texts that they come from) and reason.
+
+    reason names what doesn't parse first, "month" or a value's column, and is null for a good row.
+    """
     raw = _raw(spark, path)
     require_columns(raw, "month", entity, *values)
-    p = raw.select(F.col(entity).cast("string").alias("entity"), calendar.parse_month(F.col("month").cast("string")).alias("k"), *[numbers.strict_double(F.col(v).cast("string")).alias(v) for v in values])
-    return p.where(" and ".join(f"{c} is not null" for c in ("k", *values)))
+    text = {c: F.col(c).cast("string") for c in ("month", *values)}
+    p = raw.select(
+        F.col(entity).cast("string").alias("entity"),
+        calendar.parse_month(text["month"]).alias("k"),
+        *[numbers.strict_double(text[v]).alias(v) for v in values],
+        F.struct(*[t.alias(c) for c, t in text.items()]).alias("raw"),
+    )
+    return p.withColumn("reason", F.coalesce(*[F.when(F.col(c).isNull(), F.lit(name)) for c, name in (("k", "month"), *((v, v) for v in values))]))
+
+
+def read(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents", "ksi"), entity: str = "cell") -> DataFrame:
+    """entity, k and the values of the good rows of a panel; rejected() has the others."""
+    return parsed(spark, path, values, entity).where("reason is null").drop("raw", "reason")
+
+
+def rejected(spark: SparkSession, path: str, values: tuple[str, ...] = ("accidents", "ksi"), entity: str = "cell") -> DataFrame:
+    """entity, raw and reason of the rows that read() leaves out."""
+    return parsed(spark, path, values, entity).where("reason is not null").select("entity", "raw", "reason")
 
 
-def groups(spark: SparkSession, path: str, group: str, entity: str = "cell") -> DataFrame:
-    """entity and its group, the one of its last month."""
+def groups(spark: SparkSession, path: str, group: str = "group", entity: str = "cell") -> DataFrame:
+    """entity and its group: the last that isn't empty, in order of months."""
     raw = _raw(spark, path)
     require_columns(raw, "month", entity, group)
-    return raw.groupBy(F.col(entity).alias("entity")).agg(F.max_by(group, "month").alias("group"))
+    return raw.where(F.col(group) != "").groupBy(F.col(entity).alias("entity")).agg(F.max_by(group, F.struct("month", group)).alias("group"))

@@ -1,38 +1,67 @@
-"""Incident counts kept up to date from a stream."""
+"""Incident counts kept up to date from a stream.
+
+A batch writes the counts of its own records alone: a run of level 0. As in a log-structured merge tree, FANOUT runs of one level that
+follow each other are added up to a run of the next, so what is written for n batches is their counts some log(n) times, and a reader adds up
+a few runs a level. Which runs a batch writes follows from its number alone, so a batch that is repeated writes the same again, over its own.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import panel
 
+FANOUT = 4
+COUNTS = ("accidents", "ksi", "tenths")
+RUN = "entity string, k int, accidents bigint, ksi bigint, tenths bigint"
 
-def counts(stream: DataFrame, unit: Column) -> DataFrame:
-    """The counts of operators.panel over a stream of typed incidents; run it in complete or update mode."""
-    return panel.counts(stream, unit)
 
+def runs(batches: int) -> list[tuple[int, int]]:
+    """(level, first batch) of the runs that hold what the first `batches` batches counted: the digits of their number to the base FANOUT."""
+    found, first, level = [], 0, 0
+    while FANOUT ** (level + 1) <= batches:
+        level += 1
+    for at in range(level, -1, -1):
+        while first + FANOUT**at <= batches:
+            found.append((at, first))
+            first += FANOUT**at
+    return found
 
-def keep_counts(stream: DataFrame, unit: Column, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the counts anew after each batch, under the batch's number; a batch that is repeated writes over its own."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def _folder(path: str, level: int, first: int) -> str:
+    return f"{path}/level={level}/first={first}"
 
-    return counts(stream, unit).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
+def _added_up(spark: SparkSession, path: str, which: list[tuple[int, int]]) -> DataFrame:
+    parts = [spark.read.schema(RUN).parquet(_folder(path, *r)) for r in which]
+    return reduce(DataFrame.unionByName, parts).groupBy("entity", "k").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The counts of the last batch that keep_counts wrote."""
-    kept = spark.read.parquet(path)
-    return kept.join(F.broadcast(kept.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
+def write_batch(records: DataFrame, number: int, unit: Column, path: str) -> None:
+    """What batch `number` writes: its own counts, the runs that it completes, and its number."""
+    spark = records.sparkSession
+    panel.counts(records, unit).write.mode("overwrite").parquet(_folder(path, 0, number))
+    level = 0
+    while (number + 1) % FANOUT ** (level + 1) == 0:
+        first, width = number + 1 - FANOUT ** (level + 1), FANOUT**level
+        _added_up(spark, path, [(level, first + k * width) for k in range(FANOUT)]).write.mode("overwrite").parquet(_folder(path, level + 1, first))
+        level += 1
+    spark.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/done/{number:012d}")
 
-def keep_panel(stream: DataFrame, unit: Column, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the dense panel anew after each batch, zeros included, under the batch's number."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        panel.densify(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+def keep_counts(stream: DataFrame, unit: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the counts of a stream of typed incidents below path. The stream has no state but its place in the source.
+
+    Empty batches write empty runs. Runs that a larger one holds stay, as a batch may be repeated; they aren't read any more.
+    """
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, number: write_batch(batch, number, unit, path)).start()
 
-    return counts(stream, unit).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """entity, k, accidents, ksi, tenths after the last batch that is done; operators.panel.densify makes a panel of them."""
+    last = spark.read.option("recursiveFileLookup", True).schema("batch int").parquet(f"{path}/done").agg(F.max("batch")).first()[0]
+    return _added_up(spark, path, runs(last + 1))

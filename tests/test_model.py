@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridrisk.config import MissingColumns, ModelConfig, NotForward, NotPublished
+from gridrisk.config import TIERS, MissingColumns, ModelConfig, NotForward, NotPublished
 from gridrisk.functions import calendar
 from gridrisk.operators import model, panel as panels, scoring
 from gridrisk.plans import backtest, forecast, queries, resolve, sweep
@@ -211,11 +211,12 @@ def test_panel_from_csv(spark, tmp_path):
 def test_forecast_and_settlement(spark, tmp_path):
     p = panel(spark, {f"{i}_0": (lambda i: lambda t, m: (t + i) % 3)(i) for i in range(3)}, 30).withColumnRenamed("y", "accidents").withColumn("ksi", F.col("accidents") - (F.col("accidents") > 1).cast("long"))
     through = calendar.month_text_py(START + 26)
-    docs = forecast.documents(p, through, last=calendar.month_text_py(START + 28), n=40, made_at="now", source="/a/panel.csv")
-    documents.write(docs, str(tmp_path / "f"))
+    forecast.publish(p, str(tmp_path / "f"), through, last=calendar.month_text_py(START + 28), n=40, side_km=2, made_at="now", source="/a/panel.csv")
     back = documents.read_forecasts(spark, str(tmp_path / "f"))
     assert sorted(r["target_month"] for r in back.collect()) == [calendar.month_text_py(START + 27), calendar.month_text_py(START + 28)]
     first = back.orderBy("target_month").first()
+    assert (first["made_at"], first["cell_km"], first["n"], first["seed"], first["train_through"], first["model"]) == ("now", 2.0, 40, 1, through, "poisson-factor")
+    assert first["settle_note"].endswith(first["target_month"]) and first["ksi"]["model"] == TIERS["ksi"].name
     assert first["train_source"] == "panel.csv" and [c["cell"] for c in first["accidents"]["cells"]] == ["0_0", "1_0", "2_0"]
     resolve.check(back, p)
     r = resolve.resolutions(documents.forecast_cells(back), documents.forecast_totals(back), p).where("tier = 'accidents'").orderBy("target_month").first()
@@ -225,9 +226,9 @@ def test_forecast_and_settlement(spark, tmp_path):
     with pytest.raises(NotForward):
         resolve.check(back.withColumn("train_through", F.lit("x")), p)
     with pytest.raises(NotForward):
-        forecast.documents(p, through, through)
+        forecast.publish(p, str(tmp_path / "g"), through, through)
     with pytest.raises(ValueError):
-        forecast.documents(p, through, "2030-05", "2030-04")
+        forecast.publish(p, str(tmp_path / "g"), through, "2030-05", "2030-04")
     assert forecast.as_at(p, START - 1).select("entity").distinct().count() == 3
 
 

@@ -7,6 +7,7 @@ is by month or by target is small and broadcast; what is by entity is shuffled b
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,10 +41,16 @@ def backtest_targets(axis: DataFrame, min_history: int, hist_k: int = 0) -> Data
     return _with_cutoff(t, axis, hist_k)
 
 
-def forward_targets(axis: DataFrame, first: int, last: int, through: int, hist_k: int = 0) -> DataFrame:
-    """The months first to last, forecast from what is known through a month: all have the same window."""
+def forward_targets(axis: DataFrame, first: int, last: int, through: int, hist_k: int = 0, studies: tuple[str, ...] = ()) -> DataFrame:
+    """The months first to last, forecast from what is known through a month: all have the same window. studies: those of the axis, if it has any."""
     known = axis.where(F.col("k") <= through)
-    t = known.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("n")).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("target"), (F.col("n") + 1).alias("target_ord"))
+    n = F.coalesce(F.max("ord"), F.lit(0)).alias("n")
+    if studies:
+        named = axis.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, studies))).alias("study"))
+        known_n = named.join(F.broadcast(known.groupBy("study").agg(n)), "study", "left").fillna(0, ["n"])
+    else:
+        known_n = known.agg(n)
+    t = known_n.select(*study(known_n), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("target"), (F.col("n") + 1).alias("target_ord"))
     return _with_cutoff(t, known, hist_k).withColumn("through", F.lit(through))
 
 
@@ -116,9 +123,9 @@ def exposure(panel: DataFrame, axis: DataFrame, targets: DataFrame, seasons: Dat
     """
     of = study(targets)
     if "through" in targets.columns:
-        limits = targets.select("through", "cutoff").distinct()
+        limits = F.broadcast(targets.select(*of, "through", "cutoff").distinct())
         inside = (F.col("k") <= F.col("through")) & (F.col("cutoff").isNull() | (F.col("k") >= F.col("cutoff")))
-        own = panel.crossJoin(F.broadcast(limits)).groupBy("entity").agg(
+        own = (panel.join(limits, of) if of else panel.crossJoin(limits)).groupBy(*of, "entity").agg(
             F.coalesce(F.sum(F.when(inside, F.col("y"))), F.lit(0)).alias("cnt"), *[F.count_if(inside & (calendar.month_of(F.col("k")) == m)).alias(f"n{m}") for m in YEAR]
         )
         return _weighed(_of_targets(own, targets), seasons)
@@ -216,9 +223,11 @@ class Fitted(dict):
     Each is built when it is first asked for. What several later stages read is written then; the others are plans.
     """
 
-    def __init__(self, panel: DataFrame, targets: Callable[[DataFrame], DataFrame], config: ModelConfig, dense: bool | None = None, through: int | None = None):
-        """targets: from the month table to the targets. dense: None looks whether the panel is. through: months after it aren't known."""
+    def __init__(self, panel: DataFrame, targets: Callable[[DataFrame], DataFrame], config: ModelConfig, dense: bool | None = None, through: int | None = None, studies: dict[str, ModelConfig] | None = None):
+        """targets: from the month table to the targets. dense: None looks whether the panel is. through: months after it aren't known.
+        studies: where studies differ in radius and shrink, their own configurations."""
         super().__init__()
+        self._studies = studies or {}
         self._panel, self._targets, self._config, self._dense, self._through = panel, targets, config, dense, through
 
     def __missing__(self, name: str) -> DataFrame:
@@ -246,7 +255,11 @@ class Fitted(dict):
 
     def _build_based(self) -> DataFrame:
         exposed = exposure(self["panel"], self["axis"], self["targets"], self["seasons"], self.dense)
-        return staged(base(prior(exposed, self["seasons"], self._config.radius), self._config), "based")
+        if not self._studies:
+            return staged(base(prior(exposed, self["seasons"], self._config.radius), self._config), "based")
+        exposed = staged(exposed, "exposed")
+        own = [base(prior(exposed.where(F.col("study") == name), self["seasons"].where(F.col("study") == name), c.radius), c) for name, c in self._studies.items()]
+        return staged(reduce(DataFrame.unionByName, own), "based")
 
     def _build_series(self) -> DataFrame:
         return factor_series(self["panel"], self["axis"], self["targets"], self["seasons"], self["based"], self.dense)
@@ -275,10 +288,10 @@ def predict(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
 
 def ensembles(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
     """target, entity and counts by member, which add up to totals() member by member: each total split between the entities."""
-    rates = intensity(fitted)
-    whole = totals(fitted, config).groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "total"))), lambda s: s["total"]).alias("counts"))
-    entities = fitted["based"].groupBy("target").count().agg(F.max("count")).first()[0] or 0
-    return splitting.split(rates, whole, config.seed, entities)
+    by = by_target(fitted["based"])
+    whole = totals(fitted, config).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("member", "total"))), lambda s: s["total"]).alias("counts"))
+    entities = fitted["based"].groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    return splitting.split(intensity(fitted), whole, config.seed, entities)
 
 
 def order_statistic(values: str, q: float):
@@ -309,17 +322,20 @@ def p95_analytic(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame
 
 def totals(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
     """target, member, total: given the factor the sum of cells is Poisson too, so one draw a member will do."""
-    rate = intensity(fitted).groupBy("target").agg(F.sum("mu").alias("mu"))
-    d = fitted["drawn"].join(F.broadcast(rate), "target")
+    by = by_target(fitted["based"])
+    rate = intensity(fitted).groupBy(*by).agg(F.sum("mu").alias("mu"))
+    d = fitted["drawn"].join(F.broadcast(rate), by)
     key = lambda stream: (F.lit(config.seed), F.col("target"), F.col("member"), F.lit(stream))
-    return d.select("target", "member", chance.poisson(F.col("mu") * F.exp("f"), chance.uniform(*key("tc")), chance.normal(chance.uniform(*key("tu")), chance.uniform(*key("tv")))).alias("total"))
+    return d.select(*by, "member", chance.poisson(F.col("mu") * F.exp("f"), chance.uniform(*key("tc")), chance.normal(chance.uniform(*key("tu")), chance.uniform(*key("tv")))).alias("total"))
 
 
 def summed_totals(drawn_counts: DataFrame) -> DataFrame:
-    """target, member, total: published cell ensembles summed member by member."""
-    return drawn_counts.select("target", F.posexplode("counts").alias("m", "c")).groupBy("target", (F.col("m") + 1).alias("member")).agg(F.sum("c").alias("total"))
+    """target, member, total: cells' draws added up member by member, to hold against totals()."""
+    by = by_target(drawn_counts)
+    return drawn_counts.select(*by, F.posexplode("counts").alias("m", "c")).groupBy(*by, (F.col("m") + 1).alias("member")).agg(F.sum("c").alias("total"))
 
 
 def total_quantiles(drawn_totals: DataFrame) -> DataFrame:
     """target, total_p5, total_p50, total_p95."""
-    return drawn_totals.groupBy("target").agg(F.collect_list("total").alias("t")).select("target", *[order_statistic("t", q).alias(f"total_p{int(100 * q)}") for q in (0.05, 0.5, 0.95)])
+    by = by_target(drawn_totals)
+    return drawn_totals.groupBy(*by).agg(F.collect_list("total").alias("t")).select(*by, *[order_statistic("t", q).alias(f"total_p{int(100 * q)}") for q in (0.05, 0.5, 0.95)])

@@ -99,33 +99,37 @@ def split_node(seed: int, target: int, level: int, places: np.ndarray, rates: np
 def split(rates: DataFrame, totals: DataFrame, seed: int, entities: int) -> DataFrame:
     """target, entity and counts (by member) of rates (target, entity, mu), which add up to totals (target, counts) member by member.
 
-    entities: about how many there are, which decides in how many steps the tree is walked, not what is drawn. A target without
-    totals has no rows; entities of rate 0 have counts of 0.
+    Where both have a study (a text), it is a key as well; all studies have the same draws at a node. entities: about how many there
+    are, which decides in how many steps the tree is walked, not what is drawn. A target without totals has no rows;
+    entities of rate 0 have counts of 0.
     """
-    leaves = rates.select("target", place(F.col("entity")).alias("place"), "entity", "mu")
-    parents, at = totals.select("target", F.lit(0).cast("long").alias("node"), "counts"), 0
+    by = [*(["study"] if "study" in rates.columns else []), "target"]
+    leaves = rates.select(*by, place(F.col("entity")).alias("place"), "entity", "mu")
+    parents, at = totals.select(*by, F.lit(0).cast("long").alias("node"), "counts"), 0
     deep = math.ceil(math.log2(max(1, entities / GROUP)))
+    schema = f"{'study string, ' if len(by) > 1 else ''}target int, place bigint, entity string, counts array<bigint>"
     for to in [*range(STEP, deep, STEP), *([deep] if deep else []), BITS]:
         if to < BITS:
-            below = leaves.groupBy("target", F.shiftright("place", BITS - to).alias("node")).agg(F.sum("mu").alias("mu"))
-            below = below.select("target", F.shiftleft("node", BITS - to).alias("place"), F.lit("").alias("entity"), "mu")
+            below = leaves.groupBy(*by, F.shiftright("place", BITS - to).alias("node")).agg(F.sum("mu").alias("mu"))
+            below = below.select(*by, F.shiftleft("node", BITS - to).alias("place"), F.lit("").alias("entity"), "mu")
         else:
             below = leaves
-        groups = below.groupBy("target", (F.shiftright("place", BITS - at) if at else F.lit(0).cast("long")).alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", "entity", "mu"))).alias("below"))
-        found = groups.join(parents, ["target", "node"]).select("target", "below", "counts").mapInArrow(_splitter(seed, at), "target int, place bigint, entity string, counts array<bigint>")
-        parents, at = found.select("target", F.shiftright("place", BITS - to).alias("node"), "counts"), to
-    return found.select("target", "entity", "counts")
+        groups = below.groupBy(*by, (F.shiftright("place", BITS - at) if at else F.lit(0).cast("long")).alias("node")).agg(F.array_sort(F.collect_list(F.struct("place", "entity", "mu"))).alias("below"))
+        found = groups.join(parents, [*by, "node"]).select(*by, "below", "counts").mapInArrow(_splitter(seed, at, len(by)), schema)
+        parents, at = found.select(*by, F.shiftright("place", BITS - to).alias("node"), "counts"), to
+    return found.select(*by, "entity", "counts")
 
 
-def _splitter(seed: int, level: int):
+def _splitter(seed: int, level: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                target, below = batch.column(0)[k].as_py(), batch.column(1)[k].values
+                below = batch.column(keys)[k].values
                 places, rates = (below.field(f).to_numpy(zero_copy_only=False) for f in ("place", "mu"))
-                counts = split_node(seed, target, level, places, rates, batch.column(2)[k].values.to_numpy())
+                counts = split_node(seed, batch.column(keys - 1)[k].as_py(), level, places, rates, batch.column(keys + 1)[k].values.to_numpy())
                 offsets = pa.array(np.arange(len(places) + 1) * counts.shape[1], pa.int32())
+                own = [pa.repeat(batch.column(c)[k], len(places)) for c in range(keys)]
                 listed = pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), target, np.int32)), pa.array(places), below.field("entity"), listed], names=["target", "place", "entity", "counts"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(places), below.field("entity"), listed], names=[*batch.schema.names[:keys], "place", "entity", "counts"])
 
     return run

@@ -9,9 +9,9 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import TIERS, ModelConfig, NotForward
+from ..config import TIERS, NotForward
 from ..functions import calendar, numbers
-from ..operators import model
+from ..operators import model, panel as panels
 from ..sources import documents as document_files
 from ..sources.work import staged
 
@@ -23,19 +23,6 @@ def as_at(panel: DataFrame, through: int) -> DataFrame:
     return known.unionByName(rest, allowMissingColumns=True)
 
 
-def tier(panel: DataFrame, config: ModelConfig, first: int, last: int, through: int, dense: bool | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cells (target, cell, rating, expected, p95) and totals (target, model, expected_total, total_p5, total_p50, total_p95) of a panel of entity, k, y."""
-    fitted = model.Fitted(panel, lambda axis: model.forward_targets(axis, first, last, through, config.hist_k), config, dense, through)
-    counts = staged(model.ensembles(fitted, config), "counts")
-    predicted = staged(model.predict(fitted, config), "predicted")
-    p95 = counts.select("target", "entity", model.order_statistic("counts", 0.95).alias("p95"))
-    cells = predicted.join(p95, ["target", "entity"]).select("target", F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
-    expected = predicted.groupBy("target").agg(numbers.round_half_up(F.sum("expected"), 1).alias("expected_total"))
-    quantiles = model.total_quantiles(model.totals(fitted, config))
-    totals = expected.join(quantiles, "target").select("target", F.lit(config.name).alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
-    return cells, totals
-
-
 def limits(panel: DataFrame, through: str | None = None, first: str | None = None, last: str | None = None) -> tuple[int, int, int]:
     """The last month that the model may know (by default the panel's last), and the first and last target (by default the 12 months after it).
 
@@ -54,13 +41,23 @@ def limits(panel: DataFrame, through: str | None = None, first: str | None = Non
 
 
 def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """What tier() gives of both tiers, each with target_month, train_through and tier in place of target. panel: entity, k, accidents, ksi."""
-    named = lambda df, t: df.select(calendar.month_text(F.col("target")).alias("target_month"), F.lit(calendar.month_text_py(end)).alias("train_through"), F.lit(t).alias("tier"), *[c for c in df.columns if c != "target"])
-    parts = []
-    for t, c in TIERS.items():
-        config = replace(c, n=n, seed=seed)
-        parts.append([named(x, t) for x in tier(panel.select("entity", "k", F.col(t).alias("y")), config, first, last, end)])
-    return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
+    """Forecasts of both tiers of a panel of entity, k, accidents, ksi, fitted together as two studies.
+
+    Cells: target_month, train_through, tier, cell, rating, expected, p95. Totals: target_month, train_through, tier, model,
+    expected_total, total_p5, total_p50, total_p95.
+    """
+    configs = {t: replace(c, n=n, seed=seed) for t, c in TIERS.items()}
+    config = next(iter(configs.values()))  # they differ in radius and shrink only
+    both = panels.tiers(panel).withColumnRenamed("tier", "study")
+    fitted = model.Fitted(both, lambda axis: model.forward_targets(axis, first, last, end, config.hist_k, tuple(configs)), config, panels.is_dense(panel), end, configs)
+    predicted = staged(model.predict(fitted, config), "predicted")
+    p95 = model.ensembles(fitted, config).select("study", "target", "entity", model.order_statistic("counts", 0.95).alias("p95"))
+    by = ["study", "target"]
+    named = [calendar.month_text(F.col("target")).alias("target_month"), F.lit(calendar.month_text_py(end)).alias("train_through"), F.col("study").alias("tier")]
+    cells = predicted.join(p95, [*by, "entity"]).select(*named, F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
+    whole = predicted.groupBy(*by).agg(numbers.round_half_up(F.sum("expected"), 1).alias("expected_total")).join(model.total_quantiles(model.totals(fitted, config)), by)
+    names = F.coalesce(*[F.when(F.col("study") == t, F.lit(c.name)) for t, c in configs.items()])
+    return cells, whole.select(*named, names.alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
 
 
 def publish(panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> None:

@@ -6,7 +6,7 @@ import datetime
 import os
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TIERS, NotForward
@@ -60,12 +60,16 @@ def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed:
     return cells, whole.select(*named, names.alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
 
 
-def publish(panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> None:
-    """Write a forecast document for each month first to last, as limits() has it."""
-    end, a, b = limits(panel, through, first, last)
+def head(side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> dict[str, Column]:
+    """What a document says of itself before its tiers. made_at: by default now, in UTC."""
     stamp = made_at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    head = {
+    return {
         "made_at": F.lit(stamp), "model": F.lit("poisson-factor"), "cell_km": F.lit(float(side_km)), "n": F.lit(n).cast("long"), "seed": F.lit(seed).cast("long"),
         "train_source": F.lit(os.path.basename(source)), "settle_note": F.concat(F.lit("settle against the first panel that covers "), F.col("target_month")),
     }
-    document_files.write_forecasts(*rows(panel, end, a, b, n, seed), path, head)
+
+
+def publish(panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> None:
+    """Write a forecast document for each month first to last, as limits() has it."""
+    end, a, b = limits(panel, through, first, last)
+    document_files.write_forecasts(*rows(panel, end, a, b, n, seed), path, head(side_km, n, seed, source, made_at))

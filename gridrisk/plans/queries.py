@@ -553,6 +553,36 @@ def forecast_files(spark: SparkSession, d: str) -> DataFrame:
     return documents.forecast_cells(documents.read_forecasts(spark, path)).select("tier", "target_month", "cell", "rating", "expected")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    cells, totals, _ = _frozen(spark, d)
+    path = new_folder(spark, "forecasts")
+    documents.write_forecasts(cells, totals, path, forecast.head(1.5, 50, 7, "/in/panel.csv", "2030-01-02T03:04:05Z"))
+    return documents.read_forecasts(spark, path)
+
+
+@query(f"""WITH {FROZEN}, c AS (SELECT count(*) AS cells FROM rates)
+SELECT target_month, '2030-01-02T03:04:05Z' AS made_at, 'poisson-factor' AS model, 1.5::DOUBLE AS cell_km, 50::BIGINT AS n, 7::BIGINT AS seed, through // 12 || '-' || lpad(CAST(through % 12 + 1 AS VARCHAR), 2, '0') AS train_through,
+       'panel.csv' AS train_source, 'settle against the first panel that covers ' || target_month AS settle_note, cells AS n_accidents, cells AS n_ksi, expected_total FROM dated CROSS JOIN lim CROSS JOIN c JOIN wholes ON tier = 'ksi'""")
+def forecast_headers(spark: SparkSession, d: str) -> DataFrame:
+    """What forecast documents say of themselves, and how many cells their tiers have."""
+    of = ["target_month", "made_at", "model", "cell_km", "n", "seed", "train_through", "train_source", "settle_note"]
+    return _documents(spark, d).select(*of, *[F.size(f"{t}.cells").cast("long").alias(f"n_{t}") for t in TIERS], F.col("ksi.expected_total"))
+
+
+@query(f"WITH {FROZEN} SELECT tier, target_month, CAST(row_number() OVER (PARTITION BY tier, target_month ORDER BY entity) - 1 AS INT) AS place, entity AS cell FROM frozen CROSS JOIN dated")
+def document_order(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each cell in its document, whose cells are in order of their names."""
+    docs = _documents(spark, d)
+    parts = [docs.select(F.lit(t).alias("tier"), "target_month", F.posexplode(f"{t}.cells").alias("place", "c")).select("tier", "target_month", "place", "c.cell") for t in TIERS]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"WITH {panel_sql('unit').replace('FROM inc WHERE', ', CASE WHEN k % 3 = 0 THEN substr(district, 3) ELSE district END AS unit FROM inc WHERE')} SELECT * FROM panel")
+def panel_empty_units(spark: SparkSession, d: str) -> DataFrame:
+    """The panel by a unit that many records lack: those aren't counted."""
+    return panels.build(accepted(spark, d), F.when(F.col("k") % 3 == 0, F.substring("district", 3, 9)).otherwise(F.col("district")))
+
+
 @query(f"WITH {FROZEN} SELECT tier, target_month, n, realised_total, in_interval, unforecast_total FROM resolved")
 def resolution_files(spark: SparkSession, d: str) -> DataFrame:
     """Resolution documents written as JSON and read back."""

@@ -17,7 +17,7 @@ from ..config import TIERS, ModelConfig
 from ..functions import calendar, chance, geo, numbers
 from ..operators import model, panel as panels, scoring, splitting
 from ..sources import documents, incidents, panels as panel_source
-from ..sources.work import new_folder
+from ..sources.work import new_folder, staged
 from . import backtest, forecast, resolve, sweep
 
 MIN_HISTORY = 24
@@ -279,10 +279,8 @@ def cell_exposure(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(e, 6) AS e, cnt FROM expo")
 def cell_exposure_general(spark: SparkSession, d: str) -> DataFrame:
     """The path for panels that aren't dense: running sums by month of the year, which marks of the targets read."""
-    p = measure(spark, d)
-    axis = model.months(p)
-    targets = model.backtest_targets(axis, MIN_HISTORY)
-    return model.exposure(p, axis, targets, model.season(axis, targets), dense=False).select("target", "entity", six("e"), "cnt")
+    f = backtest.fit(measure(spark, d), IID, MIN_HISTORY, dense=False)
+    return f["based"].select("target", "entity", six("e"), "cnt")
 
 
 @query(f"WITH {model_sql(IID)} SELECT target, entity, round(base, 6) AS base FROM based")
@@ -473,7 +471,7 @@ def backtest_report(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {panel_sql()}, end_of AS (SELECT max(k) - 6 AS through FROM panel), known AS (SELECT entity, k, accidents FROM panel, end_of WHERE k <= through)
 SELECT entity, CAST(count(*) AS BIGINT) AS n_months, CAST(sum(accidents) AS BIGINT) AS accidents FROM known GROUP BY entity""")
 def asof_history(spark: SparkSession, d: str) -> DataFrame:
-    p = panel_dense(spark, d)
+    p = staged(panel_dense(spark, d), "panel")
     through = p.agg(F.max("k")).first()[0] - 6
     return forecast.as_at(p, through).groupBy("entity").agg(F.count("k").alias("n_months"), F.coalesce(F.sum("accidents"), F.lit(0)).alias("accidents"))
 
@@ -483,7 +481,7 @@ def _frozen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
     The cells of the southernmost row aren't forecast, and the interval is narrow, so that some totals fall outside it.
     """
-    p = panel_dense(spark, d)
+    p = staged(panel_dense(spark, d), "panel")
     through = p.agg(F.max("k")).first()[0] - 4
     rates = p.where((F.col("k") <= through) & (F.col("k") > through - 12) & ~F.col("entity").endswith("_155")).groupBy("entity")
     rates = rates.agg((F.sum("accidents") / 12.0).alias("accidents"), (F.sum("ksi") / 12.0).alias("ksi")).unpivot(["entity"], ["accidents", "ksi"], "tier", "rate")
@@ -620,7 +618,7 @@ def month_sql(k: str) -> str:
 
 
 def _forward(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = panel_dense(spark, d)
+    p = staged(panel_dense(spark, d), "panel")
     last = p.agg(F.max("k")).first()[0]
     return forecast.rows(p, *forecast.limits(p, calendar.month_text_py(last - 1)))
 

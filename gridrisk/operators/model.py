@@ -189,7 +189,11 @@ def factor_parameters(series: DataFrame, targets: DataFrame, config: ModelConfig
     """target, n, mu, sigma, phi, h, f_mean and f_sd. Lags go by position among the months with a factor, h by the calendar."""
     by = by_target(targets)
     stats = series.groupBy(*by).agg(
-        F.max("k").alias("last_k"), F.count("f").alias("n"), F.coalesce(F.avg("f"), F.lit(0.0)).alias("mu"), F.coalesce(F.var_pop("f"), F.lit(0.0)).alias("var"), F.max_by("f", F.when(F.col("f").isNotNull(), F.col("k"))).alias("f_last")
+        F.max("k").alias("last_k"),
+        F.count("f").alias("n"),
+        F.coalesce(F.avg("f"), F.lit(0.0)).alias("mu"),
+        F.coalesce(F.var_pop("f"), F.lit(0.0)).alias("var"),
+        F.max_by("f", F.when(F.col("f").isNotNull(), F.col("k"))).alias("f_last"),
     )
     lagged = series.where("f is not null").withColumn("before", F.lag("f").over(Window.partitionBy(*by).orderBy("k"))).join(F.broadcast(stats.select(*by, "mu")), by)
     slope = lagged.groupBy(*by).agg(F.try_divide(F.sum((F.col("f") - F.col("mu")) * (F.col("before") - F.col("mu"))), F.sum(F.pow(F.col("before") - F.col("mu"), F.lit(2.0)))).alias("slope"))
@@ -301,7 +305,7 @@ def order_statistic(values: str, q: float):
 
 def p95(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
     """target, entity, p95 of the drawn counts."""
-    return ensembles(fitted, config).select("target", "entity", order_statistic("counts", 0.95).alias("p95"))
+    return ensembles(fitted, config).select(*by_target(fitted["based"]), "entity", order_statistic("counts", 0.95).alias("p95"))
 
 
 def p95_analytic(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame:
@@ -316,7 +320,11 @@ def p95_analytic(fitted: dict[str, DataFrame], config: ModelConfig) -> DataFrame
     mass = lambda c, log_factorial: F.aggregate("rates", F.lit(0.0), lambda a, r: a + F.exp(c * r["log"] - r["r"] - log_factorial)) / config.draws
     none = F.aggregate("rates", F.lit(0.0), lambda a, r: a + F.exp(-r["r"])) / config.draws
     start = F.struct(F.lit(0.0).alias("log_factorial"), none.alias("cdf"), F.lit(0).cast("long").alias("n"))
-    step = lambda s, c: F.struct((s["log_factorial"] + F.log(c)).alias("log_factorial"), (s["cdf"] + mass(c, s["log_factorial"] + F.log(c))).alias("cdf"), (s["n"] + (s["cdf"] < 0.95).cast("long")).alias("n"))
+
+    def step(s, c):
+        log_factorial = s["log_factorial"] + F.log(c)
+        return F.struct(log_factorial.alias("log_factorial"), (s["cdf"] + mass(c, log_factorial)).alias("cdf"), (s["n"] + (s["cdf"] < 0.95).cast("long")).alias("n"))
+
     return p.select("target", "entity", F.aggregate(F.sequence(F.lit(1), F.col("most")), start, step, lambda s: s["n"]).alias("p95"))
 
 

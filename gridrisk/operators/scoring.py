@@ -12,7 +12,8 @@ from .model import order_statistic
 def means(scored: DataFrame, group: list[str]) -> DataFrame:
     """brier, log_loss, deviance and n by group, over rows with p, mu and y."""
     hit = F.col("y") > 0
-    return scored.groupBy(*group).agg(F.avg(numbers.brier(F.col("p"), hit)).alias("brier"), F.avg(numbers.log_loss(F.col("p"), hit)).alias("log_loss"), F.avg(numbers.poisson_deviance(F.col("mu"), F.col("y"))).alias("deviance"), F.count("*").alias("n"))
+    scores = {"brier": numbers.brier(F.col("p"), hit), "log_loss": numbers.log_loss(F.col("p"), hit), "deviance": numbers.poisson_deviance(F.col("mu"), F.col("y"))}
+    return scored.groupBy(*group).agg(*[F.avg(c).alias(name) for name, c in scores.items()], F.count("*").alias("n"))
 
 
 def reliability(scored: DataFrame, group: list[str], bins: int = 10) -> DataFrame:

@@ -51,11 +51,12 @@ def rows(panel: DataFrame, end: int, first: int, last: int, n: int = 400, seed:
     both = panels.tiers(panel).withColumnRenamed("tier", "study")
     fitted = model.Fitted(both, lambda axis: model.forward_targets(axis, first, last, end, config.hist_k, tuple(configs)), config, panels.is_dense(panel), end, configs)
     predicted = staged(model.predict(fitted, config), "predicted")
-    p95 = model.ensembles(fitted, config).select("study", "target", "entity", model.order_statistic("counts", 0.95).alias("p95"))
-    by = ["study", "target"]
+    by, rounded = ["study", "target"], numbers.round_half_up
     named = [calendar.month_text(F.col("target")).alias("target_month"), F.lit(calendar.month_text_py(end)).alias("train_through"), F.col("study").alias("tier")]
-    cells = predicted.join(p95, [*by, "entity"]).select(*named, F.col("entity").alias("cell"), numbers.round_half_up(F.col("rating"), 4).alias("rating"), numbers.round_half_up(F.col("expected"), 4).alias("expected"), "p95")
-    whole = predicted.groupBy(*by).agg(numbers.round_half_up(F.sum("expected"), 1).alias("expected_total")).join(model.total_quantiles(model.totals(fitted, config)), by)
+    cells = predicted.join(model.p95(fitted, config), [*by, "entity"])
+    cells = cells.select(*named, F.col("entity").alias("cell"), rounded(F.col("rating"), 4).alias("rating"), rounded(F.col("expected"), 4).alias("expected"), "p95")
+    expected = predicted.groupBy(*by).agg(rounded(F.sum("expected"), 1).alias("expected_total"))
+    whole = expected.join(model.total_quantiles(model.totals(fitted, config)), by)
     names = F.coalesce(*[F.when(F.col("study") == t, F.lit(c.name)) for t, c in configs.items()])
     return cells, whole.select(*named, names.alias("model"), "expected_total", *[F.col(f"total_p{q}").cast("double").alias(f"total_p{q}") for q in (5, 50, 95)])
 
@@ -69,7 +70,10 @@ def head(side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", ma
     }
 
 
-def publish(panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None, side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None) -> None:
+def publish(
+    panel: DataFrame, path: str, through: str | None = None, first: str | None = None, last: str | None = None,
+    side_km: float = 1.0, n: int = 400, seed: int = 1, source: str = "", made_at: str | None = None,
+) -> None:
     """Write a forecast document for each month first to last, as limits() has it."""
     end, a, b = limits(panel, through, first, last)
     document_files.write_forecasts(*rows(panel, end, a, b, n, seed), path, head(side_km, n, seed, source, made_at))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .work import staged
+
 TIERS = ("accidents", "ksi")
 TOTALS = ("model", "expected_total", "total_p5", "total_p50", "total_p95")
 CELL = "struct<cell:string,rating:double,expected:double,p95:bigint>"
@@ -44,7 +46,7 @@ def write_forecasts(cells: DataFrame, totals: DataFrame, path: str, head: dict[s
     rows are sorted by month, part and cell, by tasks that hold a month each, and no row holds more than a cell. A tier
     without totals is null, and one without cells has an empty list.
     """
-    by = ["target_month", "train_through"]
+    by, totals = ["target_month", "train_through"], staged(totals, "totals")
     opened = lambda json, end: F.concat(F.expr(f"substr({json}, 1, length({json}) - 1)"), F.lit(end))  # noqa: E731  without the closing brace
     tiers = totals.select(*by, "tier", F.to_json(F.struct(*TOTALS)).alias("json"))
     tiers = tiers.groupBy(*by).pivot("tier", list(TIERS)).agg(F.first("json"))

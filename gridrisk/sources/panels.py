@@ -14,7 +14,8 @@ def write(panel: DataFrame, path: str, csv: bool = False, groups: DataFrame | No
     more = []
     if groups is not None:
         panel, more = panel.join(groups, ["entity", "k"], "left"), ["group"]
-    out = panel.select(calendar.month_text(F.col("k")).alias("month"), F.col("entity").alias("cell"), "accidents", "ksi", F.format_string("%.2f", F.col("tenths") / 10).alias("weighted_days"), *more).orderBy("cell", "month")
+    weights = F.format_string("%.2f", F.col("tenths") / 10).alias("weighted_days")
+    out = panel.select(calendar.month_text(F.col("k")).alias("month"), F.col("entity").alias("cell"), "accidents", "ksi", weights, *more).orderBy("cell", "month")
     (out.write.option("header", True).csv if csv else out.write.parquet)(path)
 
 

@@ -62,6 +62,9 @@ def keep_counts(stream: DataFrame, unit: Column, path: str, checkpoint: str) ->
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """entity, k, accidents, ksi, tenths after the last batch that is done; operators.panel.densify makes a panel of them."""
+    """entity, k, accidents, ksi, tenths after the last batch that is done; operators.panel.densify makes a panel of them.
+
+    Raises AnalysisException if no batch has been done yet.
+    """
     last = spark.read.option("recursiveFileLookup", True).schema("batch int").parquet(f"{path}/done").agg(F.max("batch")).first()[0]
     return _added_up(spark, path, runs(last + 1))

@@ -98,8 +98,13 @@ class PartEncoder:
         number = np.empty(len(parts), np.int64)
         number[later] = rest.indices.to_numpy()
         number[~later] = np.arange(len(known) - len(firsts), len(known))
-        at = starts.tolist()
-        return [b"".join([known[k] for k in number[a:b].tolist()]) for a, b in zip(at[:-1], at[1:])]
+        flat, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        count = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]  # from a token's place in the texts to its place in flat
+        ids = flat[np.repeat(shift, count) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[starts]).tolist()
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""

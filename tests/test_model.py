@@ -297,4 +297,4 @@ def test_queries_take_the_published_draws(spark, monkeypatch):
         monkeypatch.setattr(model, name, (lambda real: lambda f, c: seen.append(c.draws) or real(f, c))(getattr(model, name)))
     for q in ("cell_ensembles", "p95_analytic_whole", "forecast_documents"):
         queries.QUERIES[q](spark, d)
-    assert seen == [400] * 4
+    assert seen == [400] * 3  # both tiers of a forecast are drawn together

@@ -8,8 +8,10 @@ last `window` of them are a window of an item. Items shorter than a window count
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 from . import common
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of words of the items that a worker holds as an automaton at a time.
+MAX_BYTES = 2_000_000
 #: What match() adds.
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("longest_match", T.LongType()), T.StructField("hit_spans", T.ArrayType(SPAN)), T.StructField("item_ids", T.ArrayType(T.StringType()))])
@@ -45,24 +49,26 @@ class Automaton:
             last = 0
             for x in ids:
                 last = self._extend(last, x)
-                ends.append((last, item))
+                if len(ids) >= window:
+                    ends.append((last, item))
             if 0 < len(ids) < window:
                 whole.append((ids, item))
         n = len(self.length)
         order = sorted(range(1, n), key=self.length.__getitem__)
-        #: For each state, that of its runs' last `window` words, and the (length, item) of short items that its runs end with.
-        self.at_window, self.short = [-1] * n, [()] * n
-        own: dict[int, set] = {}
+        #: The short items that are runs of a state, by their length: each stands at one state, whatever number of runs ends with it.
+        self.short: dict[int, dict[int, set[str]]] = {}
         for ids, item in whole:
             v = 0
             for x in ids:
                 v = self.next[v][x]
-            own.setdefault(v, set()).add((len(ids), item))
+            self.short.setdefault(v, {}).setdefault(len(ids), set()).add(item)
+        #: For each state, that of its runs' last `window` words, and the nearest of itself and its links that has short items.
+        self.at_window, self.at_short = [-1] * n, [-1] * n
         for v in order:
             up = self.link[v]
             if self.length[v] >= window:
                 self.at_window[v] = v if self.length[up] < window else self.at_window[up]
-            self.short[v] = (*self.short[up], *sorted(own.get(v, ())))
+            self.at_short[v] = v if v in self.short else self.at_short[up]
         #: A state's items are those with a run that ends in it or in any state below it.
         below: dict[int, set[str]] = {}
         for v, item in ends:
@@ -107,7 +113,8 @@ class Automaton:
         known = np.concatenate([[0], (ids >= 0).view(np.int8), [0]])
         edges = np.flatnonzero(np.diff(known)).reshape(-1, 2)
         spans: list[list[int]] = []
-        found: set[str] = set()
+        windows: set[int] = set()
+        shorts: set[tuple[int, int]] = set()
         longest = 0  # matches shorter than any window or short item are not looked for
 
         def hit(s: int, e: int) -> None:
@@ -129,44 +136,59 @@ class Automaton:
                 longest = max(longest, n)
                 if n >= self.window:
                     hit(i + 1 - self.window, i + 1)
-                    found |= self.items[self.at_window[v]]
-                for length, item in self.short[v]:
-                    if length <= n:
-                        hit(i + 1 - length, i + 1)
-                        found.add(item)
+                    windows.add(self.at_window[v])
+                u = self.at_short[v]
+                while u >= 0:
+                    for length in self.short[u]:
+                        if length <= n:
+                            hit(i + 1 - length, i + 1)
+                            shorts.add((u, length))
+                    u = self.at_short[self.link[u]]
+        found = set().union(*(self.items[v] for v in windows), *(self.short[u][length] for u, length in shorts))
         return [(a, b) for a, b in spans], longest, found
 
 
+def parts(ws: list[bytes], window: int, max_bytes: int) -> Iterator[list[bytes]]:
+    """ws in stretches of at most max_bytes, but of `window` words at least, that share window - 1 words."""
+    at = 0
+    while True:
+        end, size = at, 0
+        while end < len(ws) and (end - at < window or size + len(ws[end]) <= max_bytes):
+            size += len(ws[end])
+            end += 1
+        yield ws[at:end]
+        if end == len(ws):
+            return
+        at = end - window + 1
+
+
 def item_blocks(benchmark: DataFrame, window: int, max_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of about max_bytes of text at most, however large the benchmark is.
+    """The items in blocks of at most max_bytes of words each, however large the benchmark is; there is at least one block.
 
-    Items go to blocks by a hash of their row; an item longer than a block is cut into stretches that share window - 1 words.
+    An item longer than a block is cut into stretches that share window - 1 words.
     """
     b = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n, most = max(1, -(-int(total) // max_bytes)), max(window, max_bytes // 2)
-    for k in range(n):
-        out, size = [], 0
-        for item, text in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).toLocalIterator():
-            ws = words(text)
-            for at in range(0, max(1, len(ws) - window + 1), most):
-                part = ws[at : at + most + window - 1]
-                out.append((item, part))
-                size += sum(map(len, part))
-                if size > 2 * max_bytes:
-                    yield out
-                    out, size = [], 0
-        if out or n == 1:
-            yield out
-
-
-def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 4_000_000) -> DataFrame:
+    out, size, blocks = [], 0, 0
+    for item, text in b.toLocalIterator():
+        for part in parts(words(text), window, max_bytes):
+            more = sum(map(len, part))
+            if out and size + more > max_bytes:
+                yield out
+                out, size, blocks = [], 0, blocks + 1
+            out.append((item, part))
+            size += more
+    if out or not blocks:
+        yield out
+
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs with n_words, n_hit (words inside a window or whole short item), longest_match, hit_spans and item_ids.
 
     hit_spans are stretches of words that hit, merged. A null text has no words and no hits; repeated rows are matched
     each for itself; an item with a null id goes by the id "null"; without items, or for an empty table, nothing hits.
-    Columns of docs with these names are replaced. Items are broadcast in blocks of at most about 2 * max_bytes; each
-    further block takes another pass over docs, which are written before it.
+    Columns of docs with these names are replaced. Items are broadcast in blocks of at most max_bytes of words. Where
+    there are several, docs are written once with numbered rows, each block passes over the texts and writes what it
+    found by row, and one join puts it back: copies of the texts don't grow with the blocks.
     """
     base = docs.drop(*FOUND.fieldNames())
     found, column = _found(base, benchmark, window, max_bytes)
@@ -174,35 +196,57 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: in
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, max_bytes: int) -> tuple[DataFrame, str]:
-    """docs with one more column, FOUND over all blocks, and its name. Written before each further block, so that no task holds two."""
-    column = common.free_name(docs, "match")
-    found = docs.withColumn(column, F.lit(None).cast(FOUND))
-    for k, items in enumerate(item_blocks(benchmark, window, max_bytes)):
-        if k:
-            found = common.settle(found, "matched")
-        found = common.in_arrow(found, _matcher(docs.sparkSession.sparkContext.broadcast(items), window, docs.columns.index("text")), found.schema)
-    return found, column
+    """docs with one more column, FOUND over all blocks, and its name."""
+    column, row = common.free_name(docs, "match"), common.free_name(docs, "row")
+    empty, broadcast = F.lit(None).cast(FOUND), docs.sparkSession.sparkContext.broadcast
+    blocks = item_blocks(benchmark, window, max_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = docs.withColumn(column, empty)
+        return common.in_arrow(found, _matcher(broadcast(first), window, docs.columns.index("text")), found.schema, keeps=True), column
+    numbered = common.settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(row, "text", empty.alias(column))
+    schema = texts.schema
+    hits = [common.settle(common.in_arrow(texts, _matcher(broadcast(items), window, 1), schema, keeps=True).drop("text"), "hits") for items in chain([first, second], blocks)]
+    every = reduce(DataFrame.union, hits).groupBy(row).agg(F.collect_list(column).alias(column))
+    joined = numbered.join(every, row).drop(row)
+    return common.in_arrow(joined, _merger, T.StructType([*joined.schema.fields[:-1], T.StructField(column, FOUND)])), column
+
+
+def _automaton(items, window: int):
+    """A function that gives the automaton of broadcast items, built once a worker."""
+    key = f"automaton {uuid.uuid4().hex}"
+    return lambda: common.held(key, lambda: Automaton(items.value, window))
+
+
+def _row(n_words: int, spans: list[tuple[int, int]], longest: int, ids: set[str]) -> dict:
+    return {"n_words": n_words, "n_hit": sum(e - s for s, e in spans), "longest_match": longest, "hit_spans": [{"start": s, "end": e} for s, e in spans], "item_ids": sorted(ids)}
 
 
 def _matcher(items, window: int, text_at: int):
-    """For mapInArrow: fills the last column, and adds to what an earlier block of items found there."""
+    """For mapInArrow: fills the last column by one block of items."""
+    automaton = _automaton(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, window)
         for b in common.filled(batches):
-            rows = []
-            for text, before in zip(b.column(text_at), b.column(b.num_columns - 1)):
-                ws = words(text.as_py())
-                spans, longest, ids = automaton.match(ws)
-                if before.is_valid:
-                    x = before.as_py()
-                    spans, longest, ids = merged([*spans, *((y["start"], y["end"]) for y in x["hit_spans"])]), max(longest, x["longest_match"]), ids | set(x["item_ids"])
-                rows.append({"n_words": len(ws), "n_hit": sum(e - s for s, e in spans), "longest_match": longest, "hit_spans": [{"start": s, "end": e} for s, e in spans], "item_ids": sorted(ids)})
+            texts = (words(text.as_py()) for text in b.column(text_at))
+            rows = [_row(len(ws), *automaton().match(ws)) for ws in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, b.schema.types[-1])], names=b.schema.names)
 
     return run
 
 
+def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: the last column, what each block of items found, becomes what all of them found."""
+    for b in common.filled(batches):
+        rows = []
+        for blocks in b.column(b.num_columns - 1):
+            xs = blocks.as_py()
+            spans = merged([(y["start"], y["end"]) for x in xs for y in x["hit_spans"]])
+            rows.append(_row(xs[0]["n_words"], spans, max(x["longest_match"] for x in xs), set().union(*(x["item_ids"] for x in xs))))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, b.schema.types[-1].value_type)], names=b.schema.names)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -224,7 +268,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_bytes: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, max_bytes: int = MAX_BYTES) -> DataFrame:
     """docs without what hits the benchmark, in their own columns; n_chars, where docs has it, follows the new text.
 
     A stretch of words that reaches the length limit (`window`, or a whole shorter item) is removed; a document of which
@@ -241,7 +285,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     first, second = next(blocks), next(blocks, None)
     places = columns.index("text"), columns.index("n_chars") if "n_chars" in columns else None
     if second is None:
-        return common.in_arrow(docs, _cleaner(spark.sparkContext.broadcast(first), window, max_coverage, *places), docs.schema)
+        return common.in_arrow(docs, _cleaner(spark.sparkContext.broadcast(first), window, max_coverage, *places), docs.schema, keeps=True)
     done = []
     while True:
         found, column = _found(docs, benchmark, window, max_bytes)
@@ -255,19 +299,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
 def _cleaner(items, window: int, max_coverage: float, text_at: int, chars_at: int | None):
     """For mapInArrow: cuts hits out of texts and leaves out the rows whose documents go."""
 
-    def clean(automaton: Automaton, text: str | None) -> tuple[bool, str | None]:
+    automaton = _automaton(items, window)
+
+    def clean(text: str | None) -> tuple[bool, str | None]:
         while True:
             ws = words(text)
-            spans, _, _ = automaton.match(ws)
+            spans, _, _ = automaton().match(ws)
             hit = sum(e - s for s, e in spans)
             if not hit or hit > max_coverage * len(ws):
                 return not hit, text
             text = cut_spans(text, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, window)
         for b in common.filled(batches):
-            yield _rewritten(b, [clean(automaton, text.as_py()) for text in b.column(text_at)], text_at, chars_at)
+            yield _rewritten(b, [clean(text.as_py()) for text in b.column(text_at)], text_at, chars_at)
 
     return run
 

@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -81,22 +82,39 @@ def read_frames(f, frames: Iterable[int], tables: tuple | None = None) -> Iterat
         yield None if ids[k] == NO_ID else int(ids[k]), content
 
 
-def read_documents(path: str, wanted: Iterable[int]) -> dict[int, np.ndarray]:
-    """The ids of the documents asked for that a file holds."""
+def read_documents(path: str, wanted: Iterable[int]) -> dict[int, list[np.ndarray]]:
+    """The ids of the documents asked for, one array for each row with a document's id, in the file's order.
+
+    A document that the file doesn't hold isn't in the result. Raises where a frame doesn't fit its checksum.
+    """
     fs, name = pafs.FileSystem.from_uri(path)
     with fs.open_input_file(name) as f:
         tables = read_tables(f)
         frames = np.flatnonzero(np.isin(tables[0], np.fromiter(wanted, np.int64)))
-        return {doc: np.frombuffer(content, "<u4") for doc, content in read_frames(f, frames, tables)}
+        found: dict[int, list[np.ndarray]] = {}
+        for doc, content in read_frames(f, frames, tables):
+            found.setdefault(doc, []).append(np.frombuffer(content, "<u4"))
+        return found
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder: str | None = None, level: int = 3) -> DataFrame:
+def stretch(documents: Iterator[tuple[int | None, bytes]], most: int) -> Iterator[tuple[int | None, bytes]]:
+    """The next documents up to about `most` bytes, of ids and 256 a document for its entries in the tables; one at least."""
+    size = 0
+    for doc, content in documents:
+        yield doc, content
+        size += len(content) + 256
+        if size >= most:
+            return
+
+
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder: str | None = None, level: int = 3, file_bytes: int = 256_000_000) -> DataFrame:
     """Encode all documents and write them in ascending order of doc_id; returns the manifest, a row for each file.
 
     Documents are dealt by ranges of (doc_id, hash of the text), so that many rows with one id don't meet in a task;
     ids that are null come first, and rows with the same id are ordered by that hash. A null text counts as empty and
-    so is its end id alone. A task writes a file of its own name, and the manifest names the files of the tasks that
-    counted: what a lost or repeated task wrote isn't read. An empty table gives an empty manifest.
+    so is its end id alone. A task writes one file after another, each of about file_bytes of ids before compression, so
+    that what it holds doesn't grow with its range. Files have names of their own, and the manifest names those of the
+    tasks that counted: what a lost or repeated task wrote isn't read. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder, path, end = folder or common.new_folder(spark, "tokens"), tokenizer or tokens.default_path(), int(end_id).to_bytes(4, "little")
@@ -106,14 +124,15 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, folder
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         rest = ((doc, x + end) for docs, found in tokens.encoder(path).stretches(common.filled(batches)) for doc, x in zip(docs, found))
-        if (first := next(rest, None)) is None:
-            return
         fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.zst"
-        with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-            n_docs, n_tokens = write_file(out, (x for part in ([first], rest) for x in part), level)
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
+        for part in count():
+            if (first := next(rest, None)) is None:
+                return
+            fs.create_dir(base, recursive=True)
+            name = f"shard-{shard:06d}-{part:06d}-{uuid.uuid4().hex}.zst"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                n_docs, n_tokens = write_file(out, stretch(chain([first], rest), file_bytes), level)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
 
     return common.settle(common.in_arrow(dealt, run, MANIFEST, keeps=True), "manifest")
 
@@ -126,7 +145,7 @@ def read(manifest: DataFrame) -> DataFrame:
     """
     spark: SparkSession = manifest.sparkSession
     before = F.sum("n_tokens").over(Window.orderBy("shard", "path").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(common.partitions(spark), "shard")
+    files = manifest.select("shard", "path", F.coalesce(before, F.lit(0)).alias("start")).repartitionByRange(common.partitions(spark), "shard", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.filled(batches):

@@ -1,8 +1,9 @@
 """Token files: a task's files in order, and rows with the same id."""
 
 import numpy as np
+import pyarrow as pa
 
-from gridrisk.llm import token_files
+from gridrisk.llm import token_files, tokens
 
 
 def test_a_task_goes_on_to_further_files(spark):
@@ -26,3 +27,24 @@ def test_read_documents_gives_all_rows_of_an_id(tmp_path):
 def test_stretch_takes_no_document_too_many():
     rest = iter([(k, b"x" * 100) for k in range(7)])
     assert [[doc for doc, _ in token_files.stretch(rest, 700)] for _ in range(5)] == [[0, 1], [2, 3], [4, 5], [6], []]
+
+
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+def test_words_of_a_stretch_are_encoded_once_whatever_marks_follow():
+    e = tokens.PartEncoder(tokens.default_path())
+    e.tokenizer = Counting(e.tokenizer)
+    texts = ["x " + " ".join(f"Wort{chr(97 + k % 26)}{chr(97 + k // 26)}{end}" for k in range(200)) + " x" for end in (".", ",", ";", ".\nUnd", "!", ":", ")", "?", "...", "")]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    [(docs, ids)] = e.stretches(iter([batch]))
+    assert docs == list(range(10)) and e.tokenizer.chars * 4 < sum(map(len, texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -41,8 +41,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document. A null text counts as empty; a repeated row is packed again.
 
-    with_ids: also the ids themselves, as little-endian unsigned 32-bit integers.
+    with_ids: also the ids themselves, as little-endian unsigned 32-bit integers. Stretches of texts are shorter then and fewer parts
+    are kept: the JVM beside the workers needs memory to write the ids.
     """
+    cached, size = (100_000, 1_000_000) if with_ids else (300_000, 4_000_000)
     end = int(end_id).to_bytes(4, "little")
 
     schema = PIECES + (", ids binary" if with_ids else "")
@@ -50,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, found in tokens.encoder(tokenizer).stretches(common.filled(batches)):
+        for own, found in tokens.encoder(tokenizer, cached).stretches(common.filled(batches), size):
             rows = []
             for doc, x in zip(own, found):
                 ids = x + end

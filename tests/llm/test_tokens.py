@@ -61,3 +61,10 @@ def test_odd_characters_give_the_ids_of_whole_texts():
 def test_what_is_kept_of_a_million_parts_takes_little_memory():
     got = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, timeout=300)
     assert float(got.stdout) < 150
+
+
+def test_a_worker_keeps_one_encoder_of_the_size_asked_for():
+    path = tokens.default_path()
+    small = tokens.encoder(path, 7)
+    assert small.cached == 7 and tokens.encoder(path, 7) is small and tokens.encoder(path).cached == 300_000
+    tokens.common.release()
